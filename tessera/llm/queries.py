@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_encoding_and_decoding
+from .near_dedup import op1_minhash_near_dedup
+from .substring_dedup import op3_substring_dedup
+from .token_files import op2_token_id_binary_output
+
+_ALL = (op1_minhash_near_dedup, op2_token_id_binary_output, op3_substring_dedup, op7_bpe_encoding_and_decoding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bpe_encoding_and_decoding,)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
