@@ -17,6 +17,13 @@ from .common import Words, ready, stage, steps, string
 NO_ID = np.iinfo(np.int64).max
 
 
+def ids_of(column: pd.Series) -> np.ndarray:
+    out = np.full(len(column), NO_ID, np.int64)
+    known = column.notna().to_numpy()
+    out[known] = column[known].astype(np.int64)
+    return out
+
+
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A staged table with a row for each block: block, n_docs, n_bytes, n_words, doc_ids, sizes and texts (zstd-packed UTF-8)."""
     ready(docs.sparkSession)
@@ -24,13 +31,13 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        block, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(1)
+        block, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(3)
         for rows in parts:
             for some in steps(rows, "text"):
                 raw = [(string(t) or "").encode("utf-8", "replace") for t in some.text]
                 yield pd.DataFrame({
                     "block": [block], "n_docs": [len(raw)], "n_bytes": [sum(map(len, raw))], "n_words": [sum(len(r.split()) for r in raw)],
-                    "doc_ids": [some.doc_id.fillna(NO_ID).to_numpy(np.int64).tobytes()], "sizes": [np.array([len(r) for r in raw], "<u8").tobytes()],
+                    "doc_ids": [ids_of(some.doc_id).tobytes()], "sizes": [np.array([len(r) for r in raw], "<u8").tobytes()],
                     "texts": [press.compress(b"".join(raw))],
                 })
                 block += 1
@@ -56,7 +63,3 @@ def blocks_of(parts: Iterator[pd.DataFrame]) -> Iterator[Block]:
         for row in rows.itertuples(index=False):
             yield Block(row)
 
-
-def answers_of(rows: pd.DataFrame, kind: str) -> np.ndarray:
-    """The answers to one block's keys, in the order of its keys."""
-    return np.frombuffer(b"".join(rows.sort_values("part").answers), kind)

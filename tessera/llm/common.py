@@ -11,8 +11,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
@@ -155,56 +155,91 @@ def string(value: object) -> str | None:
 # --- request and response by hash --------------------------------------------------------------------------------------
 
 
+def press(values: np.ndarray) -> bytes:
+    """Bytes of an array, plane by plane (all first bytes, all second bytes, ...), so that planes without news vanish."""
+    flat = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(1, write_content_size=True).compress(flat.view(np.uint8).reshape(len(flat), flat.dtype.itemsize).T.tobytes()) if len(flat) else b""
+
+
+def unpress(data: bytes, kind: str | np.dtype) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not data:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def press_sorted(keys: np.ndarray) -> bytes:
+    return press(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpress_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpress(data, np.uint64), dtype=np.uint64)
+
+
 def bucket_count(total_bytes: int, per_bucket: int = 24 << 20) -> int:
     """A power of two, so that a bucket is a run of top bits; each bucket gets about per_bucket bytes."""
     return 1 << max(4, math.ceil(math.log2(max(1, total_bytes) / per_bucket)))
 
 
-def answered(
-    asks: DataFrame,
-    total_bytes: int,
-    reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
-    kind: str,
-) -> DataFrame:
-    """Ask about 64-bit keys, once a block: asks has block (long), keys (binary: sorted distinct uint64) and vals (binary of `kind`, one for each key).
-
-    All vals of one key meet: reduce(keys, vals, at) gets one bucket's keys in order with their vals (ties in block order), at being
-    where each distinct key starts; it returns one answer for each row. The result has block, part (bucket) and answers, whose order
-    within a block is that of its keys. A key that a third of all documents hold comes once a block, not once a document.
-    """
-    n = bucket_count(total_bytes)
-    shift = np.uint64(64 - int(math.log2(n)))
+def dealt(asks: DataFrame, buckets: int, kind: str | np.dtype) -> DataFrame:
+    """asks (block, keys: sorted distinct uint64, vals: one of `kind` for each key) as a row for each block and bucket, pressed."""
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for block, keys, vals in zip(rows.block, rows["keys"], rows.vals):
-                keys, vals = np.frombuffer(keys, np.uint64), np.frombuffer(vals, kind)
-                if not len(keys):
-                    continue
-                top = keys >> shift
-                cuts = [0, *(np.flatnonzero(np.diff(top)) + 1), len(keys)]
-                yield pd.DataFrame({
-                    "part": [int(top[a]) for a in cuts[:-1]], "block": block,
-                    "keys": [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
-                    "vals": [vals[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
-                })
+                yield deal_rows(block, np.frombuffer(keys, np.uint64), np.frombuffer(vals, kind), buckets)
+
+    return asks.mapInPandas(deal, DEALT)
+
+
+DEALT = "part long, block long, keys binary, vals binary"
+
+
+def deal_rows(block: int, keys: np.ndarray, vals: np.ndarray, buckets: int) -> pd.DataFrame:
+    if not len(keys):
+        return pd.DataFrame({"part": [], "block": [], "keys": [], "vals": []})
+    top = keys >> np.uint64(64 - int(math.log2(buckets)))
+    cuts = [0, *(np.flatnonzero(np.diff(top)) + 1), len(keys)]
+    return pd.DataFrame({
+        "part": [int(top[a]) for a in cuts[:-1]], "block": block,
+        "keys": [press_sorted(keys[a:b]) for a, b in zip(cuts, cuts[1:])], "vals": [press(vals[a:b]) for a, b in zip(cuts, cuts[1:])],
+    })
+
+
+def gathered(rows: pd.DataFrame, kind: str | np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One bucket: its keys in order, their vals, the order itself, and the bounds of each row's own keys before ordering."""
+    keys = [unpress_sorted(k) for k in rows["keys"]]
+    cuts = np.cumsum([0, *map(len, keys)])
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.concatenate([unpress(v, kind) for v in rows.vals])[order], order, cuts
+
+
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+
+
+def answered(asks: DataFrame, buckets: int, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str | np.dtype) -> DataFrame:
+    """Ask about 64-bit keys, once a block: see dealt().
+
+    All vals of one key meet: reduce(keys, vals, at) gets one bucket's keys in order with their vals, at being where each distinct
+    key starts; it returns one answer for each row. The result has block, part (bucket) and answers, whose order within a block is
+    that of its keys. A key that a third of all documents hold comes once a block, not once a document.
+    """
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-        sizes = [len(k) for k in keys]
-        flat, vals = np.concatenate(keys), np.frombuffer(b"".join(rows.vals), kind)
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        at = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
-        said = reduce(ordered, vals[order], at)
-        back = np.empty(len(flat), said.dtype)
+        keys, vals, order, cuts = gathered(rows, kind)
+        said = reduce(keys, vals, starts_of(keys))
+        back = np.empty(len(keys), said.dtype)
         back[order] = said
-        cuts = np.cumsum([0, *sizes])
-        return pd.DataFrame({"block": rows.block.to_numpy(), "part": rows.part.to_numpy(), "answers": [back[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+        return pd.DataFrame({"block": rows.block.to_numpy(), "part": rows.part.to_numpy(), "answers": [press(back[a:b]) for a, b in zip(cuts, cuts[1:])]})
+
+    return dealt(asks, buckets, kind).groupBy("part").applyInPandas(meet, "block long, part long, answers binary")
+
 
-    dealt = asks.mapInPandas(deal, "part long, block long, keys binary, vals binary")
-    return dealt.groupBy("part").applyInPandas(meet, "block long, part long, answers binary")
+def answers_of(rows: pd.DataFrame, kind: str | np.dtype) -> np.ndarray:
+    """The answers to one block's keys, in the order of its keys."""
+    return np.concatenate([np.zeros(0, kind), *(unpress(a, kind) for a in rows.sort_values("part").answers)])
 
 
 def spread(counts: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:

@@ -20,14 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, Block, answers_of, blocks_of, pack
-from .common import Words, answered, spread, stage, table
+from .blocks import NO_ID, Block, blocks_of, pack
+from .common import DEALT, Words, answered, answers_of, bucket_count, deal_rows, gathered, press, spread, table, unpress
 
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 WINDOW = 20
 #: One question about a window: where its first start in the block is, and a second hash that tells chance meetings apart.
-FIRST = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("check", "<u8")])
+FIRST = np.dtype([("doc", "<i8"), ("row", "<u4"), ("pos", "<u4"), ("check", "<u2")])
+#: Where a window starts: the document's place in its block, and the word.
+PLACE = np.dtype([("row", "<u4"), ("pos", "<u4")])
 
 
 def period_of(window: int) -> int:
@@ -49,9 +51,10 @@ class Anchors:
 
 
 def repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The packed documents, and for each block with repeats their first words' indexes in the block."""
+    """The packed documents, and block, places: where repeats start."""
     blocks = pack(docs, id_col, text_col)
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
+    buckets = bucket_count(n_words * 3)
 
     def ask_anchors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in blocks_of(parts):
@@ -76,39 +79,43 @@ def repeats(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[D
             start = inside[np.cumsum(near)[inside] > 0]
             if not len(start):
                 continue
+            row = np.searchsorted(w.start, start, "right") - 1
+            place, ids = np.zeros(len(start), PLACE), b.doc_ids[row]
+            place["row"], place["pos"] = row, start - w.start[row]
+            order = np.lexsort((place["pos"], ids))  # documents of a block come in any order
+            start, place, ids = start[order], place[order], ids[order]
             keys, first, inverse = np.unique(w.runs(window)[start], return_index=True, return_inverse=True)
-            doc = np.searchsorted(w.start, start, "right") - 1
-            ids, pos = b.doc_ids[doc], (start - w.start[doc]).astype(np.uint32)
-            order = np.lexsort((pos, ids))  # documents of a block come in any order
-            first = order[np.unique(inverse[order], return_index=True)[1]]
             vals = np.zeros(len(keys), FIRST)
-            vals["doc"], vals["pos"], vals["check"] = ids[first], pos[first], w.runs(window, 5)[start[first]]
-            later = (ids != ids[first][inverse]) | (pos != pos[first][inverse])
-            out.append({"block": b.block, "keys": keys.tobytes(), "vals": vals.tobytes(), "start": start.astype("<u4").tobytes(), "inverse": inverse.astype("<u4").tobytes(), "later": later.tobytes(), "n": len(keys)})
-        return pd.DataFrame(out, columns=["block", "keys", "vals", "start", "inverse", "later", "n"])
-
-    def not_earliest(keys: np.ndarray, vals: np.ndarray, at: np.ndarray) -> np.ndarray:
-        order = np.lexsort((vals["pos"], vals["doc"], vals["check"], keys))
-        k, v = keys[order], vals[order]
+            vals["doc"], vals["row"], vals["pos"], vals["check"] = ids[first], place["row"][first], place["pos"][first], w.runs(window, 5)[start[first]] >> np.uint64(48)
+            later = (ids != ids[first][inverse]) | (place["pos"] != place["pos"][first][inverse])
+            out.append({"block": b.block, "keys": keys.tobytes(), "vals": vals.tobytes(), "later": press(place[later])})
+        return pd.DataFrame(out, columns=["block", "keys", "vals", "later"])
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for block, keys, vals, later in zip(rows.block, rows["keys"], rows.vals, rows.later):
+                yield deal_rows(block, np.frombuffer(keys, np.uint64), np.frombuffer(vals, FIRST), buckets)
+                if later:  # what a block knows to be repeats by itself goes along in parts of its own
+                    yield pd.DataFrame({"part": [buckets + block % buckets], "block": [block], "keys": [b""], "vals": [later]})
+
+    def repeated(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows.part.iloc[0] >= buckets:
+            return rows[["block", "vals"]].rename(columns={"vals": "places"})
+        keys, vals, order, cuts = gathered(rows, FIRST)
+        by = np.lexsort((vals["pos"], vals["doc"], vals["check"], keys))
+        k, v = keys[by], vals[by]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (v["check"][1:] != v["check"][:-1])])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        out = np.zeros(len(k), "u1")
-        out[order] = (v["doc"] != v["doc"][lead]) | (v["pos"] != v["pos"][lead])
-        return out
+        again = np.zeros(len(k), bool)
+        again[order[by]] = (v["doc"] != v["doc"][lead]) | (v["pos"] != v["pos"][lead])
+        place = np.zeros(len(k), PLACE)
+        place["row"][order], place["pos"][order] = vals["row"], vals["pos"]
+        out = [(b, press(place[x:y][again[x:y]])) for b, x, y in zip(rows.block.tolist(), cuts, cuts[1:]) if again[x:y].any()]
+        return pd.DataFrame(out, columns=["block", "places"])
 
-    def decide(windows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in windows.itertuples(index=False):
-            start, inverse = np.frombuffer(row.start, "<u4"), np.frombuffer(row.inverse, "<u4")
-            again = np.frombuffer(row.later, bool) | answers_of(answers, "u1").astype(bool)[inverse]
-            out.append({"block": row.block, "start": start[again].tobytes()})
-        return pd.DataFrame(out, columns=["block", "start"])
-
-    asked = answered(blocks.mapInPandas(ask_anchors, "block long, keys binary, vals binary"), n_words * 3, more_than_one, "u1")
-    windows = stage(blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(ask_windows, "block long, keys binary, vals binary, start binary, inverse binary, later binary, n long"), "windows")
-    n_windows = windows.agg(F.sum("n")).first()[0] or 0
-    earliest = answered(windows.select("block", "keys", "vals"), n_windows * 28, not_earliest, FIRST)
-    return blocks, windows.select("block", "start", "inverse", "later").groupBy("block").cogroup(earliest.groupBy("block")).applyInPandas(decide, "block long, start binary")
+    asked = answered(blocks.mapInPandas(ask_anchors, "block long, keys binary, vals binary"), bucket_count(n_words * 2), more_than_one, "u1")
+    windows = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(ask_windows, "block long, keys binary, vals binary, later binary")
+    return blocks, windows.mapInPandas(deal, DEALT).groupBy("part").applyInPandas(repeated, "block long, places binary")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -122,10 +129,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             words = [r.split() for r in b.raw]
             ends = np.cumsum([0, *map(len, words)])
             gone = np.zeros(ends[-1] + 1, np.int64)
-            for x in found.start:
-                s = np.frombuffer(x, "<u4")
-                np.add.at(gone, s, 1)
-                np.add.at(gone, s + window, -1)
+            place = np.concatenate([np.zeros(0, PLACE), *(unpress(x, PLACE) for x in found.places)])
+            s = ends[:-1][place["row"]] + place["pos"].astype(np.int64)
+            np.add.at(gone, s, 1)
+            np.add.at(gone, s + window, -1)
             gone = np.cumsum(gone)[:-1] > 0
             removed = np.add.reduceat(np.concatenate([gone, [0]]), ends[:-1]) * (np.diff(ends) > 0) if len(words) else []
             for d, w, a, e, n in zip(b.doc_ids.tolist(), words, ends, ends[1:], removed):

@@ -140,6 +140,9 @@ def test_substring_dedup_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(map(tuple, op3_substring_dedup(spark, SF).collect())) == brute_repeats(*zip(*rows), 20)
     assert substring_dedup(small(spark, [])).collect() == []
+    passage = " ".join(f"p{k}" for k in range(25))
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(small(spark, [passage, "x " + passage, passage, passage, "y z " + passage], [None, 5, 7, 7, 7])).collect()]
+    assert sorted(got, key=str) == sorted([(None, 25, 25), (5, 26, 0), (7, 25, 25), (7, 25, 25), (7, 27, 25)], key=str)
 
 
 def test_difference_covers_meet_at_every_shift():
