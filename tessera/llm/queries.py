@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe_encoding_and_decoding
+from .brown import op6_lm_scoring
+from .decontaminate import op10_benchmark_decontamination
+from .line_dedup import op4_line_dedup
 from .near_dedup import op1_minhash_near_dedup
+from .nearest import op5_approximate_nearest_neighbours
+from .secrets import op9_secret_scans
 from .substring_dedup import op3_substring_dedup
 from .token_files import op2_token_id_binary_output
+from .toxicity import op8_toxicity
 
-_ALL = (op1_minhash_near_dedup, op2_token_id_binary_output, op3_substring_dedup, op7_bpe_encoding_and_decoding)
+_ALL = (
+    op1_minhash_near_dedup, op2_token_id_binary_output, op3_substring_dedup, op4_line_dedup, op5_approximate_nearest_neighbours,
+    op6_lm_scoring, op7_bpe_encoding_and_decoding, op8_toxicity, op9_secret_scans, op10_benchmark_decontamination,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
