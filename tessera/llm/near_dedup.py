@@ -6,8 +6,10 @@ about once in half a million. The symbols are split into CHUNKS; by the pigeonho
 symbols has a chunk with at most its allowed errors, because the allowances add up to ERRORS - CHUNKS + 1. Each allowed choice of
 left-out symbols gives a key, and equal keys meet, which finds every pair under the bound. Full sets then confirm each link.
 
-Large groups make no pairs: equal sets are one class first; classes are linked to one pivot for each key in a few rounds; only keys whose
-classes are still in several components go on to all their pairs, and those pairs have to pass the signature bound.
+Large groups make no pairs: equal sets are one class first; then each class is compared with the nearest pivot (smallest class) of its
+keys. Only keys whose classes are still in several components go on. Their classes form families (chains of candidates); a family is
+compared in full, block against block by matrix products, giving a spanning forest; candidates of different families are confirmed
+pair by pair.
 
 Defined results: a null or empty text (or one without words) has an empty set, linked with nothing; a text with fewer words than a
 shingle has its whole word sequence as its one shingle; repeated rows each give a row; rows with a null id are returned, linked with
@@ -29,10 +31,10 @@ from .components import components
 
 SYMBOLS, CHUNKS, ERRORS = 65, 13, 24
 WIDTH = SYMBOLS // CHUNKS
-#: Rounds that link classes to pivots before pairs are made; their number changes the cost, not the result.
-ROUNDS = 3
 #: Members of a pivot that one task compares with it.
 MEMBERS = 256
+#: Members of a family in one block; two blocks are compared in one task.
+BLOCK = 1024
 _LANES = -(-SYMBOLS // 4)
 _SEEDS = np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -151,6 +153,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return dealt.union(own).join(texts, "rep").groupBy("pivot", "task").applyInPandas(run, "a long, b long")
 
 
+def linked_in_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that connect what is linked within each family (family, rep): all sets of two blocks of members are compared at once by a
+    matrix product, and only a spanning forest is returned."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        reps, sets = rows.rep.to_numpy(), shingle_sets(list(rows.text), words)
+        n, size = len(sets), np.array([len(s) for s in sets], float)
+        keys, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[inverse]
+        row = np.repeat(np.arange(n), [len(s) for s in sets])
+        row, column = row[column >= 0], column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((n, n), np.float32)
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, [a, a + 4096])
+            dense = np.zeros((n, 4096), np.float32)
+            dense[row[lo:hi], column[lo:hi] - a] = 1
+            both += dense @ dense.T
+        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        left, out = np.ones(n, bool), []
+        for k in range(n):
+            if left[k]:
+                left[k], reached = False, [k]
+                while reached:
+                    i = reached.pop()
+                    new = np.flatnonzero(near[i] & left)
+                    left[new] = False
+                    out += [(reps[i], reps[j]) for j in new]
+                    reached += new.tolist()
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(texts, "rep").groupBy("family", "x", "y").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links), kept (the row has that id)."""
     ready(docs.sparkSession)
@@ -158,36 +199,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     same = ["n_shingles", "set_a", "set_b"]
     classes = stage(sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keys = keyed(classes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = stage(keys.join(shared.select("key"), "key"), "keys")
-    info = classes.select("rep", "n_shingles", "sig")
-    near = stage(keys.select("rep").distinct().join(info, "rep"), "near-signatures")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
+    keys = stage(keys.join(shared.select("key", "pivot"), "key"), "keys")
+    near = stage(keys.select("rep").distinct().join(classes.select("rep", "n_shingles", "sig"), "rep"), "near-signatures")
     wanted = near.select(F.col("rep").alias(id_col))
     source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).join(wanted, id_col, "left_semi")
     texts = stage(source.groupBy(id_col).agg(F.first("text").alias("text")).withColumnRenamed(id_col, "rep"), "near-texts")
-    links, members = None, keys.withColumn("component", F.col("rep"))
-    a, b = near.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("sig").alias("sig_pivot")), near
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            pivots = members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("p"))
-            pairs = members.join(pivots, "key").where("component != p.component").select(F.col("p.rep").alias("pivot"), "rep")
-        else:
-            other = members.select("key", F.col("rep").alias("pivot"), F.col("component").alias("component_pivot"))
-            pairs = members.join(other, "key").where("pivot < rep and component != component_pivot").select("pivot", "rep")
-        pairs = pairs.distinct().join(a, "pivot").join(b, "rep").where(
-            F.lit(100) * F.least("n_shingles", "n_pivot") >= F.lit(percent) * F.greatest("n_shingles", "n_pivot")
-        ).select("pivot", "rep", differing(F.col("sig"), F.col("sig_pivot")).alias("apart")).where(F.col("apart") <= ERRORS)
-        if turn < ROUNDS:  # a class tries its nearest pivot
-            pairs = pairs.groupBy("rep").agg(F.min_by("pivot", F.struct("apart", "pivot")).alias("pivot")).select("pivot", "rep")
-        found = stage(confirmed(stage(pairs.select("pivot", "rep"), "pairs"), texts, words, percent), "links")
-        links = found if links is None else links.union(found)
-        reached = stage(components(links), "components")
-        if turn < ROUNDS:
-            members = keys.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            several = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            members = stage(members.join(several, "key"), "open-keys")
-            if members.isEmpty():
-                break
+
+    def close(n: str, m: str, x: str, y: str) -> Column:
+        return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (differing(F.col(x), F.col(y)) <= ERRORS)
+
+    # Each class with the pivots of its keys: one link a class is confirmed; all of them make families.
+    a = near.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("sig").alias("sig_pivot"))
+    pairs = keys.where("rep != pivot").select("pivot", "rep").distinct().join(a, "pivot").join(near, "rep").where(close("n_shingles", "n_pivot", "sig", "sig_pivot"))
+    pairs = stage(pairs.select("pivot", "rep", differing(F.col("sig"), F.col("sig_pivot")).alias("apart")), "pairs")
+    links = stage(confirmed(pairs.groupBy("rep").agg(F.min_by("pivot", F.struct("apart", "pivot")).alias("pivot")).select("pivot", "rep"), texts, words, percent), "links")
+    reached = stage(components(links), "components")
+    # Keys whose classes are in several components are open: all their classes are compared, within families in blocks, across them by pairs.
+    family = stage(components(pairs, "pivot", "rep"), "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    members = keys.select("key", "rep").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    several = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    members = stage(members.join(several, "key").join(family, "rep", "left").select("key", "rep", "component", F.coalesce("family", "rep").alias("family")), "open-keys")
+    each = members.select("family", "rep", "component").distinct()
+    split = each.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
+    within = stage(linked_in_blocks(stage(each.join(split, "family").select("family", "rep"), "members"), texts, words, percent), "links")
+    info = members.join(near, "rep")
+    other = info.select("key", F.col("rep").alias("pivot"), F.col("component").alias("component_pivot"), F.col("family").alias("family_pivot"), F.col("n_shingles").alias("n_pivot"), F.col("sig").alias("sig_pivot"))
+    apart = (info["key"] == other["key"]) & (F.col("pivot") < F.col("rep")) & (F.col("component") != F.col("component_pivot")) & (F.col("family") != F.col("family_pivot"))
+    across = stage(info.join(other, apart & close("n_shingles", "n_pivot", "sig", "sig_pivot")).select("pivot", "rep").distinct(), "pairs")
+    links = links.union(within).union(stage(confirmed(across, texts, words, percent), "links"))
+    reached = stage(components(links), "components")
     whole = classes.drop("sig").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return (
         sigs.drop("sig").join(whole, same, "left")
