@@ -298,8 +298,8 @@ class Store:
         if isinstance(value, Store):
             if value.volume != 1 or value.type != self.type:
                 raise ValueError("the fill value has to be a store of one cell of the same type")
-            one = value.df.select(F.col("v").alias("fill"))  # one row
-            base = self._base().crossJoin(F.broadcast(one))
+            one = value.df.select(F.lit(0).alias("one"), F.col("v").alias("fill"))  # one row
+            base = self._base().withColumn("one", F.lit(0)).join(F.broadcast(one), "one").drop("one")
             new = "fill"
         else:
             base, new = self._base(), literal(value, self.type)
