@@ -31,6 +31,7 @@ from .common import DEALT, Words, bucket_count, deal_rows, gathered, press, pres
 
 CORE, CLASSES, ROUNDS, SMOOTH, UNKNOWN = 20_000, 64, 8, 20.0, 0.5
 TAILS = 48
+FAN_IN = 64
 HELD_OUT_OF, HELD_OUT = 7, 2
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -153,26 +154,42 @@ def before(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def symbol_pairs(texts: DataFrame, n_symbols: int, parts_: int) -> DataFrame:
-    """Staged rows with pairs (symbol * n_symbols + next symbol) of the training documents and their counts; a pair stands in one row."""
+def symbol_pairs(texts: DataFrame, n_symbols: int, n_tokens: int) -> DataFrame:
+    """Staged rows with pairs (symbol * n_symbols + next symbol) of the training documents and their counts; a pair stands in one row.
+
+    There are n_symbols ** 2 pairs at most. Each task adds up its blocks, and the tasks' counts are combined FAN_IN at a time.
+    """
+    parts_ = 1 + min(n_tokens, n_symbols**2) // 2_000_000
+
+    def added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        pair, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
+        return pair, np.bincount(inverse, np.concatenate(counts), len(pair)).astype("<i8")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        pair, n, task = np.zeros(0, np.int64), np.zeros(0, np.int64), TaskContext.get().partitionId()
         for rows in parts:
             for row in rows.itertuples(index=False):
                 s, sizes = unpress(row.symbols, "<u2").astype(np.int64), np.frombuffer(row.sizes, "<u4").astype(np.int64)
                 own = ~np.repeat(np.frombuffer(row.held, bool), sizes)
-                pair, n = np.unique((before(s, sizes) * n_symbols + s)[own], return_counts=True)
-                part = pair // n_symbols % parts_
-                for p in np.unique(part).tolist():
-                    yield pd.DataFrame({"part": [p], "pairs": [press_sorted(pair[part == p].astype(np.uint64))], "n": [press(n[part == p].astype("<i8"))]})
+                new = np.unique((before(s, sizes) * n_symbols + s)[own], return_counts=True)
+                pair, n = added([pair, new[0]], [n, new[1]])
+        for p in range(parts_):
+            if (own := pair % parts_ == p).any():
+                yield pd.DataFrame({"part": [p], "task": [task], "pairs": [press_sorted(pair[own].astype(np.uint64))], "n": [press(n[own])]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        pair, inverse = np.unique(np.concatenate([unpress_sorted(x) for x in rows["pairs"]]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([unpress(x, "<i8") for x in rows.n]), len(pair)).astype("<i8")
-        return pd.DataFrame({"pairs": [press_sorted(pair)], "n": [press(n)]})
+        pair, n = added([unpress_sorted(x) for x in rows["pairs"]], [unpress(x, "<i8") for x in rows.n])
+        return pd.DataFrame({"part": [rows.part.iloc[0]], "task": [rows.task.iloc[0] // FAN_IN], "pairs": [press_sorted(pair)], "n": [press(n)]})
 
-    dealt = texts.select("held", "sizes", "symbols").mapInPandas(count, "part long, pairs binary, n binary")
-    return stage(dealt.groupBy("part").applyInPandas(add, "pairs binary, n binary"), "pairs", "uncompressed")
+    kind = "part long, task long, pairs binary, n binary"
+    out = texts.select("held", "sizes", "symbols").mapInPandas(count, kind)
+    tasks = max(2, texts.rdd.getNumPartitions())
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        out = out.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(add, kind)
+    return stage(out.select("pairs", "n"), "pairs", "uncompressed")
 
 
 def contexts(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +283,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     c = Counts(n, answers.where("block < 0").select("v", "tails", "core_keys", "core_counts").collect())
     texts = symbolic(blocks, answers, c)
     n_symbols = len(c.keys) + TAILS
-    classes, m = clustered(symbol_pairs(texts, n_symbols, 1 + n_symbols // 512), c)
+    classes, m = clustered(symbol_pairs(texts, n_symbols, n), c)
     prior = (m.sum(0) + 1) / (m.sum() + len(m))
     moves = np.log10((m + SMOOTH * prior) / (m.sum(1, keepdims=True) + SMOOTH))
     sizes_of = np.bincount(classes[: len(c.keys)], c.counts, CLASSES + TAILS) if len(c.keys) else np.zeros(CLASSES + TAILS)
