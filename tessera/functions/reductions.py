@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import types as T
@@ -37,6 +37,8 @@ class Reduction:
     aggregate: Callable[[Column], Column]
     fold: Callable[[Column, Column], Column]
     identity: object
+    #: What has to be done to rows (group columns, v) before they are aggregated.
+    prepare: Callable[[DataFrame, list[str]], DataFrame] | None = None
 
 
 class Unsupported(ValueError):
@@ -122,9 +124,9 @@ def _of_number(kind: Kind, t: T.ElementType) -> Reduction:
     if kind is Kind.MUL:
         if t.is_float:
             return Reduction(kind, t, cast(F.product), cast(lambda a, b: a * b), 1)
-        # Exact for integers: only the factors travel, pre-aggregated as how often each value comes.
+        # Exact for integers, over the few factors that _few_factors leaves.
         exact = lambda v: F.aggregate(F.collect_list(v), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x.cast("decimal(20,0)")).cast("decimal(38,0)"))
-        return Reduction(kind, t, cast(exact), cast(lambda a, b: a * b), 1)
+        return Reduction(kind, t, cast(exact), cast(lambda a, b: a * b), 1, _few_factors)
     if kind in (Kind.MAX, Kind.MIN):
         # NaN is the largest value in both, as in Spark's order.
         bounds = (float("-inf"), float("inf")) if t.is_float else t.limits()
@@ -135,6 +137,20 @@ def _of_number(kind: Kind, t: T.ElementType) -> Reduction:
     return Reduction(kind, t, bits[0], lambda a, b: getattr(a, bits[1])(b), bits[2])
 
 
+def _few_factors(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with the same product and at most 67 of them a group: 64 factors of 2 or more overflow any integer type, so more can't matter;
+    of the others, a zero, or a sign, says it all. Spark limits each group before the shuffle too."""
+    v = F.col("v")
+    turn = F.row_number().over(Window.partitionBy(*names).orderBy("v")) if names else F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v"))
+    zero = rows.where(v == 0).select(*names, "v").distinct()
+    signs = rows.where(v == -1).groupBy(*names).agg((F.count("*") % 2).alias("odd")).select(*names, F.when(F.col("odd") == 1, -1).otherwise(1).cast(rows.schema["v"].dataType).alias("v"))
+    ones = rows.where(v == 1).select(*names, "v").distinct()
+    large = rows.where(F.abs(v) > 1).withColumn("turn", turn).where("turn <= 64").select(*names, "v")
+    if names:  # a product that holds a zero can't overflow
+        large = large.join(zero.select(*names), names, "left_anti")
+    return zero.unionByName(signs).unionByName(ones).unionByName(large)
+
+
 def _one_after_the_other(name: str, t: T.ElementType) -> Reduction:
     """What is there less, or divided by, every value: the values' sum, or product, is taken first."""
     if t.name == "bool" or t.is_complex or not (t.is_float or t.is_integer):
@@ -142,4 +158,4 @@ def _one_after_the_other(name: str, t: T.ElementType) -> Reduction:
     inner = _of_number(Kind.ADD if name == "minus" else Kind.MUL, t)
     if name == "minus":
         return Reduction(name, t, inner.aggregate, lambda a, b: (a - b).cast(t.spark), 0)
-    return Reduction(name, t, inner.aggregate, lambda a, b: (a / b).cast(t.spark), 1)
+    return Reduction(name, t, inner.aggregate, lambda a, b: (a / b).cast(t.spark), 1, inner.prepare)

@@ -93,18 +93,23 @@ def scatter(target: Store, ind: Store, source: Store, redop: Kind | str | None =
     """target[ind[i]] = source[i]. Without redop, the source's last cell (in C order) counts where points repeat; check raises then."""
     _same_type(target, source)
     _indirect(ind, target, source)
-    return _scattered(target, _points(ind, "t").join(source.df, coords(ind.ndim)), coords(ind.ndim), redop, check)
+    return _scattered(target, _points(ind, "t").join(source.df, coords(ind.ndim)), ind.shape, redop, check)
 
 
-def _scattered(target: Store, rows: DataFrame, order: list[str], redop: Kind | str | None, check: bool) -> Store:
+def _scattered(target: Store, rows: DataFrame, shape: tuple[int, ...], redop: Kind | str | None, check: bool) -> Store:
     at = [f"t{k}" for k in range(target.ndim)]
     rows = _within(rows, target)
     if redop is not None:
-        value = lookup(redop, target.type).aggregate(F.col("v"))
+        r = lookup(redop, target.type)
+        rows = rows if r.prepare is None else r.prepare(rows.select(*at, "v"), at)
+        value = r.aggregate(F.col("v"))
     else:
         if check and not rows.groupBy(*at).count().where("count > 1").isEmpty():
             raise DuplicatePoints("several source cells go to one target cell")
-        value = F.max_by("v", F.struct(*order))
+        place = "0L"
+        for k, n in enumerate(shape):
+            place = f"({place}) * {n}L + d{k}"
+        value = F.max_by("v", F.expr(place))
     rows = rows.groupBy(*at).agg(value.alias("v"))
     return _put(target, rows.select(*[F.col(a).alias(f"d{k}") for k, a in enumerate(at)], "v"), redop)
 
@@ -117,12 +122,13 @@ def scatter_gather(target: Store, target_ind: Store, source: Store, source_ind:
     _indirect(source_ind, source, target_ind)
     _indirect(target_ind, target, source_ind)
     rows = _points(target_ind, "t").join(_gathered(source, source_ind), coords(target_ind.ndim))
-    return _scattered(target, rows, coords(target_ind.ndim), redop, check)
+    return _scattered(target, rows, target_ind.shape, redop, check)
 
 
 def fold_into(target: Store, rows: DataFrame, reduction: Reduction) -> Store:
     """rows d0, ..., v with any number of rows a cell: aggregated, then folded into what is there; cells without rows stay."""
     names = coords(target.ndim)
+    rows = rows if reduction.prepare is None else reduction.prepare(rows, names)
     new = rows.groupBy(*names).agg(reduction.aggregate(F.col("v")).alias("w")) if names else rows.agg(reduction.aggregate(F.col("v")).alias("w"), F.count("*").alias("n")).where("n > 0").drop("n")
     both = target.df.join(new.withColumn("hit", F.lit(True)), names, "left") if names else target.df.join(F.broadcast(new.withColumn("hit", F.lit(True))), how="left")
     out = both.select(*names, F.when(F.col("hit"), reduction.fold(F.col("v"), F.col("w").cast(target.type.spark))).otherwise(F.col("v")).alias("v"))

@@ -64,6 +64,11 @@ def test_projections_and_empty_groups(spark):
 def test_integer_products_are_exact_and_overflow_raises(spark):
     a = np.array([3] * 39)
     assert A.reduce(from_numpy(spark, a), from_scalar(spark, 1), Kind.MUL).scalar() == 3**39
+    a = np.array([[-1, 2, 0, 1], [-1, 3, 2**40, 1], [-1, -1, 2**40, 1]])
+    assert A.reduce(A.rows_of(from_numpy(spark, a)), create_store(spark, T.int64, (4,)).fill(1), Kind.MUL).to_numpy().tolist() == [-1, -6, 0, 1]
+    assert A.reduce(from_numpy(spark, np.array([1, -1] * 500 + [7])), from_scalar(spark, 1), Kind.MUL).scalar() == 7
+    with pytest.raises(Exception, match="(?i)overflow|range|precision|represent"):
+        A.reduce(from_numpy(spark, np.array([3] * 500)), from_scalar(spark, 1), Kind.MUL).to_numpy()
     with pytest.raises(Exception, match="(?i)overflow|range"):
         A.reduce(from_numpy(spark, np.array([2**40, 2**40])), from_scalar(spark, 1), Kind.MUL).to_numpy()
 
