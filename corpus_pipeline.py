@@ -26,7 +26,7 @@ ORACLE_SQL = None
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows of docs without those whose id is rejected; the ids are broadcast only if there are few of them."""
     ids = stage(rejected.select("doc_id").distinct(), "rejected")
-    return docs.join(if_small(ids, ids.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(if_small(ids, ids.count(), 48), "doc_id", "left_anti").select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

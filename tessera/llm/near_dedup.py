@@ -1,9 +1,9 @@
 """MinHash near-dedup (op1): multi-index Hamming join of b-bit signatures.
 
 Each distinct set of word shingles gets SYMBOLS minimum hashes of 16 bits each. Two sets with a Jaccard similarity of 0.85 differ in
-9.75 of 65 symbols on average (deviation 2.9); pairs that differ in up to ERRORS = 24 are candidates, so a pair at the bound is missed
-about once in half a million. The symbols are split into CHUNKS; by the pigeonhole principle a pair with at most ERRORS differing
-symbols has a chunk with at most its allowed errors, because the allowances add up to ERRORS - CHUNKS + 1. Each allowed choice of
+9.75 of 65 symbols on average (deviation 2.9); pairs that differ in up to 24 symbols (MARGIN deviations more) are candidates, so a pair
+at the bound is missed about once in half a million. The symbols are split into CHUNKS; by the pigeonhole principle a pair with at most E
+differing symbols has a chunk with at most its allowed errors, because the allowances add up to E - CHUNKS + 1. Each allowed choice of
 left-out symbols gives a key, and equal keys meet, which finds every pair under the bound. Full sets then confirm each link.
 
 Large groups make no pairs: equal sets are one class first; then each class is compared with the nearest pivot (smallest class) of its
@@ -18,6 +18,7 @@ nothing; an empty table gives no rows; other columns play no part, whatever thei
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Words, mix, ready, stage, steps, string, table
 from .components import components
 
-SYMBOLS, CHUNKS, ERRORS = 65, 13, 24
+SYMBOLS, CHUNKS, MARGIN = 65, 13, 4.8
 WIDTH = SYMBOLS // CHUNKS
 #: Members of a pivot that one task compares with it.
 MEMBERS = 256
@@ -39,9 +40,15 @@ _LANES = -(-SYMBOLS // 4)
 _SEEDS = np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def chunk_keys() -> list[tuple[int, tuple[int, ...]]]:
+def errors_of(percent: int) -> int:
+    """Differing symbols up to which pairs are candidates for a similarity of percent / 100."""
+    q = 1 - percent / 100
+    return min(SYMBOLS - 1, math.ceil(SYMBOLS * q + MARGIN * math.sqrt(SYMBOLS * q * (1 - q))))
+
+
+def chunk_keys(errors: int) -> list[tuple[int, tuple[int, ...]]]:
     """(chunk, symbols that a key keeps) for each key of a signature."""
-    spare = ERRORS - CHUNKS + 1
+    spare = max(0, errors - CHUNKS + 1)
     out = []
     for c in range(CHUNKS):
         allowed = spare // CHUNKS + (c < spare % CHUNKS)
@@ -113,9 +120,9 @@ def signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>")
 
 
-def keyed(classes: DataFrame) -> DataFrame:
+def keyed(classes: DataFrame, errors: int) -> DataFrame:
     """key, rep: a row for each key of each class."""
-    plan = chunk_keys()
+    plan = chunk_keys(errors)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mults = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,7 +205,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     sigs = stage(signed(docs, words, id_col, text_col), "signatures")
     same = ["n_shingles", "set_a", "set_b"]
     classes = stage(sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    keys = keyed(classes)
+    errors = errors_of(percent)
+    keys = keyed(classes, errors)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     keys = stage(keys.join(shared.select("key", "pivot"), "key"), "keys")
     near = stage(keys.select("rep").distinct().join(classes.select("rep", "n_shingles", "sig"), "rep"), "near-signatures")
@@ -207,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     texts = stage(source.groupBy(id_col).agg(F.first("text").alias("text")).withColumnRenamed(id_col, "rep"), "near-texts")
 
     def close(n: str, m: str, x: str, y: str) -> Column:
-        return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (differing(F.col(x), F.col(y)) <= ERRORS)
+        return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (differing(F.col(x), F.col(y)) <= errors)
 
     # Each class with the pivots of its keys: one link a class is confirmed; all of them make families.
     a = near.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("sig").alias("sig_pivot"))

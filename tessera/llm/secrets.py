@@ -105,15 +105,13 @@ def ratio(run: Column, table_: Column) -> Column:
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     ready(docs.sparkSession)
-    weights = F.array(*[F.lit(x) for x in fit(docs, id_col, text_col, sample)])
-    model = docs.sparkSession.range(1, numPartitions=1).select(weights.alias("weights"))  # one row of fixed size
+    weights = F.expr("array(" + ", ".join(f"{x!r}D" for x in fit(docs, id_col, text_col, sample)) + ")")  # a literal of fixed size
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", text.alias("text"))
     own = own.select("id", base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike(RUN), places(F.col("text"), RUN, 3)).otherwise(F.array().cast(_NONE)).alias("runs"))
-    own = own.crossJoin(F.broadcast(model))
 
     def random(r: Column) -> Column:
-        total = ratio(r["value"], F.col("weights"))
+        total = ratio(r["value"], weights)
         return (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * (F.length(r["value"]) - 1))
 
     own = own.select("id", "base", F.array_sort(F.concat("base", F.filter(outside(F.col("runs"), F.col("base")), random))).alias("spans"))

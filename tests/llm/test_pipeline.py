@@ -63,3 +63,18 @@ def test_run_is_registered(spark):
 
     assert "pipeline" in e.queries() and all(any(k.startswith(f"op{n}_") for k in e.queries()) for n in range(1, 11))
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    from tessera.llm import queries as q
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name, sql in q.oracle_sql().items():
+        df = q.queries()[name](spark, SF)
+        said = con.execute(sql)
+        columns = [d[0] for d in said.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(said.fetchall())
