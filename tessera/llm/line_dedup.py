@@ -2,11 +2,12 @@
 
 Lines (between line feeds, trimmed) of at least MIN_CHARS characters take part. A line's set is its distinct shingles of SHINGLE
 characters; two lines are linked if the Jaccard similarity of their sets is at least 0.8. Signatures have BANDS * ROWS minimum hashes:
-pairs at 0.8 share a band with a probability of 0.985, pairs at 0.9 with 0.9998. Candidates are confirmed on their full sets, linked
+pairs at 0.8 share a band with a probability of 0.985, pairs at 0.9 with 0.9998. Candidates whose signatures agree in most minimums are confirmed on their full sets; linked
 lines are joined into components, and one line of each component stays: the first one (smallest document id, then the leftmost).
 
-Equal lines are one class first. Within a band's group, classes are compared with one pivot in each of a few rounds; groups whose classes
-are still in several components then compare all of those. So a line that very many documents hold makes no pairs.
+Equal lines are one class first. Within a band's group, classes are compared with one pivot in each of a few rounds, the class that occurs
+most first; groups whose classes are still in several components then compare all of those, inside the join, so that only similar
+pairs come out. A line that very many documents hold makes no pairs.
 
 Defined results: a null text has no lines and stays null; shorter lines always stay; rows with a null id come after all others; equal
 rows (same id and text) are equally early, so each keeps its lines; an empty table gives no rows; other columns stay as they are.
@@ -14,14 +15,18 @@ rows (same id and text) are equally early, so each keeps its lines; an empty tab
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready, stage, table
 from .components import components
 
-MIN_CHARS, SHINGLE, BANDS, ROWS = 24, 12, 8, 4
+MIN_CHARS, SHINGLE, BANDS, ROWS = 24, 8, 8, 4
 PERCENT = 80
+#: Of 32 minimums, those that may differ in a candidate: 6 do on average at a similarity of 0.8 (deviation 2.2).
+DIFFERING = 13
 #: Rounds that link classes to pivots before pairs are made; their number changes the cost, not the result.
 ROUNDS = 2
 #: A table of at most this size (counted rows times bytes a row) is broadcast; larger ones are joined by a shuffle.
@@ -37,11 +42,15 @@ def code_units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
-def shingle_set(line: Column) -> Column:
-    """Distinct shingles of a line of at least SHINGLE characters."""
-    bytes_ = code_units(line)
-    n = F.length(bytes_) / 2
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), (n - SHINGLE).cast("int")), lambda i: F.substring(bytes_, i * 2 + 1, F.lit(2 * SHINGLE))))
+def shingle_set(units: Column, f: Callable[[Column], Column] = F.xxhash64) -> Column:
+    """Distinct shingles (as hashes: Spark's set functions compare binaries one by one) of a line's code units, a plain column."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(units) / 2 - SHINGLE).cast("int")), lambda i: f(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+
+
+def similar(x: str, y: str, percent: int) -> Column:
+    """Whether two sets have at least that Jaccard similarity."""
+    shared = F.size(F.array_intersect(x, y))
+    return F.lit(100) * shared >= F.lit(percent) * (F.size(x) + F.size(y) - shared)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,49 +61,70 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """a, b, first (doc, pos), n (occurrences), keys (one for each band)."""
+    """a, n (occurrences), keys (one for each band), s0 and s1 (four bits of each minimum). Buffers are ints alone, so that the aggregate hashes and never sorts the exploded shingles."""
     seeds = [(0x9E3779B1 * (k + 1) ^ 0x5BD1E995 * (k + 7)) & 0x7FFFFFFF for k in range(BANDS * ROWS)]
-    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
-    own = lines.select("a", "b", first.alias("first"), code_units(F.col("line")).alias("units"))
+    own = lines.select("a", code_units(F.col("line")).alias("units"))
     where = F.sequence(F.lit(0), (F.length("units") / 2 - SHINGLE).cast("int"))
-    each = own.select("a", "b", "first", "units", F.explode(where).alias("i"))
-    each = each.select("a", "b", F.when(F.col("i") == 0, F.col("first")).alias("first"), F.hash(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h"))
-    mins = [F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds)]
-    sigs = each.groupBy("a", "b").agg(F.min("first").alias("first"), F.count("first").alias("n"), *mins)
+    each = own.select("a", "units", F.explode(where).alias("i"))
+    each = each.select("a", F.when(F.col("i") == 0, 1).alias("one"), F.hash(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h"))
+    sigs = each.groupBy("a").agg(F.count("one").alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{k}") for k, s in enumerate(seeds)])
     keys = F.array(*[F.xxhash64(F.lit(k), *[f"m{k * ROWS + r}" for r in range(ROWS)]) for k in range(BANDS)])
-    return sigs.select("a", "b", "first", "n", keys.alias("keys"))
+    bits = [F.shiftrightunsigned(F.hash(f"m{k}"), 28).cast("long") for k in range(BANDS * ROWS)]
+    packed = [sum((F.shiftleft(b, 4 * j) for j, b in enumerate(bits[k + 1 : k + 16], 1)), bits[k]) for k in (0, 16)]
+    return sigs.select("a", "n", keys.alias("keys"), packed[0].alias("s0"), packed[1].alias("s1"))
+
+
+def differing(other: str) -> Column:
+    """Minimums of 32 in which s0, s1 and those of another line differ, as far as four bits tell."""
+    total = None
+    for k in (0, 1):
+        x = F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}{other}"))
+        folded = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        n = F.bit_count(folded.bitwiseAND(F.lit(0x1111111111111111)))
+        total = n if total is None else total + n
+    return total
+
+
+def occurrences(lines: DataFrame) -> DataFrame:
+    """a, b, first (doc, pos), n: each class once."""
+    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
+    return lines.select("a", "b", first.alias("first")).groupBy("a", "b").agg(F.min("first").alias("first"), F.count("*").alias("n"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (p, id), those whose full sets are similar enough."""
-    both = pairs.join(texts.select(F.col("id").alias("p"), F.col("line").alias("line_p")), "p").join(texts, "id")
-    both = both.withColumn("x", shingle_set(F.col("line_p"))).withColumn("y", shingle_set(F.col("line")))
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(F.lit(100) * shared >= F.lit(PERCENT) * (F.size("x") + F.size("y") - shared)).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    both = pairs.join(texts.select(F.col("id").alias("p"), F.col("units").alias("units_p")), "p").join(texts, "id")
+    both = both.withColumn("x", shingle_set(F.col("units_p"))).withColumn("y", shingle_set(F.col("units")))
+    return both.where(similar("x", "y", PERCENT)).select(F.col("p").alias("a"), F.col("id").alias("b"))
 
 
 def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
-    """id, component of the classes that have links to others; id is a class's 64-bit `a` (two classes with one `a` take no part)."""
-    keys = sigs.groupBy("a").agg(F.count("*").alias("n"), F.first("keys").alias("keys")).where("n = 1").select(F.col("a").alias("id"), F.explode("keys").alias("key"))
-    keys = stage(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "line-keys")
+    """id, component of the classes that have links to others; id is a class's `a`."""
+    keys = sigs.select(F.col("a").alias("id"), F.explode("keys").alias("key"))
+    keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+    keys = stage(keys.join(sigs.select(F.col("a").alias("id"), F.col("n").alias("often"), "s0", "s1"), "id"), "line-keys")
     wanted = stage(keys.select("id").distinct(), "line-candidates")
-    texts = lines.select(F.col("a").alias("id"), "line").join(if_small(wanted, wanted.count(), 16), "id", "left_semi")
-    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
-    size = texts.select("id", F.length("line").alias("size"))
+    texts = lines.select(F.col("a").alias("id"), "line").join(if_small(wanted, wanted.count(), 48), "id", "left_semi")
+    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")).select("id", code_units(F.col("line")).alias("units")), "line-texts")
     members, links = keys.withColumn("component", F.col("id")), None
     for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            pivots = members.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
-            pairs = members.join(pivots, "key").where("component != p.component").select(F.col("p.id").alias("p"), "id")
-        else:
-            other = members.select("key", F.col("id").alias("p"), F.col("component").alias("component_p"))
-            pairs = members.join(other, "key").where("p < id and component != component_p").select("p", "id")
+        if turn < ROUNDS:  # the class that occurs most is the pivot, then any
+            first = F.struct(-F.col("often"), "id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            pivots = members.groupBy("key").agg(F.min_by(F.struct("id", "component", "s0", "s1"), first).alias("p"))
+            other = pivots.select("key", F.col("p.id").alias("p"), F.col("p.component").alias("component_p"), F.col("p.s0").alias("s0_p"), F.col("p.s1").alias("s1_p"))
+            pairs = members.join(other, "key").where((F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING))
+        else:  # all pairs, each at the first key that it shares; only those that 32-bit sets find similar come out of the join
+            sets = members.select("id").distinct().join(texts, "id").join(sigs.select(F.col("a").alias("id"), "keys"), "id").select("id", "keys", shingle_set(F.col("units"), F.hash).alias("set"))
+            own = members.join(sets, "id").select("key", "id", "component", "s0", "s1", "keys", "set")
+            other = own.select("key", *[F.col(c).alias("p" if c == "id" else f"{c}_p") for c in own.columns[1:]])
+            first = F.array_min(F.array_intersect("keys", "keys_p")) == F.col("key")
+            pairs = own.join(other, "key").where((F.col("p") < F.col("id")) & (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING) & first & similar("set", "set_p", PERCENT - 1))
         pairs = pairs.select(F.least("p", "id").alias("p"), F.greatest("p", "id").alias("id")).distinct()
         found = stage(confirmed(pairs, texts), "line-links")
         links = found if links is None else links.union(found)
         reached = stage(components(links, native=True), "line-components")
         if turn < ROUNDS:
-            members = keys.join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+            members = keys.join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "often", "s0", "s1", F.coalesce("component", "id").alias("component"))
             several = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
             members = stage(members.join(several, "key"), "line-open-keys")
             if members.isEmpty():
@@ -105,13 +135,13 @@ def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row_a, row_b, drop (positions of the lines that go) for rows that lose lines."""
     lines = lines_of(docs, id_col, text_col)
-    sigs = stage(signed(lines), "line-signatures")
-    reached = linked(lines, sigs)
-    known = sigs.join(reached, sigs.a == reached.id, "left").select("a", "b", "first", "n", F.coalesce("component", "a").alias("component"), F.when(F.col("component").isNull(), F.col("b")).alias("alone"))
+    reached = linked(lines, stage(signed(lines), "line-signatures"))
+    known = stage(occurrences(lines), "line-classes")
+    known = known.join(reached, known.a == reached.id, "left").select("a", "b", "first", "n", F.coalesce("component", "a").alias("component"), F.when(F.col("component").isNull(), F.col("b")).alias("alone"))
     firsts = known.groupBy("component", "alone").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
     again = stage(known.join(firsts, (known.component == firsts.component) & known.alone.eqNullSafe(firsts.alone)).select("a", "b", "keep"), "repeated-lines")
     at = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
-    gone = lines.select("row_a", "row_b", "doc", "pos", "a", "b").join(if_small(again, again.count(), 56), ["a", "b"]).where(at > F.col("keep"))
+    gone = lines.select("row_a", "row_b", "doc", "pos", "a", "b").join(if_small(again, again.count(), 112), ["a", "b"]).where(at > F.col("keep"))
     return stage(gone.groupBy("row_a", "row_b").agg(F.collect_set("pos").alias("drop")), "dropped-lines")
 
 
@@ -123,7 +153,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(names)], F.xxhash64(id_col, text_col).alias("row_a"), F.xxhash64(text_col, id_col, F.lit(7)).alias("row_b"))
     text = F.col(f"in_{names.index(text_col)}")
-    own = own.join(if_small(drop, size.n, 40 + 8 * int((size.m or 0) / max(1, size.n))), ["row_a", "row_b"], "left")
+    own = own.join(if_small(drop, size.n, 72 + 8 * int((size.m or 0) / max(1, size.n))), ["row_a", "row_b"], "left")
     kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n"))
     columns = [(kept if c == text_col else F.col(f"in_{k}")).alias(c) for k, c in enumerate(names)]
     extra = {"n_lines": F.coalesce(F.when(text.isNotNull(), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("drop"), F.lit(0)).cast("long")}

@@ -10,7 +10,7 @@ def brute(rows, similar=0.8):
     """Kept texts by row; links between all lines that take part."""
     where = [(i, k, x.strip(" ")) for i, t in rows if t is not None for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= 24]
     lines = sorted({x for _, _, x in where})
-    sets = [{x[k : k + 12] for k in range(len(x) - 11)} for x in lines]
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
     up = list(range(len(lines)))
 
     def root(x):
