@@ -114,6 +114,9 @@ def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
             other = pivots.select("key", F.col("p.id").alias("p"), F.col("p.component").alias("component_p"), F.col("p.s0").alias("s0_p"), F.col("p.s1").alias("s1_p"))
             pairs = members.join(other, "key").where((F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING))
         else:  # all pairs, each at the first key that it shares; only those that 32-bit sets find similar come out of the join
+            near = members.select("key", *[F.col(c).alias("p" if c == "id" else f"{c}_p") for c in ("id", "component", "s0", "s1")])
+            apart = (members["key"] == near["key"]) & (F.col("p") != F.col("id")) & (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING)
+            members = stage(members.join(near, apart, "left_semi"), "line-open-keys")  # those with a candidate at all
             sets = members.select("id").distinct().join(texts, "id").join(sigs.select(F.col("a").alias("id"), "keys"), "id").select("id", "keys", shingle_set(F.col("units"), F.hash).alias("set"))
             own = members.join(sets, "id").select("key", "id", "component", "s0", "s1", "keys", "set")
             other = own.select("key", *[F.col(c).alias("p" if c == "id" else f"{c}_p") for c in own.columns[1:]])
