@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, ready, stage, steps, string, table
+from .common import new_folder, press, ready, stage, steps, string, table, unpress
 
 MAGIC = b"TKHUF001"
 END_ID = 2
@@ -32,7 +33,7 @@ LIMIT = 16
 BLOCK = 1024
 TOKENS_PER_FILE = 8_000_000
 #: Stretches whose ids a worker remembers; beyond it the memory starts anew (results don't depend on it).
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 # --- encoding by the tokenizers library -----------------------------------------------------------------------------
@@ -42,13 +43,12 @@ class LibraryEncoder:
     """encode_batch of the tokenizers library, asked only for stretches of text that it has not encoded before.
 
     With a byte-level pre-tokenizer and no normalizer, a single space before a non-space always starts a piece, so the ids of a text
-    are those of its stretches between such places. Texts that hold an added token's string, and other kinds of tokenizer, are
-    encoded whole.
+    are those of its stretches between such places, and stretches that start so can be encoded in one string: the tokens' sizes
+    tell whose they are. Texts that hold an added token's string, and other kinds of tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,52 +58,72 @@ class LibraryEncoder:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
         self.apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
-        self.added = regex.compile("|".join(regex.escape(a["content"]) for a in spec["added_tokens"]) or r"(?!)")
-        self.gap = regex.compile(r" (?:\s|$)")
-        self.pieces = regex.compile(r" ?\S+|\s+(?=\s)(?! \S)|\s")
-        self.size = self.tokenizer.get_vocab_size(True)
-        self.kind = "H" if self.size <= 1 << 16 else "I"
+        self.added = [a["content"] for a in spec["added_tokens"]]
+        self.gap = re.compile(r" (?:\s|\Z)").search
+        size = self.tokenizer.get_vocab_size(True)
+        self.kind = "H" if size <= 1 << 16 else "I"
+        self.bytes_in = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # byte-level: a character a byte
         self.known: dict[str, bytes] = {}
 
     def stretches(self, text: str) -> list[str] | None:
         """None: encode the text whole."""
-        if not self.apart or self.added.search(text) or self.gap.search(text):
+        if not self.apart or "\0" in text or self.gap(text) or any(a in text for a in self.added):
             return None
-        return [a if k == 0 else " " + a for k, a in enumerate(text.split(" "))]
+        return text.replace(" ", "\0 ").split("\0")
+
+    def learn(self, stretches: list[str], at_once: int = 4000) -> None:
+        """Have the library encode stretches: those with a space before them many in one string, others one by one."""
+        inner = [p for p in stretches if p[:1] == " "]
+        alone = [p for p in stretches if p[:1] != " "]
+        groups = [inner[k : k + at_once] for k in range(0, len(inner), at_once)] + [[p] for p in alone]
+        joined = ["".join(g) for g in groups]
+        size = 2 if self.kind == "H" else 4
+        for group, text, e in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = array(self.kind, e.ids)
+            data = ids.tobytes()
+            if len(group) == 1:
+                self.known[group[0]] = data
+                continue
+            lengths = np.fromiter(map(len, group) if text.isascii() else (len(p.encode("utf-8", "replace")) for p in group), np.int64, len(group))
+            cuts = [0, *((np.searchsorted(np.cumsum(self.bytes_in[ids]), np.cumsum(lengths)) + 1) * size).tolist()]
+            self.known.update(zip(group, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 16-bit (a vocabulary of up to 65,536) or 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        parts = [self.stretches(t) for t in texts]
-        unseen = list({p for x in parts if x for p in x} - self.known.keys())
-        whole = [t for t, x in zip(texts, parts) if x is None]
-        done = self.tokenizer.encode_batch_fast(unseen + whole, add_special_tokens=False)
-        kind = self.kind
-        self.known.update((p, array(kind, e.ids).tobytes()) for p, e in zip(unseen, done))
-        rest = iter(done[len(unseen) :])
-        out = [b"".join(map(self.known.__getitem__, x)) if x is not None else array(kind, next(rest).ids).tobytes() for x in parts]
-        for p in unseen:
-            if len(p) >= 64:
-                del self.known[p]
-        return out
+        known, parts = self.known, [self.stretches(t) for t in texts]
+        self.learn(list(set().union(*(x for x in parts if x is not None)) - known.keys()))
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, parts) if x is None], add_special_tokens=False))
+        return [b"".join(map(known.__getitem__, x)) if x is not None else array(self.kind, next(whole).ids).tobytes() for x in parts]
 
 
 _made: dict[str, LibraryEncoder] = {}
 
 
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each Python worker."""
+    if path not in _made:
+        _made[path] = LibraryEncoder(path)
+    return _made[path]
+
+
 def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens (with the end id) and ids (zstd-packed)."""
+    """doc_id, n_tokens (with the end id), ids (zstd-packed) and, in some rows, counts of several rows' ids."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = _made.setdefault(path, None) or _made.__setitem__(path, LibraryEncoder(path)) or _made[path]
+        e = library_encoder(path)
+        kind = "<u2" if e.kind == "H" else "<u4"
         end, pack = array(e.kind, [end_id]).tobytes(), zstandard.ZstdCompressor(1, write_content_size=True)
         for rows in parts:
-            for some in steps(rows, "text"):
+            for some in steps(rows, "text", 2 << 20):
                 ids = [x + end for x in e.encode([string(t) or "" for t in some.text])]
-                yield pd.DataFrame({"doc_id": some.doc_id.to_numpy(), "n_tokens": [len(x) // len(end) for x in ids], "wide": e.kind == "I", "ids": [pack.compress(x) for x in ids]})
+                total = np.bincount(np.frombuffer(b"".join(ids), kind))
+                seen = np.flatnonzero(total)
+                counts = [press(np.stack([seen, total[seen]]).reshape(-1))] + [None] * (len(ids) - 1)  # with the first row of a step
+                yield pd.DataFrame({"doc_id": some.doc_id.to_numpy(), "n_tokens": [len(x) // len(end) for x in ids], "wide": e.kind == "I", "ids": [pack.compress(x) for x in ids], "counts": counts})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, wide boolean, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, wide boolean, ids binary, counts binary")
 
 
 def unpacked(wide: bool, ids: bytes) -> np.ndarray:
@@ -116,17 +136,15 @@ def token_counts(ids: DataFrame) -> np.ndarray:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for rows in parts:
-            for wide, packed in zip(rows.wide, rows.ids):
-                c = np.bincount(unpacked(wide, packed))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
+            for packed in rows.counts:
+                seen, n = unpress(packed, np.int64).reshape(2, -1)
+                if seen[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(seen[-1] + 1 - len(total), np.int64)])
+                total[seen] += n
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"token": seen, "n": total[seen]})
 
-    rows = ids.select("wide", "ids").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("counts").where("counts is not null").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows.token.max()) + 1 if len(rows) else 0, np.int64)
     out[rows.token.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return out
@@ -271,7 +289,7 @@ class TokenFile:
             at += self.size[code]
         return out.reshape(-1)[:total]
 
-    def documents(self, at_once: int = 2048) -> Iterator[tuple[int | None, np.ndarray]]:
+    def documents(self, at_once: int = 8192) -> Iterator[tuple[int | None, np.ndarray]]:
         """(id, token ids) in file order, with a few blocks in memory."""
         held, block = np.zeros(0, np.uint32), 0
         for k, n in enumerate(self.sizes.tolist()):
@@ -303,11 +321,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
 
         w, doc_ids, sizes = BitWriter(code.value), [], []
         for rows in parts:
-            for d, wide, packed in zip(rows.doc_id.astype(object), rows.wide, rows.ids):
-                flat = unpacked(wide, packed)
-                w.add(flat)
-                doc_ids.append(None if d is None or d != d else int(d))
-                sizes.append(len(flat))
+            doc_ids += [None if d is None or d != d else int(d) for d in rows.doc_id.astype(object)]
+            sizes += rows.n_tokens.tolist()
+            for k in range(0, len(rows), 500):
+                some = rows.iloc[k : k + 500]
+                w.add(np.concatenate([unpacked(wide, packed) for wide, packed in zip(some.wide, some.ids)]))
         if sizes:
             part = TaskContext.get().partitionId()
             fs, where = pafs.FileSystem.from_uri(folder)
@@ -317,7 +335,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
             yield pd.DataFrame({"part": [part], "file": [name], "documents": [len(sizes)], "tokens": [w.tokens], "bytes": [size]})
 
     n = -(-total // tokens_per_file)
-    ordered = ids.repartitionByRange(int(n), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids") if n > 1 else ids.repartition(1).sortWithinPartitions("doc_id", "n_tokens", "ids")
+    ids = ids.drop("counts")
+    ordered = (ids.repartitionByRange(int(n), "doc_id") if n > 1 else ids.repartition(1)).sortWithinPartitions("doc_id", "n_tokens", "ids")
     made = stage(ordered.mapInPandas(write, "part long, file string, documents long, tokens long, bytes long"), "files").orderBy("part").collect()
     return [(r.file, r.documents, r.tokens, r.bytes) for r in made]
 
