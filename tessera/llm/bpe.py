@@ -28,7 +28,7 @@ from .common import ready, steps, string, table
 #: The pre-tokenizer's pattern of the byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; beyond it the memory starts anew (results don't depend on it).
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:

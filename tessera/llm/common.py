@@ -93,7 +93,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES)
+        size = max(n, 1 << 20)
         for name, base in (("up", _M), ("down", _M_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -142,7 +142,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            for some in steps(rows, "text"):
+            for some in steps(rows, "text", 1 << 20):
                 words = normalized([string(t) for t in some.text])
                 found: list[set[int]] = [set() for _ in range(len(some))]
                 for file in files:

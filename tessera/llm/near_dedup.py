@@ -107,7 +107,7 @@ def signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            for some in steps(rows, "text"):
+            for some in steps(rows, "text", 1 << 20):
                 sets = shingle_sets([string(t) for t in some.text], words)
                 sig = signatures(sets).view(np.int64)
                 yield pd.DataFrame({

@@ -32,6 +32,8 @@ LIFT, LEAST_G2, LEAST_DOCS = 8.0, 25.0, 5
 NEIGHBOURS, SHRINK, BLOCK = 25, 0.5, 64
 HELD_OUT_OF, HELD_OUT, CUT = 4, 2, 0.3
 _STEMS = (4, 5, 6)
+#: Characters of text whose features are in memory at a time.
+STEP = 1 << 20
 _FILTER = np.uint64((1 << 20) - 1)
 
 
@@ -144,7 +146,7 @@ class Model:
             return self.empty_rate, []
         key = vector[0].tobytes() + vector[1].tobytes()
         if key not in self.known:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             vote, evidence = self.vote(vector)
             self.known[key] = (float(np.interp(vote, self.votes, self.rates)), evidence)
@@ -163,12 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in parts:
-            for s in steps(some, "text"):
+            for s in steps(some, "text", STEP):
                 doc, h = features([string(t) for t in s.text])
-                label = s.label.to_numpy(np.int64)[doc]
-                pair = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-                label = s.label.to_numpy(np.int64)[pair[:, 0].astype(np.int64)]
-                keys, inverse = np.unique(pair[:, 1], return_inverse=True)
+                once = np.unique(mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]  # a feature counts once a text
+                label = s.label.to_numpy(np.int64)[doc[once]]
+                keys, inverse = np.unique(h[once], return_inverse=True)
                 yield pd.DataFrame({"key": keys.view(np.int64), "n1": np.bincount(inverse, label, len(keys)).astype(np.int64), "n": np.bincount(inverse, minlength=len(keys))})
 
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in parts:
-            for s in steps(some, "text"):
+            for s in steps(some, "text", STEP):
                 v = model.vectors([string(t) for t in s.text])
                 yield pd.DataFrame({"id": s["id"].to_numpy(), "label": s.label.to_numpy(), "feature": [x[0] for x in v], "weight": [x[1] for x in v]})
 
@@ -215,7 +216,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for rows in parts:
-            for some in steps(rows, "text"):
+            for some in steps(rows, "text", STEP):
                 said = [model.score(v) for v in model.vectors([string(t) for t in some.text])]
                 yield pd.DataFrame({"id": some["id"].to_numpy(), "held_out": some.held_out.to_numpy(), "text": some.text.to_numpy() if keep_text else None, "score": [s for s, _ in said], "evidence": [e for _, e in said]})
 
