@@ -84,3 +84,17 @@ def test_on_documents(spark):
     assert sum(got[i] != want[i] for i in want) <= 3
     plan = op4_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_short_pairs_just_at_the_bound_are_found(spark):
+    from tessera.llm.line_dedup import line_dedup
+
+    rng = random.Random(7)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(1000):  # 18 shingles each, 16 of them shared: 16 of 20
+        stem = made(23)
+        rows += [(2 * i, stem + "01"), (2 * i + 1, stem + "23")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sum(r.n_removed for r in line_dedup(df).collect())
+    assert found >= 996, found
