@@ -1,9 +1,10 @@
 """Secret scans (op9), in DataFrame functions alone: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-Fixed patterns give spans of the kinds assign, access and hex. Besides, runs of at least MIN_RUN characters that secrets are made of are
-scored under two first-order character models: one trained on random strings (made by hashing, and the secrets that the patterns find in a
-sample), one on the sample's ordinary runs (words, identifiers, addresses: shorter ones, and long ones without digits). A run is a span of the kind `random` if its
-log-likelihood ratio is at least LEAST_TOTAL in all and LEAST_MEAN a step, and no fixed span overlaps it.
+Fixed patterns give spans of the kinds assign, access and hex. Besides, runs of at least LEAST_VALUE characters that secrets are made of,
+outside of those spans, are scored under two first-order character models: one trained on random strings (made by hashing, and the secrets
+that the patterns find in a sample), one on the sample's ordinary runs (words, identifiers, addresses: shorter ones, and long ones without
+digits). Running sums find the stretches of a run where the log-likelihood ratio rises most, so that a path or name before a secret doesn't
+dilute it: a stretch is a span of the kind `random` if its ratio is at least LEAST_TOTAL in all and LEAST_MEAN a step.
 
 The models are fitted on at most SAMPLE documents (those with the smallest hash of their id); every whole text is scanned. Places count
 code points.
@@ -29,7 +30,7 @@ WORDS_BEFORE = ("password", "passwd", "secret", "token", "api")
 LEAST_VALUE = 8
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 MIN_RUN, LEAST_TOTAL, LEAST_MEAN = 20, 12.0, 0.6
-RUN = "[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN
+RUN = "[A-Za-z0-9+/_.=-]{%d,}" % LEAST_VALUE
 SAMPLE, RANDOM_STRINGS = 2000, 2000
 _WIDE = len(ALPHABET) + 1
 _NONE = "array<struct<start:int,kind:int,stop:int,value:string>>"
@@ -98,8 +99,49 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> li
     return [log_p(1, p, q) - log_p(0, p, q) if p and q else 0.0 for p in range(_WIDE) for q in range(_WIDE)]
 
 
-def ratio(run: Column, table_: Column) -> Column:
-    return F.aggregate(steps_of(run), F.lit(0.0), lambda total, k: total + F.element_at(table_, k + 1))
+def masked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of the fixed spans, as long as before."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        stop = F.greatest(acc["at"], b["stop"])
+        own = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), b["start"] - acc["at"]))
+        return F.struct(stop.alias("at"), F.rpad(F.concat(acc["out"], own), stop, " ").alias("out"))
+
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
+def stretches(run: Column, table_: Column) -> Column:
+    """Where the ratio's running sum rises by enough: from its last rise above 0 to its peak, closed by a fall to 0 or by LEAST_TOTAL."""
+    none = "array<struct<start:int,stop:int>>"
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("begin"), F.lit(0.0).alias("best"), F.lit(0).alias("peak"), F.array().cast(none).alias("out"))
+
+    def closed(acc: Column) -> Column:
+        enough = (acc["best"] >= LEAST_TOTAL) & (acc["best"] >= LEAST_MEAN * (acc["peak"] - acc["begin"]))
+        return F.when(enough, F.concat(acc["out"], F.array(F.struct(acc["begin"].alias("start"), (acc["peak"] + 1).alias("stop"))))).otherwise(acc["out"]).cast(none)
+
+    def step(acc: Column, w: Column) -> Column:
+        i, total = acc["i"] + 1, acc["sum"] + w
+        rise = F.struct(i.alias("i"), total.alias("sum"), acc["begin"].alias("begin"), F.greatest(total, acc["best"]).alias("best"), F.when(total > acc["best"], i).otherwise(acc["peak"]).alias("peak"), acc["out"].alias("out"))
+        fall = F.struct(i.alias("i"), F.lit(0.0).alias("sum"), i.alias("begin"), F.lit(0.0).alias("best"), i.alias("peak"), closed(acc).alias("out"))
+        return F.when((total <= 0) | (total <= acc["best"] - LEAST_TOTAL), fall).otherwise(rise)
+
+    return F.aggregate(F.transform(steps_of(run), lambda k: F.element_at(table_, k + 1)), zero, step, closed)
+
+
+def random_spans(text: Column, table_: Column) -> Column:
+    """Spans of the kind random. Runs without one add nothing to the list, so that its copies stay few."""
+    between, found = F.transform(F.split(text, RUN, -1), lambda x: F.length(x)), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    hits = F.transform(found, lambda x: stretches(x, table_))
+    rows = F.filter(F.arrays_zip(between.alias("between"), F.transform(found, lambda x: F.length(x)).alias("size"), hits.alias("hits")), lambda x: x["size"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["between"]
+        spans = F.transform(x["hits"], lambda s: F.struct((at + s["start"]).alias("start"), F.lit(3).alias("kind"), (at + s["stop"]).alias("stop"), F.lit("").alias("value")))
+        return F.struct((at + x["size"]).alias("at"), F.when(F.size(x["hits"]) > 0, F.concat(acc["out"], spans)).otherwise(acc["out"]).cast(_NONE).alias("out"))
+
+    return F.aggregate(rows, start, step, lambda acc: acc["out"])
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -108,13 +150,10 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     weights = F.expr("array(" + ", ".join(f"{x!r}D" for x in fit(docs, id_col, text_col, sample)) + ")")  # a literal of fixed size
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", text.alias("text"))
-    own = own.select("id", base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike(RUN), places(F.col("text"), RUN, 3)).otherwise(F.array().cast(_NONE)).alias("runs"))
-
-    def random(r: Column) -> Column:
-        total = ratio(r["value"], weights)
-        return (total >= LEAST_TOTAL) & (total >= LEAST_MEAN * (F.length(r["value"]) - 1))
-
-    own = own.select("id", "base", F.array_sort(F.concat("base", F.filter(outside(F.col("runs"), F.col("base")), random))).alias("spans"))
+    own = own.select("id", "text", base_spans(F.col("text")).alias("base"))
+    own = own.select("id", "base", masked(F.col("text"), F.col("base")).alias("rest"))
+    random = F.when(F.col("rest").rlike(RUN), random_spans(F.col("rest"), weights)).otherwise(F.array().cast(_NONE))
+    own = own.select("id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def written(spans: Column) -> Column:

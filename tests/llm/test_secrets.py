@@ -70,3 +70,20 @@ def test_models_tell_random_strings_from_words(spark):
     assert sum(got[10_000 + k] for k in range(100)) >= 95
     assert sum(got[10_100 + k] for k in range(len(plain))) == 0
     assert sum(got[i] for i in range(1000)) <= 10
+
+
+def test_secrets_behind_names_short_ones_and_beside_fixed_spans(spark):
+    import random
+    import string
+
+    from tessera.llm.secrets import secrets
+
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    before = ["production.database.connection.key=", "config/environments/production/settings/", "service.endpoint.authorization=", "", "password=abcdefgh1 x "]
+    rows = [(10_000 + 100 * j + k, "é see " + b + made(16 if not b else 24) + " there") for j, b in enumerate(before) for k in range(40)]
+    words = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in secrets(words.union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    found = [sum(got[10_000 + 100 * j + k].n_random > 0 for k in range(40)) for j in range(len(before))]
+    assert min(found) >= 38, found
+    check(rows, got)
