@@ -1,23 +1,28 @@
 """Toxicity (op8): nearest labelled examples by exact TF-IDF cosine over a block-max inverted index; votes give the score.
 
-Features of a text are its lower-cased words and their first 4, 5 and 6 bytes (stems of inflected words). Those that mark label 1 in the
-labelled sample (LIFT times likelier there, with a likelihood ratio of at least LEAST_G2) form the vocabulary; a text is a TF-IDF vector
-over it. The nearest NEIGHBOURS examples vote with their cosine as weight, shrunk to the base rate; isotonic regression over leave-one-out
-votes of the sample makes the vote a probability. A text without any feature gets the rate of label 1 among such examples.
+Features of a text are its lower-cased words and the first STEM bytes of longer words (stems of inflected words). Every feature that at
+least LEAST_DOCS texts of the labelled sample hold is in the vocabulary. Its weight is TF-IDF times a factor that is FLOOR for features
+that say nothing about the label and grows with the (shrunk) log of how much likelier label 1 is where the feature stands; all features
+count, so every text that shares any of them with an example has neighbours. The nearest NEIGHBOURS examples vote with their cosine as
+weight, shrunk to the base rate; isotonic regression over leave-one-out votes of the sample makes the vote a probability. A text without
+any feature gets the rate of label 1 among such examples.
 
-Examples are kept in blocks; each feature has the largest weight in each block, so a block's best possible cosine is known and blocks that
-can't reach the nearest found so far are left out. The result is that of comparing all examples.
+Examples that resemble each other share a block. Lists of rare features are walked in full; for the lists of frequent ones (more than
+one example in HEAD_PART), which make up most postings, the largest weight in each block is kept, so a block's best possible cosine is
+known, and blocks that can't reach the nearest found so far are left out. The result is that of comparing all examples.
 
-The model is fitted on at most SAMPLE labelled rows (those with the smallest hash of their id) and at most VOCABULARY features, so what is
-sent to the executors is bounded; every document is scored.
+The model is fitted on the texts of at most SAMPLE labelled rows (those with the smallest hash of their id), which bounds what is sent to
+the executors; every document is scored.
 
 Defined results: a null text counts as empty; labels that are null, or rows that are held out, teach nothing; without labels of both kinds
-all scores are the base rate; rows with a null id are scored and not held out; repeated rows each give a row; empty tables give no rows.
+all scores are the base rate; rows with a null id are scored and not held out; repeated rows each give a row; empty tables give no rows;
+of equally near examples the smaller id is nearer; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,138 +32,182 @@ from pyspark.sql import functions as F
 from .common import Words, mix, ready, stage, steps, string, table
 from .decontaminate import _SEPARATORS as SEPARATORS
 
-SAMPLE, VOCABULARY = 30_000, 4096
-LIFT, LEAST_G2, LEAST_DOCS = 8.0, 25.0, 5
-NEIGHBOURS, SHRINK, BLOCK = 25, 0.5, 64
+SAMPLE, LEAST_DOCS, STEM = 8_000, 2, 5
+FLOOR, PRIOR = 0.1, 20.0
+NEIGHBOURS, SHRINK = 25, 0.5
+BLOCK, HEAD_PART, MOST_HEAD, FIRST_BLOCKS = 64, 20, 512, 4
 HELD_OUT_OF, HELD_OUT, CUT = 4, 2, 0.3
-_STEMS = (4, 5, 6)
-#: Characters of text whose features are in memory at a time.
-STEP = 1 << 20
-_FILTER = np.uint64((1 << 20) - 1)
+#: Characters of text whose features are in memory at a time, and texts that are compared with the examples at a time.
+STEP, TEXTS = 1 << 20, 128
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature hash) of every word and stem of the texts."""
     w = Words([(t or "").lower() for t in texts], separators=SEPARATORS)
     doc = np.repeat(np.arange(len(texts)), np.diff(w.start))
-    size = w.hi - w.lo
-    docs, hashes = [doc], [w.hash]
-    for n in _STEMS:
-        long = np.flatnonzero(size > n)
-        h = np.full(len(long), n, np.uint64)
-        for k in range(n):
-            h = mix(h + w.buf[w.lo[long] + k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        docs.append(doc[long])
-        hashes.append(h)
-    return np.concatenate(docs), np.concatenate(hashes)
+    long = np.flatnonzero(w.hi - w.lo > STEM)
+    h = np.full(len(long), STEM, np.uint64)
+    for k in range(STEM):
+        h = mix(h + w.buf[w.lo[long] + k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([doc, doc[long]]), np.concatenate([w.hash, h])
 
 
-class Model:
-    """Vocabulary (sorted hashes, idf), examples as vectors in blocks, and the map from votes to probabilities."""
-
-    def __init__(self, keys: np.ndarray, idf: np.ndarray, base: float) -> None:
-        self.keys, self.idf, self.base = keys, idf, base
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[keys & _FILTER] = True
-        self.empty_rate, self.votes, self.rates = base, np.zeros(1), np.full(1, base)
-        self.n = 0
-        self.known: dict[bytes, tuple[float, list[int]]] = {}
-
-    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(features, weights of unit length) of each text."""
-        empty = (np.zeros(0, np.int64), np.zeros(0))
-        out = [empty] * len(texts)
-        if not len(self.keys) or not len(texts):
-            return out
+@dataclass
+class Vectors:
+    """Sparse rows of unit length: row k has features and weights start[k]:start[k+1]."""
+
+    start: np.ndarray
+    feature: np.ndarray
+    weight: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def rows(self, a: int, b: int) -> Vectors:
+        lo, hi = self.start[a], self.start[b]
+        return Vectors(self.start[a : b + 1] - lo, self.feature[lo:hi], self.weight[lo:hi])
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
+
+
+class Space:
+    """The vocabulary: sorted feature hashes and their weights."""
+
+    def __init__(self, keys: np.ndarray, n_texts: np.ndarray, n_label: np.ndarray, n: int, n1: int) -> None:
+        self.keys, self.base = keys, n1 / n if n else 0.0
+        likelier = np.log((n_label + PRIOR * self.base) / (n_texts + PRIOR) / self.base) if n1 else np.zeros(len(keys))
+        self.weight = (np.log((1 + n) / (1 + n_texts)) + 1) * (FLOOR + np.maximum(0, likelier) ** 2)
+
+    def vectors(self, texts: list[str | None]) -> Vectors:
         doc, h = features(texts)
-        some = np.flatnonzero(self.bits[h & _FILTER])
-        doc, h = doc[some], h[some]
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        pair, n = np.unique(doc[hit] * len(self.keys) + at[hit], return_counts=True)
-        owner, feature = pair // len(self.keys), pair % len(self.keys)
-        weight = (1 + np.log(n)) * self.idf[feature]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]) if len(owner) else [0]
-        for a, b in zip(cuts, cuts[1:]):
-            v = weight[a:b]
-            out[owner[a]] = (feature[a:b], v / np.sqrt((v * v).sum()))
+        size = len(self.keys)
+        at = np.minimum(np.searchsorted(self.keys, h), size - 1) if size else np.zeros(0, np.int64)
+        hit = self.keys[at] == h if size else np.zeros(0, bool)
+        pair, n = np.unique(doc[: len(hit)][hit] * size + at[hit], return_counts=True)
+        owner, feature = pair // max(1, size), pair % max(1, size)
+        weight = (1 + np.log(n)) * self.weight[feature]
+        length = np.sqrt(np.bincount(owner, weight * weight, len(texts)))
+        return Vectors(np.searchsorted(owner, np.arange(len(texts) + 1)), feature.astype(np.int32), weight / length[owner])
+
+
+class Index:
+    """The examples' posting lists; frequent features (the head) by block, with their largest weight in each."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, own: Vectors, size: int) -> None:
+        seen = np.bincount(own.feature, minlength=size)
+        head = np.argsort(-seen, kind="stable")[:MOST_HEAD]
+        head = head[seen[head] * HEAD_PART > len(ids)]
+        self.head = np.full(size, -1, np.int32)
+        self.head[head] = np.arange(len(head))
+        self.n_blocks = -(-len(ids) // BLOCK)
+        owner, place = own.owner(), self.head[own.feature]
+        dense = np.zeros((len(ids), len(head)))
+        dense[owner[place >= 0], place[place >= 0]] = own.weight[place >= 0]
+        order = np.lexsort((ids, alike(dense, -(-self.n_blocks // 4))))
+        self.ids, self.labels = ids[order], labels[order].astype(float)
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(head)))
+        self.dense[: len(ids)] = dense[order]
+        self.most = self.dense.reshape(self.n_blocks, BLOCK, len(head)).max(1) if len(ids) else np.zeros((0, len(head)))
+        turn = np.empty(len(ids), np.int64)
+        turn[order] = np.arange(len(ids))
+        tail = np.flatnonzero(place < 0)
+        tail = tail[np.argsort(own.feature[tail], kind="stable")]
+        self.start = np.searchsorted(own.feature[tail], np.arange(size + 1))
+        self.owner, self.weight = turn[owner[tail]].astype(np.int32), own.weight[tail]
+        self.own_place = turn
+
+    def cosines(self, v: Vectors, k: int, without: np.ndarray | None = None) -> np.ndarray:
+        """Cosines of each row with the examples: exact where they may be among the k largest, -1 where they can't be."""
+        n, width = len(v), self.n_blocks * BLOCK
+        owner, place = v.owner(), self.head[v.feature]
+        ask = np.zeros((n, self.dense.shape[1]))
+        ask[owner[place >= 0], place[place >= 0]] = v.weight[place >= 0]
+        rare = place < 0
+        f, w, o = v.feature[rare], v.weight[rare], owner[rare]
+        many = self.start[f + 1] - self.start[f]
+        at = np.repeat(self.start[f] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        sums = np.bincount(np.repeat(o * width, many) + self.owner[at], np.repeat(w, many) * self.weight[at], n * width).reshape(n, width)
+        bound = sums.reshape(n, self.n_blocks, BLOCK).max(2) + ask @ self.most.T
+        out, open_ = np.full((n, width), -1.0), np.zeros((n, self.n_blocks), bool)
+        first = min(FIRST_BLOCKS, self.n_blocks)
+        np.put_along_axis(open_, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
+        done = open_.copy()
+        for turn in range(2):
+            for b in np.flatnonzero(open_.any(0)).tolist():
+                rows, own = np.flatnonzero(open_[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                out[rows, own] = sums[rows, own] + ask[rows] @ self.dense[own].T
+            if without is not None:
+                out[np.arange(n), without] = -1
+            if turn == 0:
+                least = -np.partition(-out, k - 1, axis=1)[:, k - 1] if k <= width else np.full(n, -1.0)
+                open_ = (bound >= least[:, None] - 1e-9) & ~done
+        return out
+
+    def nearest(self, v: Vectors, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row, examples with the k largest cosines above 0 (ties to the smaller id) and the cosines."""
+        out = []
+        if not self.n_blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(v)
+        for a in range(0, len(v), TEXTS):
+            some = v.rows(a, min(a + TEXTS, len(v)))
+            cosine = self.cosines(some, k, None if without is None else without[a : a + TEXTS]).round(12)
+            least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1] if k <= cosine.shape[1] else np.full(len(some), -1.0)
+            for row, x in zip(cosine, least.tolist()):
+                at = np.flatnonzero(row >= max(x, 1e-12))
+                at = at[np.lexsort((self.ids[at], -row[at]))[:k]]
+                out.append((at, row[at]))
         return out
 
-    def index(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Posting lists by feature: examples, weights, and for each block with postings its bounds in the list and largest weight."""
-        self.ids, self.labels, self.n = ids, np.array(labels, float), len(ids)
-        self.blocks = -(-self.n // BLOCK)
-        self.lists: dict[int, tuple[np.ndarray, ...]] = {}
-        if not self.n:
-            return
-        owner = np.repeat(np.arange(self.n), [len(f) for f, _ in vectors])
-        feature, weight = np.concatenate([f for f, _ in vectors]), np.concatenate([w for _, w in vectors])
-        order = np.lexsort((owner, feature))
-        owner, feature, weight = owner[order], feature[order], weight[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(feature)) + 1, [len(feature)]])
-        for a, b in zip(cuts, cuts[1:]):
-            block = owner[a:b] // BLOCK
-            first = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
-            self.lists[int(feature[a])] = (owner[a:b], weight[a:b], block[first], np.append(first, b - a), np.maximum.reduceat(weight[a:b], first))
-
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples with the k largest cosines (ties to the earlier example) and the cosines."""
-        most = np.zeros(self.blocks)
-        lists = [(q, self.lists[f]) for f, q in zip(vector[0].tolist(), vector[1].tolist()) if f in self.lists]
-        for q, (_, _, blocks, _, top) in lists:
-            most[blocks] += q * top
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-most, kind="stable").tolist():
-            if most[b] <= 0 or len(best) == k and most[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for q, (owner, weight, blocks, first, _) in lists:
-                j = np.searchsorted(blocks, b)
-                if j < len(blocks) and blocks[j] == b:
-                    score[owner[first[j] : first[j + 1]] - b * BLOCK] += q * weight[first[j] : first[j + 1]]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            best_at, best = np.concatenate([best_at, hit + b * BLOCK]), np.concatenate([best, score[hit].round(12)])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
-
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[float, list[int]]:
-        at, near = self.nearest(vector, NEIGHBOURS, without)
-        return float(((near * self.labels[at]).sum() + SHRINK * self.base) / (near.sum() + SHRINK)), [self.ids[i] for i in at[:3]]
-
-    def calibrate(self) -> None:
-        """Isotonic regression (pool adjacent violators) of labels on leave-one-out votes."""
-        rows: list[tuple[float, float]] = sorted((self.vote(v, i)[0], y) for i, (v, y) in enumerate(zip(self.own, self.labels)))
-        pools: list[list[float]] = []
-        for x, y in rows:
-            pools.append([x, y, 1])
-            while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]):
-                last = pools.pop()
-                pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
-        if pools:
-            self.votes = np.array([p[0] for p in pools])
-            self.rates = np.array([(p[1] + self.base) / (p[2] + 1) for p in pools])
-
-    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
-        if not len(vector[0]) or not self.n:
-            return self.empty_rate, []
-        key = vector[0].tobytes() + vector[1].tobytes()
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            vote, evidence = self.vote(vector)
-            self.known[key] = (float(np.interp(vote, self.votes, self.rates)), evidence)
-        return self.known[key]
+    def votes(self, v: Vectors, base: float, without: np.ndarray | None = None) -> list[tuple[float, list[int]]]:
+        """Share of label 1 among the nearest, and the ids of the first three."""
+        return [(float(((near * self.labels[at]).sum() + SHRINK * base) / (near.sum() + SHRINK)), self.ids[at[:3]].tolist()) for at, near in self.nearest(v, NEIGHBOURS, without)]
+
+
+def alike(x: np.ndarray, groups: int) -> np.ndarray:
+    """A group for each row, by a few steps of k-means on directions; it only changes how well blocks are bounded."""
+    centre, out = x[np.arange(groups) * len(x) // max(1, groups)], np.zeros(len(x), np.int64)
+    for _ in range(4):
+        out = (x @ centre.T).argmax(1) if groups else out
+        centre = np.stack([x[out == g].sum(0) if (out == g).any() else centre[g] for g in range(groups)]) if groups else centre
+        centre = centre / np.maximum(np.sqrt((centre * centre).sum(1, keepdims=True)), 1e-12)
+    return out
+
+
+def isotonic(votes: np.ndarray, labels: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: votes in order, and the rate of label 1 at each."""
+    pools: list[list[float]] = []
+    for x, y in sorted(zip(votes.tolist(), labels.tolist())):
+        pools.append([x, y, 1])
+        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]):
+            last = pools.pop()
+            pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
+    return np.array([p[0] for p in pools]), np.array([(p[1] + base) / (p[2] + 1) for p in pools])
 
 
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(HELD_OUT_OF)) == HELD_OUT, F.lit(False))
 
 
+@dataclass
+class Model:
+    space: Space
+    index: Index | None
+    empty_rate: float
+    at: np.ndarray
+    rates: np.ndarray
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        if self.index is None:
+            return [(self.empty_rate, [])] * len(texts)
+        v = self.space.vectors(texts)
+        some = (np.diff(v.start) > 0).tolist()
+        return [(float(np.interp(vote, self.at, self.rates)), evidence) if known else (self.empty_rate, []) for known, (vote, evidence) in zip(some, self.index.votes(v, self.space.base))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
-    """Only the sample's features and vectors reach the driver."""
+    """Only the sample's features, vectors and votes reach the driver."""
+    spark = docs.sparkSession
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
     chosen = own.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     rows = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id"), "labelled")
@@ -174,38 +223,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     n, n1 = sizes.n, sizes.n1
+    nothing = np.zeros(0)
     if not n1 or n1 == n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), n1 / n if n else 0.0)
-    df = rows.mapInPandas(count, "key long, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-
-    def term(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    f, f1 = F.col("n").cast("double"), F.col("n1").cast("double")
-    g2 = 2 * (term(f1, f * (n1 / n)) + term(f - f1, f * (1 - n1 / n)) + term(n1 - f1, (n - f) * (n1 / n)) + term((n - n1) - (f - f1), (n - f) * (1 - n1 / n)))
-    lift = (f1 + 0.5) / (n1 + 1) / ((f - f1 + 0.5) / (n - n1 + 1))
-    picked = df.where((F.col("n") >= LEAST_DOCS) & (g2 >= LEAST_G2) & (lift >= LIFT)).orderBy(g2.desc(), "key").limit(VOCABULARY).toPandas()
-    keys = picked.key.to_numpy(np.int64).view(np.uint64)
+        return Model(Space(np.zeros(0, np.uint64), nothing, nothing, n, n1), None, n1 / n if n else 0.0, nothing, nothing)
+    found = rows.mapInPandas(count, "key long, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).toPandas()
+    keys = found.key.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    model = Model(keys[order], np.log((1 + n) / (1 + picked.n.to_numpy(float)))[order] + 1, n1 / n)
+    space = Space(keys[order], found.n.to_numpy(float)[order], found.n1.to_numpy(float)[order], n, n1)
+    sent = spark.sparkContext.broadcast(space)
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in parts:
             for s in steps(some, "text", STEP):
-                v = model.vectors([string(t) for t in s.text])
-                yield pd.DataFrame({"id": s["id"].to_numpy(), "label": s.label.to_numpy(), "feature": [x[0] for x in v], "weight": [x[1] for x in v]})
-
-    found = rows.mapInPandas(vectors, "id long, label int, feature array<long>, weight array<double>")
-    counts = found.groupBy((F.size("feature") == 0).alias("none")).agg(F.count("*").alias("n"), F.sum("label").alias("n1")).collect()
-    full = found.where("size(feature) > 0").orderBy(F.xxhash64("id"), "id", "label").collect()
-    model.own = [(np.array(r.feature, np.int64), np.array(r.weight)) for r in full]
-    model.index([r.id for r in full], [r.label for r in full], model.own)
-    model.calibrate()
-    del model.own
-    for r in counts:
-        if r.none:
-            model.empty_rate = (r.n1 + model.base) / (r.n + 1)
-    return model
+                v = sent.value.vectors([string(t) for t in s.text])
+                each = [(v.feature[a:b].tobytes(), v.weight[a:b].tobytes()) for a, b in zip(v.start, v.start[1:])]
+                yield pd.DataFrame({"id": s["id"].to_numpy(), "label": s.label.to_numpy(), "feature": [f for f, _ in each], "weight": [w for _, w in each]})
+
+    all_ = rows.mapInPandas(vectors, "id long, label int, feature binary, weight binary").orderBy("id", "label", F.xxhash64("feature", "weight")).toPandas()
+    sent.unpersist()
+    full = all_.feature.map(len) > 0
+    none, all_ = all_[~full], all_[full]
+    vectors_ = Vectors(np.cumsum([0, *(len(f) // 4 for f in all_.feature)]), np.frombuffer(b"".join(all_.feature), np.int32), np.frombuffer(b"".join(all_.weight), np.float64))
+    index = Index(all_["id"].to_numpy(np.int64), all_.label.to_numpy(), vectors_, len(space.keys))
+    at, rates = isotonic(leave_one_out(spark, index, vectors_, space.base), all_.label.to_numpy(), space.base)
+    return Model(space, index, float((none.label.sum() + space.base) / (len(none) + 1)), at, rates)
+
+
+def leave_one_out(spark: SparkSession, index: Index, own: Vectors, base: float) -> np.ndarray:
+    """Each example's vote by the others, in tasks of a few hundred."""
+    sent, step = spark.sparkContext.broadcast((index, own)), 4 * TEXTS
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, own = sent.value
+        for rows in parts:
+            for a in rows["id"].tolist():
+                b = min(a + step, len(own))
+                yield pd.DataFrame({"id": np.arange(a, b), "vote": [x for x, _ in index.votes(own.rows(a, b), base, index.own_place[a:b])]})
+
+    out = np.zeros(len(own))
+    tasks = max(1, -(-len(own) // step))
+    for r in spark.range(0, len(own), step, tasks).mapInPandas(run, "id long, vote double").collect():
+        out[r.id] = r.vote
+    sent.unpersist()
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
@@ -217,13 +277,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         model = sent.value
         for rows in parts:
             for some in steps(rows, "text", STEP):
-                said = [model.score(v) for v in model.vectors([string(t) for t in some.text])]
+                said = model.score([string(t) for t in some.text])
                 yield pd.DataFrame({"id": some["id"].to_numpy(), "held_out": some.held_out.to_numpy(), "text": some.text.to_numpy() if keep_text else None, "score": [s for s, _ in said], "evidence": [e for _, e in said]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, held_out boolean, text string, score double, evidence array<long>")
-    out = out.select(F.col("id").alias(id_col), *([F.col("text").alias(text_col)] if keep_text else []), "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence")
-    return out
+    return out.select(F.col("id").alias(id_col), *([F.col("text").alias(text_col)] if keep_text else []), "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "evidence")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

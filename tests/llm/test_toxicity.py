@@ -20,30 +20,107 @@ def test_held_out_accuracy(spark):
 
 
 def test_index_gives_what_comparing_all_gives():
-    from tessera.llm.toxicity import Model
+    from tessera.llm.toxicity import Index, Vectors
 
     rng = np.random.default_rng(5)
-    keys = np.sort(rng.integers(0, 1 << 62, 40, dtype=np.uint64))
-    m = Model(keys, np.ones(40), 0.1)
-
-    def vector():
-        f = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        w = rng.integers(1, 4, len(f)).astype(float)
-        return f, w / np.sqrt((w * w).sum())
-
-    own = [vector() for _ in range(900)]
-    m.index(list(range(900)), [0, 1] * 450, own)
-    dense = np.zeros((900, 40))
-    for k, (f, w) in enumerate(own):
-        dense[k, f] = w
-    for _ in range(100):
-        f, w = vector()
-        q = np.zeros(40)
-        q[f] = w
-        s = (dense @ q).round(12)
-        want = [i for i in np.lexsort((np.arange(900), -s))[:25] if s[i] > 0]
-        at, near = m.nearest((f, w), 25)
-        assert np.allclose(near, s[want]) and at.tolist() == want
+    often = 1 / np.arange(1, 301)
+
+    def vectors(n):
+        rows = [np.sort(rng.choice(300, rng.integers(1, 30), replace=False, p=often / often.sum())) for _ in range(n)]
+        weights = [rng.integers(1, 4, len(f)).astype(float) for f in rows]
+        return Vectors(np.cumsum([0, *map(len, rows)]), np.concatenate(rows).astype(np.int32), np.concatenate([w / np.sqrt((w * w).sum()) for w in weights]))
+
+    def dense(v):
+        out = np.zeros((len(v), 300))
+        out[v.owner(), v.feature] = v.weight
+        return out
+
+    own, asked = vectors(900), vectors(300)
+    ids = rng.permutation(5000)[:900]
+    index = Index(ids, np.arange(900) % 2, own, 300)
+    assert 0 < (index.head >= 0).sum() < 300
+    all_ = (dense(asked) @ dense(own).T).round(12)
+    skipped = (index.cosines(asked.rows(0, 100), 25) < 0).mean()
+    assert 0 < skipped < 1
+    for s, (at, near) in zip(all_, index.nearest(asked, 25)):
+        want = [i for i in np.lexsort((ids, -s))[:25] if s[i] > 0]
+        assert np.allclose(near, s[want]) and index.ids[at].tolist() == ids[want].tolist()
+    for k, (at, _) in enumerate(index.nearest(own, 25, index.own_place)):
+        assert ids[k] not in index.ids[at]
+
+
+def plain_scores(docs, labels):
+    """The score by its definition, one text after the other."""
+    import math
+    import re
+    from collections import Counter
+
+    word = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
+
+    def terms(text):
+        out = Counter()
+        for w in word.findall((text or "").lower()):
+            out["w", w.encode()] += 1
+            if len(w.encode()) > 5:
+                out["s", w.encode()[:5]] += 1
+        return out
+
+    rows = sorted((i, labels[i], terms(t)) for i, t in docs if labels.get(i) is not None and zlib.crc32(str(i).encode()) % 4 != 2)
+    n, n1 = len(rows), sum(y for _, y, _ in rows)
+    base = n1 / n
+    df, df1 = Counter(), Counter()
+    for _, y, c in rows:
+        df.update(c.keys())
+        df1.update(c.keys() if y else ())
+    weight = {f: (math.log((1 + n) / (1 + k)) + 1) * (0.1 + max(0.0, math.log((df1[f] + 20 * base) / (k + 20) / base)) ** 2) for f, k in df.items() if k >= 2}
+
+    def vector(c):
+        v = {f: (1 + math.log(k)) * weight[f] for f, k in c.items() if f in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / size for f, x in v.items()}
+
+    own = [(i, y, vector(c)) for i, y, c in rows]
+    none = [y for _, y, v in own if not v]
+    own = [(i, y, v) for i, y, v in own if v]
+    lists = {}
+    for k, (_, _, v) in enumerate(own):
+        for f, x in v.items():
+            lists.setdefault(f, []).append((k, x))
+
+    def vote(v, without=-1):
+        cosine = Counter()
+        for f, x in v.items():
+            for k, z in lists.get(f, ()):
+                cosine[k] += x * z
+        near = sorted((-round(s, 12), own[k][0], own[k][1]) for k, s in cosine.items() if k != without and s > 1e-12)[:25]
+        return (sum(-s * y for s, _, y in near) + 0.5 * base) / (sum(-s for s, _, y in near) + 0.5)
+
+    pairs = sorted((vote(v, k), y) for k, (_, y, v) in enumerate(own))
+    values = sorted({x for x, _ in pairs})
+    rate = {}
+    pools = [[x, sum(y for z, y in pairs if z == x), sum(z == x for z, _ in pairs)] for x in values]
+    k = 0
+    while k + 1 < len(pools):
+        if pools[k][1] / pools[k][2] >= pools[k + 1][1] / pools[k + 1][2]:
+            x, a, b = pools.pop(k + 1)
+            pools[k] = [x, pools[k][1] + a, pools[k][2] + b]  # a pool stands at its largest vote
+            k = max(0, k - 1)
+        else:
+            k += 1
+    at, rates = [p[0] for p in pools], [(p[1] + base) / (p[2] + 1) for p in pools]
+    return {i: float(np.interp(vote(v), at, rates)) if (v := vector(terms(t))) else (sum(none) + base) / (len(none) + 1) for i, t in docs}
+
+
+def test_score_is_that_of_the_definition(spark):
+    from tessera.llm.toxicity import toxicity
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 700").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()], {r.doc_id: r.toxic for r in labels.collect()})
+    got = toxicity(docs, labels).collect()
+    off = sum(abs(r.score - want[r.doc_id]) > 1e-6 for r in got)
+    assert len(got) == len(want) and off == 0 and len({round(r.score, 9) for r in got}) > 50
+    assert np.mean([not r.evidence for r in got]) < 0.01
 
 
 def test_odd_rows(spark):
@@ -54,6 +131,8 @@ def test_odd_rows(spark):
     got = toxicity(docs, labels).collect()
     assert len(got) == 205
     by = {r.doc_id: r for r in got}
-    assert by[3].predicted == 1 and by[4].predicted == 0 and by[500].predicted == 0 and by[None].predicted == 1 and not by[None].held_out and by[3].evidence
+    assert by[3].predicted == 1 and by[4].predicted == 0 and by[None].predicted == 1 and not by[None].held_out and by[3].evidence
+    taught = [int(i % 3 == 0) for i in [*range(200), 0] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert by[500].score == by[501].score and abs(by[500].score - np.mean(taught)) < 1e-9 and not by[500].evidence  # no such example: the base rate
     assert {r.score for r in toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity(docs.limit(0), labels).collect() == []
