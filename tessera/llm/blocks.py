@@ -1,4 +1,4 @@
-"""Documents packed into blocks: one row for about 4 million characters, so that numpy works on many texts at a time and what a block
+"""Documents packed into blocks: one row for about 2 million characters, so that numpy works on many texts at a time and what a block
 has in many documents is asked about once."""
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 block += 1
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "block long, n_docs long, n_bytes long, n_words long, doc_ids binary, sizes binary, texts binary")
-    return stage(out, "blocks", "uncompressed")
+    return stage(out, "blocks", blobs=True)
 
 
 class Block:

@@ -63,7 +63,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 block += 1
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stage(own.mapInPandas(run, "block long, n_train long, n_keys long, doc_ids binary, held binary, sizes binary, tokens binary, keys binary, vals binary"), "numbered", "uncompressed")
+    return stage(own.mapInPandas(run, "block long, n_train long, n_keys long, doc_ids binary, held binary, sizes binary, tokens binary, keys binary, vals binary"), "numbered", blobs=True)
 
 
 def tail_class(counts: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ def counted(blocks: DataFrame, n_train: int) -> DataFrame:
         return pd.concat([out.assign(v=None, tails=None, core_keys=None, core_counts=None), own.assign(answers=None)])
 
     dealt = blocks.select("block", "keys", "vals").mapInPandas(deal, DEALT)
-    return stage(dealt.groupBy("part").applyInPandas(meet, "block long, part long, answers binary, v long, tails binary, core_keys binary, core_counts binary"), "counts", "uncompressed")
+    return stage(dealt.groupBy("part").applyInPandas(meet, "block long, part long, answers binary, v long, tails binary, core_keys binary, core_counts binary"), "counts", blobs=True)
 
 
 class Counts:
@@ -142,7 +142,7 @@ def symbolic(blocks: DataFrame, answers: DataFrame, c: Counts) -> DataFrame:
         return pd.DataFrame(out, columns=["block", "doc_ids", "held", "sizes", "symbols", "known", "base", "tail"])
 
     wanted = blocks.drop("vals", "n_train", "n_keys").groupBy("block").cogroup(answers.where("block >= 0").select("block", "part", "answers").groupBy("block"))
-    return stage(wanted.applyInPandas(run, "block long, doc_ids binary, held binary, sizes binary, symbols binary, known binary, base binary, tail binary"), "symbols", "uncompressed")
+    return stage(wanted.applyInPandas(run, "block long, doc_ids binary, held binary, sizes binary, symbols binary, known binary, base binary, tail binary"), "symbols", blobs=True)
 
 
 def before(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def symbol_pairs(texts: DataFrame, n_symbols: int, n_tokens: int) -> DataFrame:
     while tasks > 1:
         tasks = -(-tasks // FAN_IN)
         out = out.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(add, kind)
-    return stage(out.select("pairs", "n"), "pairs", "uncompressed")
+    return stage(out.select("pairs", "n"), "pairs", blobs=True)
 
 
 def contexts(pairs: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+#: Characters of text that one numpy step works on; a longer document is a step of its own.
+STEP_BYTES = 2 << 20
+#: Bytes whose words are hashed at a time.
+HASHED_BYTES = 1 << 18
+#: Large binary values: small row groups, checked at each row, so that neither a writer nor a reader's batch holds many of them.
+BLOBS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -29,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir; only where it is unset, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,11 +56,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
         return
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    blobs: the rows hold large binary values that are packed already.
+    """
     spark = ready(df.sparkSession)
     path = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression="uncompressed" if blobs else "zstd", **(BLOBS if blobs else {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -93,7 +102,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("up", _M), ("down", _M_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -112,13 +121,24 @@ class Words:
         gap = (_SPACE if separators is None else separators)[self.buf]
         edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         self.lo, self.hi = edges[0::2], edges[1::2]
-        up, down = _power(len(self.buf) + 1)
-        sums = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=sums[1:])
-        self.hash = mix((sums[self.hi] - sums[self.lo]) * down[self.lo] + (self.hi - self.lo).astype(np.uint64))
+        self.hash = np.empty(len(self.lo), np.uint64)
+        cuts = [0, *(np.flatnonzero(np.diff(self.lo // HASHED_BYTES)) + 1).tolist(), len(self.lo)] if len(self.lo) else []
+        for a, b in zip(cuts, cuts[1:]):
+            self._hash(a, b)
         ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
         self.start = np.concatenate([[0], np.searchsorted(self.lo, ends)]).astype(np.int64)
 
+    def _hash(self, a: int, b: int) -> None:
+        """Hash words a..b-1: differences of running sums, moved to where each word begins."""
+        first, lo, hi = self.lo[a], self.lo[a:b], self.hi[a:b]
+        own = self.buf[first : hi[-1]]
+        up, down = _power(len(own) + 1)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.take(_BYTE, own, out=sums[1:])
+        sums[1:] *= up[: len(own)]
+        np.cumsum(sums, out=sums)
+        self.hash[a:b] = mix((sums[hi - first] - sums[lo - first]) * down[lo - first] + (hi - lo).astype(np.uint64))
+
     def runs(self, k: int, seed: int = 1) -> np.ndarray:
         """Hash of the k words from each word on; those that run over a text's end are to be left out by the caller."""
         n = len(self.hash) - k + 1

@@ -309,7 +309,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
     The list has one entry for `tokens_per_file` tokens; nothing else but the counts by id comes to the driver.
     """
     spark = ready(docs.sparkSession)
-    ids = stage(encoded(docs, path, id_col, text_col, end_id), "ids", "uncompressed")
+    ids = stage(encoded(docs, path, id_col, text_col, end_id), "ids", blobs=True)
     total = ids.agg(F.sum("n_tokens")).first()[0]
     if not total:
         return []
