@@ -1,14 +1,18 @@
 """LM scoring (op6): Brown class bigrams.
 
-The probability of a word is that of its class after the class before, times that of the word in its class. Words that make up at least
-1 / CORE of the training tokens (so there are CORE of them at most) get their classes by exchange clustering: a word moves to the class that raises
-the likelihood of the training text's class bigrams most. All other words have classes by the power of two below their count. Transitions
-are smoothed with the classes' own frequencies; words that occur once share their class with one unknown word, which gets UNKNOWN of it.
-A text's words are followed by one end token, which is also what stands before its first word.
+The probability of a word is that of its class after the class before, times that of the word in its class. Exchange clustering gives
+every word that occurs at least twice in the training texts one of CLASSES classes: a word moves to the class that raises the likelihood of
+the training text's class bigrams most. Frequent words (at least 1 / CORE of the tokens, so CORE of them at most) are clustered first,
+while the others wait in a class of their own; then, in TURNS turns, all words move, the waiting ones at once and the others half of them
+in a turn. Moves of one turn are judged on the same counts; the state with the highest likelihood is the result. Transitions are smoothed
+with the classes' own frequencies; words that occur once share a class with one unknown word, which gets UNKNOWN of it. A text's words
+are followed by one end token, which is also what stands before its first word.
 
 Texts become numbers once: a row for each block of documents holds its distinct words' hashes and the words as places in that list.
-Counts come by request: each block asks about each of its words once, wherever and however often it stands. Class statistics have a
-bounded number of cells (CORE words by classes); what else is gathered (words and their counts) grows with the input and stays distributed.
+Counts and moves come by request: each block asks about each of its words once, wherever and however often it stands, and tells what
+classes stand beside it. What is gathered (words, their counts, their neighbours' classes) grows with the input and stays distributed;
+the driver has the classes' bigrams and the frequent words. Answers are kept in the shared folder by the task that made the blocks, so the
+texts are never shuffled.
 
 Words are told apart by 64-bit hashes.
 
@@ -20,18 +24,27 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, ids_of
-from .common import DEALT, Words, bucket_count, deal_rows, gathered, press, press_sorted, ready, spread, stage, starts_of, steps, string, table, unpress, unpress_sorted
-
-CORE, CLASSES, ROUNDS, SMOOTH, UNKNOWN = 20_000, 64, 8, 20.0, 0.5
-TAILS = 48
+from .common import DEALT, Words, bucket_count, deal_rows, drop_folder, gathered, new_folder, press, press_sorted, ready, spread, stage, starts_of, steps, string, table, unpress, unpress_sorted
+
+CORE, CLASSES, ROUNDS, TURNS, SMOOTH, UNKNOWN = 20_000, 64, 8, 3, 20.0, 0.5
+#: Classes besides: words seen once or never, and words that wait for their class.
+ONCE, WAITING = CLASSES, CLASSES + 1
+ALL_CLASSES = CLASSES + 2
+#: What may stand beside a word: a class behind it, or (from ALL_CLASSES on) a class before it.
+BESIDE = 2 * ALL_CLASSES
 FAN_IN = 64
+#: Neighbour counts that are weighed against all classes at a time.
+WEIGHED = 20_000
 HELD_OUT_OF, HELD_OUT = 7, 2
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -66,12 +79,37 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(own.mapInPandas(run, "block long, n_train long, n_keys long, doc_ids binary, held binary, sizes binary, tokens binary, keys binary, vals binary"), "numbered", blobs=True)
 
 
-def tail_class(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(TAILS - 1, np.floor(np.log2(np.maximum(counts, 1)))).astype(np.int64)
+ANSWERS = "task long, block long, part long, data binary"
+
+
+def kept_by_task(answers: DataFrame, name: str) -> str:
+    """Write rows with a task column into a folder for each task."""
+    path = new_folder(answers.sparkSession, name)
+    answers.repartition("task").write.options(compression="uncompressed").partitionBy("task").parquet(path)
+    return path
+
+
+class Answers:
+    """What kept_by_task() wrote, for the blocks of one task at a time."""
+
+    def __init__(self, path: str) -> None:
+        self.fs, self.where = pafs.FileSystem.from_uri(path)
+        self.task, self.found = -1, {}
 
+    def of(self, block: int, kind: str) -> np.ndarray:
+        """One block's answers, in the order of its keys."""
+        if block >> 32 != self.task:
+            self.task, self.found = block >> 32, {}
+            folder = f"{self.where}/task={self.task}"
+            if self.fs.get_file_info(folder).type != pafs.FileType.NotFound:
+                rows = pads.dataset(folder, filesystem=self.fs, format="parquet").to_table(columns=["block", "part", "data"]).to_pydict()
+                for b, p, d in sorted(zip(rows["block"], rows["part"], rows["data"])):
+                    self.found.setdefault(b, []).append(d)
+        return np.concatenate([np.zeros(0, kind), *(unpress(d, kind) for d in self.found.get(block, ()))])
 
-def counted(blocks: DataFrame, n_train: int) -> DataFrame:
-    """block, part, answers (counts of the block's keys); a row with block -1 for each part has v, tails (tokens by tail class) and core words."""
+
+def counted(blocks: DataFrame, n_train: int) -> str:
+    """Answers to each block: the counts of its keys. Task -1 has a row for each part: v (words), once, and the frequent words."""
     buckets = bucket_count(7 * int(blocks.agg(F.sum("n_keys")).first()[0] or 0))
     least = max(2, -(-n_train // CORE))
 
@@ -88,62 +126,33 @@ def counted(blocks: DataFrame, n_train: int) -> DataFrame:
         back[order] = spread(total, at, len(keys))
         part = int(rows.part.iloc[0])
         core = total >= least
-        tail = total[(total > 0) & ~core]
-        tails = np.bincount(tail_class(tail), tail, TAILS).astype("<i8")
-        out = pd.DataFrame({"block": rows.block.to_numpy(), "part": part, "answers": [press(back[a:b]) for a, b in zip(cuts, cuts[1:])]})
-        own = pd.DataFrame({"block": [-1], "part": [part], "v": [int((total > 0).sum())], "tails": [tails.tobytes()], "core_keys": [keys[at][core].tobytes()], "core_counts": [total[core].tobytes()]})
-        return pd.concat([out.assign(v=None, tails=None, core_keys=None, core_counts=None), own.assign(answers=None)])
+        block = rows.block.to_numpy()
+        out = pd.DataFrame({"task": block >> 32, "block": block, "part": part, "data": [press(back[a:b]) for a, b in zip(cuts, cuts[1:])]})
+        own = pd.DataFrame({"task": [-1], "block": [-1], "part": [part], "v": [int((total > 0).sum())], "once": [int((total == 1).sum())], "core_keys": [keys[at][core].tobytes()], "core_counts": [total[core].tobytes()]})
+        return pd.concat([out.assign(v=None, once=None, core_keys=None, core_counts=None), own.assign(data=None)])
 
     dealt = blocks.select("block", "keys", "vals").mapInPandas(deal, DEALT)
-    return stage(dealt.groupBy("part").applyInPandas(meet, "block long, part long, answers binary, v long, tails binary, core_keys binary, core_counts binary"), "counts", blobs=True)
+    return kept_by_task(dealt.groupBy("part").applyInPandas(meet, ANSWERS + ", v long, once long, core_keys binary, core_counts binary"), "counts")
 
 
 class Counts:
-    """Totals of the training tokens: n, v, the core words (sorted keys, counts) and tokens by tail class."""
+    """Totals of the training tokens: n, v, words seen once, and the frequent words (sorted keys, counts)."""
 
     def __init__(self, n: int, rows: list) -> None:
-        self.n, self.v = n, sum(r.v for r in rows)
-        self.tails = sum((np.frombuffer(r.tails, "<i8") for r in rows), np.zeros(TAILS, np.int64))
+        self.n, self.v, self.once = n, sum(r.v for r in rows), sum(r.once for r in rows)
         keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.core_keys, np.uint64) for r in rows)])
         counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.core_counts, np.int64) for r in rows)])
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
 
     def symbols(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Core words by their place, others by their tail class behind them."""
-        out = len(self.keys) + tail_class(counts)
+        """Frequent words by their place; behind them those seen once or never, then all others."""
+        out = len(self.keys) + (counts > 1)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             out = np.where(self.keys[at] == keys, at, out)
         return out
 
-    def tail_log(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of a tail word's probability in its class."""
-        k = tail_class(counts)
-        total = np.maximum(self.tails[k], 1)
-        p = np.where(k > 0, counts / total, np.where(counts > 0, (1 - UNKNOWN) / total, UNKNOWN if self.tails[0] else 1.0))
-        return np.log10(np.maximum(p, 1e-300))
-
-
-def symbolic(blocks: DataFrame, answers: DataFrame, c: Counts) -> DataFrame:
-    """A staged row for each block: doc_ids, held, sizes, symbols, and by document n_known, base (score) and tail (log of emissions)."""
-    sent = blocks.sparkSession.sparkContext.broadcast(c)
-
-    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        c, out = sent.value, []
-        found = np.concatenate([np.zeros(0, np.int64), *(unpress(a, "<i8") for a in answers.sort_values("part").answers)])
-        for row in blocks.itertuples(index=False):
-            keys, tokens, sizes = unpress_sorted(row.keys), unpress(row.tokens, "<u4"), np.frombuffer(row.sizes, "<u4").astype(np.int64)
-            symbols, at = c.symbols(keys, found), np.cumsum(sizes) - sizes
-            base = np.log10((found + 1) / (c.n + c.v + 1))
-            tail = np.where(symbols < len(c.keys), 0.0, c.tail_log(found))
-            by_doc = [np.add.reduceat(x[tokens], at) for x in ((found > 0).astype(np.int64), base, tail)]
-            out.append({"block": row.block, "doc_ids": row.doc_ids, "held": row.held, "sizes": row.sizes, "symbols": press(symbols[tokens].astype("<u2")), "known": by_doc[0].tobytes(), "base": by_doc[1].tobytes(), "tail": by_doc[2].tobytes()})
-        return pd.DataFrame(out, columns=["block", "doc_ids", "held", "sizes", "symbols", "known", "base", "tail"])
-
-    wanted = blocks.drop("vals", "n_train", "n_keys").groupBy("block").cogroup(answers.where("block >= 0").select("block", "part", "answers").groupBy("block"))
-    return stage(wanted.applyInPandas(run, "block long, doc_ids binary, held binary, sizes binary, symbols binary, known binary, base binary, tail binary"), "symbols", blobs=True)
-
 
 def before(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The symbol before each: an end token stands before a document."""
@@ -154,12 +163,32 @@ def before(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def symbol_pairs(texts: DataFrame, n_symbols: int, n_tokens: int) -> DataFrame:
+class Tokens:
+    """One block's documents as places in its keys."""
+
+    def __init__(self, row: object) -> None:
+        self.block = int(row.block)
+        self.keys, self.places = unpress_sorted(row.keys), unpress(row.tokens, "<u4")
+        self.sizes, self.held = np.frombuffer(row.sizes, "<u4").astype(np.int64), np.frombuffer(row.held, bool)
+
+    def pairs(self, of_key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the training tokens: places, what of_key gives them, and the tokens before them."""
+        own = ~np.repeat(self.held, self.sizes)
+        x = of_key[self.places]
+        return self.places[own], x[own], before(x, self.sizes)[own]
+
+
+TEXT = ["block", "held", "sizes", "tokens", "keys"]
+
+
+def symbol_pairs(blocks: DataFrame, counts: str, c: Counts) -> DataFrame:
     """Staged rows with pairs (symbol * n_symbols + next symbol) of the training documents and their counts; a pair stands in one row.
 
     There are n_symbols ** 2 pairs at most. Each task adds up its blocks, and the tasks' counts are combined FAN_IN at a time.
     """
-    parts_ = 1 + min(n_tokens, n_symbols**2) // 2_000_000
+    n_symbols = len(c.keys) + 2
+    parts_ = 1 + min(c.n, n_symbols**2) // 2_000_000
+    sent = blocks.sparkSession.sparkContext.broadcast(c)
 
     def added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         pair, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
@@ -168,12 +197,12 @@ def symbol_pairs(texts: DataFrame, n_symbols: int, n_tokens: int) -> DataFrame:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        pair, n, task = np.zeros(0, np.int64), np.zeros(0, np.int64), TaskContext.get().partitionId()
+        pair, n, task, known = np.zeros(0, np.int64), np.zeros(0, np.int64), TaskContext.get().partitionId(), Answers(counts)
         for rows in parts:
             for row in rows.itertuples(index=False):
-                s, sizes = unpress(row.symbols, "<u2").astype(np.int64), np.frombuffer(row.sizes, "<u4").astype(np.int64)
-                own = ~np.repeat(np.frombuffer(row.held, bool), sizes)
-                new = np.unique((before(s, sizes) * n_symbols + s)[own], return_counts=True)
+                t = Tokens(row)
+                _, s, last = t.pairs(sent.value.symbols(t.keys, known.of(t.block, "<i8")).astype(np.int64))
+                new = np.unique(last * n_symbols + s, return_counts=True)
                 pair, n = added([pair, new[0]], [n, new[1]])
         for p in range(parts_):
             if (own := pair % parts_ == p).any():
@@ -184,8 +213,8 @@ def symbol_pairs(texts: DataFrame, n_symbols: int, n_tokens: int) -> DataFrame:
         return pd.DataFrame({"part": [rows.part.iloc[0]], "task": [rows.task.iloc[0] // FAN_IN], "pairs": [press_sorted(pair)], "n": [press(n)]})
 
     kind = "part long, task long, pairs binary, n binary"
-    out = texts.select("held", "sizes", "symbols").mapInPandas(count, kind)
-    tasks = max(2, texts.rdd.getNumPartitions())
+    out = stage(blocks.select(*TEXT).mapInPandas(count, kind), "task-pairs", blobs=True)
+    tasks = 1 + int(out.agg(F.max("task")).first()[0] or 0)
     while tasks > 1:
         tasks = -(-tasks // FAN_IN)
         out = out.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(add, kind)
@@ -255,55 +284,205 @@ def exchanged(classes: np.ndarray, n_core: int, left: np.ndarray, right: np.ndar
     return new
 
 
-def clustered(pairs: DataFrame, c: Counts) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each symbol, and the class bigrams."""
-    n_core, n_classes = len(c.keys), CLASSES + TAILS
+def clustered(pairs: DataFrame, c: Counts) -> np.ndarray:
+    """The classes of the frequent words, while the others wait."""
+    n_core = len(c.keys)
     order = np.argsort(-c.counts, kind="stable")
-    classes = np.concatenate([np.zeros(n_core, np.int64), CLASSES + np.arange(TAILS)])
+    classes = np.concatenate([np.zeros(n_core, np.int64), [ONCE, WAITING]])
     classes[order] = np.arange(n_core) % CLASSES
-    best, kept = -np.inf, (classes, np.zeros((n_classes, n_classes)))
+    best, kept = -np.inf, classes
     for turn in range(ROUNDS + 1):
-        left, right = contexts(pairs, classes, n_classes)
-        m = class_matrix(right, classes, n_classes)
+        left, right = contexts(pairs, classes, ALL_CLASSES)
+        m = class_matrix(right, classes, ALL_CLASSES)
         if likelihood(m) > best:
-            best, kept = likelihood(m), (classes, m)
+            best, kept = likelihood(m), classes
         if turn < ROUNDS:
             classes = exchanged(classes, n_core, left, right, m, turn)
-            if turn and (classes == kept[0]).all():
+            if turn and (classes == kept).all():
                 break
+    return kept[:n_core]
+
+
+class Classes:
+    """Classes of a block's keys: those of the last moves, before them those of the frequent words."""
+
+    def __init__(self, c: Counts, core: np.ndarray, counts: str, moved: str | None) -> None:
+        self.c, self.core, self.counts, self.moved = c, np.concatenate([core, [ONCE, WAITING]]), Answers(counts), moved and Answers(moved)
+
+    def of(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(classes, counts)"""
+        counts = self.counts.of(t.block, "<i8")
+        out = self.core[self.c.symbols(t.keys, counts)]
+        if self.moved:
+            out[counts > 1] = self.moved.of(t.block, "u1")
+        return out, counts
+
+
+def moving(keys: np.ndarray, classes: np.ndarray, turn: int) -> np.ndarray:
+    """Of words that occur at least twice: which ones move in a turn."""
+    return (classes == WAITING) | ((keys >> np.uint64(5)) % np.uint64(2) == turn % 2)
+
+
+def beside(blocks: DataFrame, known: tuple, moved: str | None, turn: int, buckets: int) -> DataFrame:
+    """Staged rows for the blocks and parts: keys that occur at least twice, their classes, and for those that move what stands beside
+    them (key * BESIDE + class, in order) and how often. Rows of part -1 have the classes' bigrams in m."""
+    sent = blocks.sparkSession.sparkContext.broadcast(known)
+    shift = np.uint64(64 - int(np.log2(buckets)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = Classes(*sent.value, moved)
+        for rows in parts:
+            for row in rows.itertuples(index=False):
+                t = Tokens(row)
+                own, counts = classes.of(t)
+                places, x, last = t.pairs(own)
+                m = np.bincount(last * ALL_CLASSES + x, minlength=ALL_CLASSES**2)
+                out = [{"part": -1, "block": t.block, "m": m}]
+                if turn < TURNS and (counts > 1).any():
+                    number = np.cumsum(counts > 1) - 1
+                    keys, of = t.keys[counts > 1], own[counts > 1]
+                    goes = np.zeros(len(own), bool)
+                    goes[counts > 1] = moving(keys, of, turn)
+                    # the token before each, as a place: what stands behind it is the token's own class
+                    first = before(t.places.astype(np.int64), t.sizes)[~np.repeat(t.held, t.sizes)]
+                    codes = np.concatenate([number[first[goes[first]]] * BESIDE + x[goes[first]], number[places[goes[places]]] * BESIDE + ALL_CLASSES + last[goes[places]]])
+                    cells, n = np.unique(codes, return_counts=True)
+                    top = keys >> shift
+                    cuts = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(keys)]
+                    for a, b in zip(cuts, cuts[1:]):
+                        lo, hi = np.searchsorted(cells, [a * BESIDE, b * BESIDE])
+                        out.append({"part": int(top[a]), "block": t.block, "keys": press_sorted(keys[a:b]), "classes": press(of[a:b].astype("u1")), "cells": press_sorted((cells[lo:hi] - a * BESIDE).astype(np.uint64)), "n": press(n[lo:hi].astype("<u4"))})
+                yield pd.DataFrame(out, columns=["part", "block", "m", "keys", "classes", "cells", "n"])
+
+    return stage(blocks.select(*TEXT).mapInPandas(run, "part long, block long, m array<long>, keys binary, classes binary, cells binary, n binary"), "beside", blobs=True)
+
+
+def weighed(word: np.ndarray, cell: np.ndarray, n: np.ndarray, own: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most for each word; (word, cell) in order, each word has some. own: the words' classes."""
+    sums = np.zeros((len(own), BESIDE))
+    sums[word, cell] = n
+    at = np.concatenate([m.T[:, :CLASSES], m[:, :CLASSES]])[cell]
+    side, class_ = cell // ALL_CLASSES, cell % ALL_CLASSES
+    inside = np.flatnonzero(class_ == own[word])  # the class beside it is its own, which it leaves
+    other = sums.reshape(len(own), 2, ALL_CLASSES)[word[inside], 1 - side[inside], :CLASSES]
+    at[inside] -= other
+    settled = np.flatnonzero(own[word] < CLASSES)
+    at[settled, own[word[settled]]] -= n[settled]
+    at = np.maximum(at, 0)
+    gain = np.add.reduceat(_xlogx(at + n[:, None]) - _xlogx(at), starts_of(word), axis=0)
+    stays = np.arange(CLASSES) == own[:, None]
+    for total, k in ((m.sum(1)[:CLASSES], 0), (m.sum(0)[:CLASSES], 1)):
+        size = sums[:, k * ALL_CLASSES : (k + 1) * ALL_CLASSES].sum(1)[:, None]
+        rest = np.maximum(total - stays * size, 0)
+        gain -= _xlogx(rest + size) - _xlogx(rest)
+    return (gain + 1e-9 * stays).argmax(1)
+
+
+def moves(rows: DataFrame, m: np.ndarray, turn: int) -> str:
+    """Answers to each block: the new classes of its keys that occur at least twice."""
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpress_sorted(k) for k in rows["keys"]]
+        cuts = np.cumsum([0, *map(len, keys)])
+        words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        own = np.zeros(len(words), np.int64)
+        own[inverse] = np.concatenate([unpress(c, "u1") for c in rows["classes"]])
+        codes, counts = [], [unpress(n, "<u4") for n in rows.n]
+        for a, cells in zip(cuts.tolist(), rows.cells):
+            x = unpress_sorted(cells).astype(np.int64)
+            codes.append(inverse[a + x // BESIDE] * BESIDE + x % BESIDE)
+        code, back = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(back, np.concatenate(counts), len(code))
+        word = code // BESIDE
+        k = 0
+        while k < len(code):
+            end = min(k + WEIGHED, len(code))
+            if end < len(code):  # up to the last whole word, or to the end of a word that is too long
+                first = np.searchsorted(word, word[end], "left")
+                end = int(first) if first > k else int(np.searchsorted(word, word[end], "right"))
+            of, local = np.unique(word[k:end], return_inverse=True)
+            own[of] = weighed(local, code[k:end] % BESIDE, n[k:end], own[of], m)
+            k = end
+        new, block = own[inverse].astype("u1"), rows.block.to_numpy()
+        return pd.DataFrame({"task": block >> 32, "block": block, "part": rows.part.to_numpy(), "data": [press(new[a:b]) for a, b in zip(cuts, cuts[1:])]})
+
+    own = rows.where("part >= 0").select("part", "block", "keys", "classes", "cells", "n")
+    return kept_by_task(own.groupBy("part").applyInPandas(meet, ANSWERS), f"moves-{turn}")
+
+
+def settled(blocks: DataFrame, known: tuple, n_keys: int) -> tuple[str | None, np.ndarray]:
+    """Where the answers with the classes of all words are, and the classes' bigrams."""
+    best, kept, moved = -np.inf, (None, np.zeros((ALL_CLASSES, ALL_CLASSES))), None
+    spark, buckets = blocks.sparkSession, bucket_count(7 * n_keys, 8 << 20)
+    for turn in range(TURNS + 1):
+        rows = beside(blocks, known, moved, turn, buckets)
+        m = np.zeros(ALL_CLASSES**2)
+        for r in rows.where("part < 0").select(F.posexplode("m").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+            m[r["at"]] = r.n
+        m = m.reshape(ALL_CLASSES, ALL_CLASSES)
+        if turn == 0 or not m[WAITING].any() and likelihood(m) > best:
+            best, kept = -np.inf if m[WAITING].any() else likelihood(m), (moved, m)
+        if turn < TURNS:
+            moved = moves(rows, m, turn)
+        drop_folder(spark, rows.staged_path)
     return kept
 
 
+@dataclass
+class Model:
+    """Totals, the frequent words' classes, where the counts and the others' classes are, and the classes' bigrams."""
+
+    c: Counts
+    core: np.ndarray
+    counts: str
+    moved: str | None
+    m: np.ndarray
+
+    def transitions(self) -> np.ndarray:
+        """Probability of each class after each; 0 for classes without words (but ONCE has the unknown word)."""
+        m = self.m[:WAITING, :WAITING]
+        prior = np.where((m.sum(0) > 0) | (np.arange(WAITING) == ONCE), m.sum(0) + 1, 0)
+        return (m + SMOOTH * prior / prior.sum()) / (m.sum(1, keepdims=True) + SMOOTH)
+
+    def emissions(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probability of a word in its class."""
+        unknown = UNKNOWN if self.c.once else 1.0
+        return np.where(counts > 1, counts / np.maximum(self.m.sum(0), 1)[classes], np.where(counts > 0, (1 - UNKNOWN) / max(1, self.c.once), unknown))
+
+
+def fit(blocks: DataFrame) -> Model:
+    spark = blocks.sparkSession
+    size = blocks.agg(F.sum("n_train").alias("n"), F.sum("n_keys").alias("keys")).first()
+    counts = counted(blocks, size.n or 0)
+    told = spark.read.schema("block long, part long, data binary, v long, once long, core_keys binary, core_counts binary, task long").parquet(counts)
+    c = Counts(size.n or 0, told.where("task = -1").select("v", "once", "core_keys", "core_counts").collect())
+    core = clustered(symbol_pairs(blocks, counts, c), c)
+    return Model(c, core, counts, *settled(blocks, (c, core, counts), size["keys"] or 0))
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = ready(docs.sparkSession)
     blocks = numbered(docs, id_col, text_col)
-    n = int(blocks.agg(F.sum("n_train")).first()[0] or 0)
-    answers = counted(blocks, n)
-    c = Counts(n, answers.where("block < 0").select("v", "tails", "core_keys", "core_counts").collect())
-    texts = symbolic(blocks, answers, c)
-    n_symbols = len(c.keys) + TAILS
-    classes, m = clustered(symbol_pairs(texts, n_symbols, n), c)
-    prior = (m.sum(0) + 1) / (m.sum() + len(m))
-    moves = np.log10((m + SMOOTH * prior) / (m.sum(1, keepdims=True) + SMOOTH))
-    sizes_of = np.bincount(classes[: len(c.keys)], c.counts, CLASSES + TAILS) if len(c.keys) else np.zeros(CLASSES + TAILS)
-    emits = np.concatenate([np.log10(c.counts / sizes_of[classes[: len(c.keys)]]), np.zeros(TAILS)])
-    sent = spark.sparkContext.broadcast((classes, moves, emits, c.n))
+    sent = spark.sparkContext.broadcast(fit(blocks))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, moves, emits, n = sent.value
+        model = sent.value
+        classes, c, moves = Classes(model.c, model.core, model.counts, model.moved), model.c, np.log10(np.maximum(model.transitions(), 1e-300))
         for rows in parts:
             for row in rows.itertuples(index=False):
-                s, sizes = unpress(row.symbols, "<u2").astype(np.int64), np.frombuffer(row.sizes, "<u4").astype(np.int64)
-                each = moves[classes[before(s, sizes)], classes[s]] + emits[s]
-                score = np.add.reduceat(each, np.cumsum(sizes) - sizes) + np.frombuffer(row.tail)
+                t = Tokens(row)
+                of, found = classes.of(t)
+                x, at = of[t.places], np.cumsum(t.sizes) - t.sizes
+                each = moves[before(x, t.sizes), x] + np.log10(model.emissions(of, found))[t.places]
+                base, score = (np.add.reduceat(y, at) for y in (np.log10((found + 1) / (c.n + c.v + 1))[t.places], each))
                 ids = np.frombuffer(row.doc_ids, np.int64)
                 yield pd.DataFrame({
-                    "doc_id": pd.Series([None if i == NO_ID else i for i in ids.tolist()], dtype=object), "held_out": np.frombuffer(row.held, bool), "n_tokens": sizes, "n_known": np.frombuffer(row.known, np.int64),
-                    "train_tokens": n, "base_score": np.frombuffer(row.base), "score": score, "perplexity": 10 ** (-score / sizes),
+                    "doc_id": pd.Series([None if i == NO_ID else i for i in ids.tolist()], dtype=object), "held_out": t.held, "n_tokens": t.sizes, "n_known": np.add.reduceat((found > 0).astype(np.int64)[t.places], at),
+                    "train_tokens": c.n, "base_score": base, "score": score, "perplexity": 10 ** (-score / t.sizes),
                 })
 
-    return texts.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double").withColumnRenamed("doc_id", id_col)
+    return blocks.select(*TEXT, "doc_ids").mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double").withColumnRenamed("doc_id", id_col)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Fuzzy line dedup (op4), in DataFrame functions alone.
 
-Lines (between line feeds, trimmed) of at least MIN_CHARS characters take part. A line's set is its distinct shingles of SHINGLE
-characters; two lines are linked if the Jaccard similarity of their sets is at least 0.8. Signatures have BANDS * ROWS minimums, each
-under a hash of its own: pairs at 0.8 share a band with a probability of 0.9998. Candidates whose signatures are not far apart are confirmed on their full sets; linked
-lines are joined into components, and one line of each component stays: the first one (smallest document id, then the leftmost).
-
-Equal lines are one class first. Within a band's group, classes are compared with one pivot in each of a few rounds, the class that occurs
-most first; groups whose classes are still in several components then compare all of those, inside the join, so that only similar
+Lines (between line feeds, without the spaces around them) take part unless they are empty. A line's set is its distinct shingles of
+SHINGLE characters (UTF-16 code units), or the whole line where it is shorter; two lines are linked if the Jaccard similarity of their sets
+is at least 0.8. Signatures have BANDS * ROWS minimums: row r of a band has a 64-bit hash of its own, and band k takes the minimum
+of that hash after exclusive-or with a constant whose top bits are k, so that each band looks first at its own part of the hash's range.
+A pair at 0.8 shares a band with a probability of 0.997, as with independent minimums. Candidates whose signatures are not far apart
+are confirmed on their full sets; linked lines are joined into components, and one line of each component stays: the first one
+(smallest document id, then the leftmost).
+
+Equal lines are one class first, told apart by 64-bit hashes (two of them where a class is alone). Two classes that meet in a band are
+compared. Of larger groups, classes are compared with one pivot in each of a few rounds, the class that occurs most first; groups whose
+classes are still in several components then compare all of those, inside a join in blocks of BLOCK classes, so that only similar
 pairs come out. A line that very many documents hold makes no pairs.
 
-Defined results: a null text has no lines and stays null; shorter lines always stay; rows with a null id come after all others; equal
-rows (same id and text) are equally early, so each keeps its lines; an empty table gives no rows; other columns stay as they are.
+Defined results: a null text has no lines and stays null; rows with a null id come after all others; equal rows (same id and text) are
+equally early, so each keeps its lines; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,14 +27,18 @@ from pyspark.sql import functions as F
 from .common import ready, stage, table
 from .components import components
 
-MIN_CHARS, SHINGLE, BANDS, ROWS = 24, 8, 12, 3
+SHINGLE, BANDS, ROWS = 8, 8, 3
 PERCENT = 80
-#: Of the first 32 minimums, those that may differ in a candidate: 6.4 do on average at a similarity of 0.8 (deviation 2.3), more than 18 in less than one pair in 100,000.
-DIFFERING = 18
+#: Minimums that may differ in a candidate: 4.8 of 24 do on average at a similarity of 0.8 (deviation 2.0), more than 13 in less than one pair in 10,000.
+DIFFERING = 13
 #: Rounds that link classes to pivots before pairs are made; their number changes the cost, not the result.
 ROUNDS = 2
+#: Classes of a group that are compared with each other in one key of the last join.
+BLOCK = 256
 #: A table of at most this size (counted rows times bytes a row) is broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
+#: After the band's number in the top three bits; any constants do.
+_MIXED = [(k << 61) + (0x243F6A8885A308D3 * (k + 1)) % (1 << 61) for k in range(BANDS)]
 
 
 def if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -42,9 +50,13 @@ def code_units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
+def places_of(units: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest((F.length(units) / 2 - SHINGLE).cast("int"), F.lit(0)))
+
+
 def shingle_set(units: Column, f: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Distinct shingles (as hashes: Spark's set functions compare binaries one by one) of a line's code units, a plain column."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(units) / 2 - SHINGLE).cast("int")), lambda i: f(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+    return F.array_distinct(F.transform(places_of(units), lambda i: f(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
 
 
 def similar(x: str, y: str, percent: int) -> Column:
@@ -54,27 +66,33 @@ def similar(x: str, y: str, percent: int) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row_a, row_b (stand for a row's id and text), doc, pos, line and its class (a, b: 128 bits), for lines that take part."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(id_col, text_col).alias("row_a"), F.xxhash64(text_col, id_col, F.lit(7)).alias("row_b"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    own = own.select("row_a", "row_b", "doc", "pos", F.trim("raw").alias("line")).where(F.length("line") >= MIN_CHARS)
+    """row_a, row_b (stand for a row's id and text), place (order of document and line), pos, line and its class (a, b: 128 bits)."""
+    own = docs.select(F.col(id_col).cast("decimal(20)").alias("doc"), F.xxhash64(id_col, text_col).alias("row_a"), F.xxhash64(text_col, id_col, F.lit(7)).alias("row_b"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
+    place = F.coalesce(F.col("doc") * F.lit(1 << 32).cast("decimal(12)"), F.lit(10**30).cast("decimal(32)")) + F.col("pos")
+    own = own.select("row_a", "row_b", place.cast("decimal(38)").alias("place"), "pos", F.trim("raw").alias("line")).where("line != ''")
     return own.select("*", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(11)).alias("b"))
 
 
+def _signed_64(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def signed(lines: DataFrame) -> DataFrame:
-    """a, n (occurrences), keys (one for each band), s0 and s1 (four bits of each of the first 32 minimums). Buffers are ints alone, so that the aggregate hashes and never sorts the exploded shingles."""
+    """a, often (occurrences), keys (one for each band), s0 and s1 (four bits of each minimum). Buffers are numbers alone, so that the aggregate hashes and never sorts the exploded shingles."""
     own = lines.select("a", code_units(F.col("line")).alias("units"))
-    where = F.sequence(F.lit(0), (F.length("units") / 2 - SHINGLE).cast("int"))
-    each = own.select("a", "units", F.explode(where).alias("i"))
-    each = each.select("a", F.when(F.col("i") == 0, 1).alias("one"), F.hash(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h"))
-    sigs = each.groupBy("a").agg(F.count("one").alias("n"), *[F.min(F.hash("h", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)])
+    each = own.select("a", "units", F.explode(places_of(F.col("units"))).alias("i"))
+    each = each.select("a", F.when(F.col("i") == 0, 1).alias("one"), F.xxhash64(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h0"))
+    each = each.select("a", "one", "h0", *[F.xxhash64("h0", F.lit(r)).alias(f"h{r}") for r in range(1, ROWS)])
+    least = [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(_signed_64(_MIXED[k])))).alias(f"m{k * ROWS + r}") for k in range(BANDS) for r in range(ROWS)]
+    sigs = each.groupBy("a").agg(F.count("one").alias("often"), *least)
     keys = F.array(*[F.xxhash64(F.lit(k), *[f"m{k * ROWS + r}" for r in range(ROWS)]) for k in range(BANDS)])
-    bits = [F.shiftrightunsigned(F.hash(f"m{k}"), 28).cast("long") for k in range(32)]
-    packed = [sum((F.shiftleft(b, 4 * j) for j, b in enumerate(bits[k + 1 : k + 16], 1)), bits[k]) for k in (0, 16)]
-    return sigs.select("a", "n", keys.alias("keys"), packed[0].alias("s0"), packed[1].alias("s1"))
+    bits = [F.shiftrightunsigned(F.hash(f"m{k}"), 28).cast("long") for k in range(BANDS * ROWS)]
+    packed = [sum((F.shiftleft(b, 4 * j) for j, b in enumerate(bits[k + 1 : k + 12], 1)), bits[k]) for k in (0, 12)]
+    return sigs.select("a", "often", keys.alias("keys"), packed[0].alias("s0"), packed[1].alias("s1"))
 
 
 def differing(other: str) -> Column:
-    """Minimums of the first 32 in which s0, s1 and those of another line differ, as far as four bits tell."""
+    """Minimums in which s0, s1 and those of another line differ, as far as four bits tell."""
     total = None
     for k in (0, 1):
         x = F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}{other}"))
@@ -85,9 +103,8 @@ def differing(other: str) -> Column:
 
 
 def occurrences(lines: DataFrame) -> DataFrame:
-    """a, b, first (doc, pos), n: each class once."""
-    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
-    return lines.select("a", "b", first.alias("first")).groupBy("a", "b").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    """a, b, first (place), n: each class once."""
+    return lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -97,36 +114,59 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(similar("x", "y", PERCENT)).select(F.col("p").alias("a"), F.col("id").alias("b"))
 
 
+def as_other(df: DataFrame, *keep: str) -> DataFrame:
+    """The other side of a pair: id is p there, and what isn't in keep ends in _p."""
+    return df.select(*[F.col(c).alias(c if c in keep else "p" if c == "id" else f"{c}_p") for c in df.columns])
+
+
+def close_within(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members (key, id, component, s0, s1, keys) that stand in the same group, in different components, and whose sets (of 32-bit hashes)
+    are similar: each pair at the first key that it shares. Blocks of a group meet two by two."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    left = own.withColumn("y", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1))).drop("blocks")
+    right = own.withColumnRenamed("x", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y")))).drop("blocks")
+    apart = (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING) & ((F.col("x") < F.col("y")) | (F.col("p") < F.col("id")))
+    near = left.join(as_other(right, "key", "x", "y"), ["key", "x", "y"]).where(apart)
+    near = near.where(F.array_min(F.array_intersect("keys", "keys_p")) == F.col("key")).select("p", "id")
+    both = near.join(as_other(sets), "p").join(sets, "id")
+    return both.where(similar("set", "set_p", PERCENT - 1)).select("p", "id")
+
+
 def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
     """id, component of the classes that have links to others; id is a class's `a`."""
     keys = sigs.select(F.col("a").alias("id"), F.explode("keys").alias("key"))
-    keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-    keys = stage(keys.join(sigs.select(F.col("a").alias("id"), F.col("n").alias("often"), "s0", "s1"), "id"), "line-keys")
-    wanted = stage(keys.select("id").distinct(), "line-candidates")
-    texts = lines.select(F.col("a").alias("id"), "line").join(if_small(wanted, wanted.count(), 48), "id", "left_semi")
+    groups = stage(keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("id"), F.count("*").alias("n")).where("n > 1"), "line-groups")
+    large = groups.where("n > 2").select("key")
+    held = stage(keys.join(if_small(large, large.count(), 24), "key"), "line-keys")
+    two = groups.where("n = 2").select("p", "id").distinct()
+    wanted = stage(held.select("id").union(two.select("id")).union(two.select("p")).distinct(), "line-candidates")
+    n_wanted = wanted.count()
+    near = stage(sigs.withColumnRenamed("a", "id").join(if_small(wanted, n_wanted, 24), "id", "left_semi"), "line-near")
+    texts = lines.select(F.col("a").alias("id"), "line").join(if_small(wanted, n_wanted, 24), "id", "left_semi")
     texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")).select("id", code_units(F.col("line")).alias("units")), "line-texts")
-    members, links = keys.withColumn("component", F.col("id")), None
+    marks = near.select("id", "s0", "s1")
+    two = two.join(as_other(marks), "p").join(marks, "id").where(differing("_p") <= DIFFERING).select("p", "id")
+    members = held.join(near.select("id", "often", "s0", "s1"), "id")
+    all_, links = stage(members.withColumn("component", F.col("id")), "line-members"), None
+    members = all_
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:  # the class that occurs most is the pivot, then any
             first = F.struct(-F.col("often"), "id") if turn == 0 else F.xxhash64("id", F.lit(turn))
             pivots = members.groupBy("key").agg(F.min_by(F.struct("id", "component", "s0", "s1"), first).alias("p"))
             other = pivots.select("key", F.col("p.id").alias("p"), F.col("p.component").alias("component_p"), F.col("p.s0").alias("s0_p"), F.col("p.s1").alias("s1_p"))
-            pairs = members.join(other, "key").where((F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING))
-        else:  # all pairs, each at the first key that it shares; only those that 32-bit sets find similar come out of the join
-            near = members.select("key", *[F.col(c).alias("p" if c == "id" else f"{c}_p") for c in ("id", "component", "s0", "s1")])
-            apart = (members["key"] == near["key"]) & (F.col("p") != F.col("id")) & (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING)
-            members = stage(members.join(near, apart, "left_semi"), "line-open-keys")  # those with a candidate at all
-            sets = members.select("id").distinct().join(texts, "id").join(sigs.select(F.col("a").alias("id"), "keys"), "id").select("id", "keys", shingle_set(F.col("units"), F.hash).alias("set"))
-            own = members.join(sets, "id").select("key", "id", "component", "s0", "s1", "keys", "set")
-            other = own.select("key", *[F.col(c).alias("p" if c == "id" else f"{c}_p") for c in own.columns[1:]])
-            first = F.array_min(F.array_intersect("keys", "keys_p")) == F.col("key")
-            pairs = own.join(other, "key").where((F.col("p") < F.col("id")) & (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING) & first & similar("set", "set_p", PERCENT - 1))
+            pairs = members.join(other, "key").where((F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING)).select("p", "id")
+            pairs = pairs.union(two) if turn == 0 else pairs
+        else:
+            open_ = members.select("id").distinct()
+            sets = stage(texts.join(open_, "id", "left_semi").select("id", shingle_set(F.col("units"), F.hash).alias("set")), "line-sets")
+            pairs = close_within(members.select("key", "id", "component", "s0", "s1").join(near.select("id", "keys"), "id"), sets)
         pairs = pairs.select(F.least("p", "id").alias("p"), F.greatest("p", "id").alias("id")).distinct()
         found = stage(confirmed(pairs, texts), "line-links")
         links = found if links is None else links.union(found)
         reached = stage(components(links, native=True), "line-components")
         if turn < ROUNDS:
-            members = keys.join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "often", "s0", "s1", F.coalesce("component", "id").alias("component"))
+            members = all_.drop("component").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
             members = stage(members.join(several, "key"), "line-open-keys")
             if members.isEmpty():
@@ -139,11 +179,11 @@ def dropped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = lines_of(docs, id_col, text_col)
     reached = linked(lines, stage(signed(lines), "line-signatures"))
     known = stage(occurrences(lines), "line-classes")
-    known = known.join(reached, known.a == reached.id, "left").select("a", "b", "first", "n", F.coalesce("component", "a").alias("component"), F.when(F.col("component").isNull(), F.col("b")).alias("alone"))
+    known = known.join(reached, known.a == reached.id, "left").where("n > 1 or component is not null").select("a", "b", "first", "n", F.coalesce("component", "a").alias("component"), F.when(F.col("component").isNull(), F.col("b")).alias("alone"))
+    known = stage(known, "line-repeats")
     firsts = known.groupBy("component", "alone").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
-    again = stage(known.join(firsts, (known.component == firsts.component) & known.alone.eqNullSafe(firsts.alone)).select("a", "b", "keep"), "repeated-lines")
-    at = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
-    gone = lines.select("row_a", "row_b", "doc", "pos", "a", "b").join(if_small(again, again.count(), 112), ["a", "b"]).where(at > F.col("keep"))
+    again = stage(known.select("a", "b", "component", "alone").join(firsts.withColumnsRenamed({"component": "c", "alone": "d"}), F.expr("component = c and alone <=> d")).select("a", "b", "keep"), "repeated-lines")
+    gone = lines.select("row_a", "row_b", "place", "pos", "a", "b").join(if_small(again, again.count(), 64), ["a", "b"]).where("place > keep")
     return stage(gone.groupBy("row_a", "row_b").agg(F.collect_set("pos").alias("drop")), "dropped-lines")
 
 

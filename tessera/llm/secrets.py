@@ -2,11 +2,14 @@
 
 Fixed patterns give spans of the kinds assign, access and hex. Besides, runs of at least LEAST_VALUE characters that secrets are made of,
 outside of those spans, are scored under two first-order character models: one trained on random strings (made by hashing, and the secrets
-that the patterns find in a sample), one on the sample's ordinary runs (words, identifiers, addresses: shorter ones, and long ones without
-digits). Running sums find the stretches of a run where the log-likelihood ratio rises most, so that a path or name before a secret doesn't
-dilute it: a stretch is a span of the kind `random` if its ratio is at least LEAST_TOTAL in all and LEAST_MEAN a step.
+that the patterns find in a sample), one on the sample's ordinary runs (words, identifiers, addresses: those under LABELLED characters, and
+longer ones without digits). Running sums find the stretches of a run where the log-likelihood ratio rises most, so that a path or name
+before a secret doesn't dilute it: a stretch is a span of the kind `random` if its ratio is at least LEAST_TOTAL in all and LEAST_MEAN a step.
 
-The models are fitted on at most SAMPLE documents (those with the smallest hash of their id); every whole text is scanned. Places count
+Each distinct run is scored once, wherever and however often it stands; runs without enough rising steps are left out by their sum alone.
+Then texts look up which of their runs hold stretches, and only for those are places counted.
+
+The models are fitted on at most `sample` documents (those with the smallest hash of their id); every whole text is scanned. Places count
 code points.
 
 Defined results: a null text counts as empty (no spans); rows with a null id are scanned like others; repeated rows each give a row; an
@@ -20,7 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import ready, stage, table
+from .line_dedup import if_small
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +33,7 @@ ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 WORDS_BEFORE = ("password", "passwd", "secret", "token", "api")
 LEAST_VALUE = 8
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-MIN_RUN, LEAST_TOTAL, LEAST_MEAN = 20, 12.0, 0.6
+LABELLED, LEAST_TOTAL, LEAST_MEAN = 20, 12.0, 0.6
 RUN = "[A-Za-z0-9+/_.=-]{%d,}" % LEAST_VALUE
 SAMPLE, RANDOM_STRINGS = 2000, 2000
 _WIDE = len(ALPHABET) + 1
@@ -63,10 +67,6 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
-def outside(spans: Column, base: Column) -> Column:
-    return F.filter(spans, lambda r: ~F.exists(base, lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
-
-
 def codes(run: Column) -> Column:
     """Places of a run's characters in the alphabet, from 1; 0 for others."""
     return F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c))
@@ -83,10 +83,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> li
     """Log-likelihood ratio of random against ordinary for each pair of characters."""
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id").withColumn("base", base_spans(F.col("text")))
-    secrets = own.select(F.explode("base.value").alias("run"), F.lit(1).alias("random"))
-    runs = own.select(F.explode(outside(places(F.col("text"), "[A-Za-z0-9+/_.=-]{4,}", 3), F.col("base"))["value"]).alias("run"), F.lit(0).alias("random"))
-    runs = runs.where((F.length("run") < MIN_RUN) | ~F.col("run").rlike("[0-9]"))  # long runs with digits may be secrets: no label
+    own = stage(scanned(docs, id_col, text_col).join(F.broadcast(ids), "id").select("base.value", "rest"), "secrets-sample")
+    secrets = own.select(F.explode("value").alias("run"), F.lit(1).alias("random"))
+    runs = own.select(F.explode(F.regexp_extract_all("rest", F.lit("[A-Za-z0-9+/_.=-]{4,}"), F.lit(0))).alias("run"), F.lit(0).alias("random"))
+    runs = runs.where((F.length("run") < LABELLED) | ~F.col("run").rlike("[0-9]"))  # long runs with digits may be secrets: no label
     digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
     made = spark.range(RANDOM_STRINGS).select(F.explode(F.array(F.base64(F.unhex(digest)), digest, F.translate(F.base64(F.unhex(digest)), "+/=abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234"))).alias("run"), F.lit(1).alias("random"))
     pairs = secrets.unionByName(runs).unionByName(made).distinct().where(F.length("run") >= 2).select("random", F.explode(steps_of(F.col("run"))).alias("pair"))
@@ -111,7 +111,14 @@ def masked(text: Column, base: Column) -> Column:
     return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
 
 
-def stretches(run: Column, table_: Column) -> Column:
+def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row_a and row_b (stand for id and text), base (spans of the fixed patterns) and rest (the text without them)."""
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = own.select("id", F.xxhash64("id", "text").alias("row_a"), F.xxhash64("text", "id", F.lit(7)).alias("row_b"), "text", base_spans(F.col("text")).alias("base"))
+    return own.select("id", "row_a", "row_b", "base", masked(F.col("text"), F.col("base")).alias("rest"))
+
+
+def stretches(weights: Column) -> Column:
     """Where the ratio's running sum rises by enough: from its last rise above 0 to its peak, closed by a fall to 0 or by LEAST_TOTAL."""
     none = "array<struct<start:int,stop:int>>"
     zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("begin"), F.lit(0.0).alias("best"), F.lit(0).alias("peak"), F.array().cast(none).alias("out"))
@@ -126,33 +133,42 @@ def stretches(run: Column, table_: Column) -> Column:
         fall = F.struct(i.alias("i"), F.lit(0.0).alias("sum"), i.alias("begin"), F.lit(0.0).alias("best"), i.alias("peak"), closed(acc).alias("out"))
         return F.when((total <= 0) | (total <= acc["best"] - LEAST_TOTAL), fall).otherwise(rise)
 
-    return F.aggregate(F.transform(steps_of(run), lambda k: F.element_at(table_, k + 1)), zero, step, closed)
+    return F.aggregate(weights, zero, step, closed)
 
 
-def random_spans(text: Column, table_: Column) -> Column:
-    """Spans of the kind random. Runs without one add nothing to the list, so that its copies stay few."""
-    between, found = F.transform(F.split(text, RUN, -1), lambda x: F.length(x)), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    hits = F.transform(found, lambda x: stretches(x, table_))
-    rows = F.filter(F.arrays_zip(between.alias("between"), F.transform(found, lambda x: F.length(x)).alias("size"), hits.alias("hits")), lambda x: x["size"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
+def random_runs(texts: DataFrame, ratios: Column) -> DataFrame:
+    """run, h (its hash), hits: each distinct run that holds a stretch."""
+    runs = texts.select(F.explode(F.regexp_extract_all("rest", F.lit(RUN), F.lit(0))).alias("run")).distinct()
+    runs = runs.select("run", F.transform(steps_of(F.col("run")), lambda k: F.element_at(ratios, k + 1)).alias("w"))
+    rising = F.aggregate("w", F.lit(0.0), lambda n, w: n + F.greatest(w, F.lit(0.0)))  # no stretch has more
+    runs = runs.where(rising >= LEAST_TOTAL).select("run", F.xxhash64("run").alias("h"), stretches(F.col("w")).alias("hits"))
+    return stage(runs.where(F.size("hits") > 0), "random-runs")
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["between"]
-        spans = F.transform(x["hits"], lambda s: F.struct((at + s["start"]).alias("start"), F.lit(3).alias("kind"), (at + s["stop"]).alias("stop"), F.lit("").alias("value")))
-        return F.struct((at + x["size"]).alias("at"), F.when(F.size(x["hits"]) > 0, F.concat(acc["out"], spans)).otherwise(acc["out"]).cast(_NONE).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+def random_spans(rest: Column, runs: Column) -> Column:
+    """Spans of the kind random, from which runs (k: the place among the text's runs) hold which stretches."""
+    between, sizes = (F.transform(x, F.length) for x in (F.split(rest, RUN, -1), F.regexp_extract_all(rest, F.lit(RUN), F.lit(0))))
+
+    def total(x: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, b: a + b)
+
+    starts = F.transform(runs, lambda r: F.struct((total(between, r["k"] + 1) + total(sizes, r["k"])).alias("at"), r["hits"].alias("hits")))
+    each = F.transform(starts, lambda r: F.transform(r["hits"], lambda s: F.struct((r["at"] + s["start"]).alias("start"), F.lit(3).alias("kind"), (r["at"] + s["stop"]).alias("stop"), F.lit("").alias("value"))))
+    return F.flatten(each).cast(_NONE)
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     ready(docs.sparkSession)
-    weights = F.expr("array(" + ", ".join(f"{x!r}D" for x in fit(docs, id_col, text_col, sample)) + ")")  # a literal of fixed size
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", text.alias("text"))
-    own = own.select("id", "text", base_spans(F.col("text")).alias("base"))
-    own = own.select("id", "base", masked(F.col("text"), F.col("base")).alias("rest"))
-    random = F.when(F.col("rest").rlike(RUN), random_spans(F.col("rest"), weights)).otherwise(F.array().cast(_NONE))
+    ratios = F.expr("array(" + ", ".join(f"{x!r}D" for x in fit(docs, id_col, text_col, sample)) + ")")  # a literal of fixed size
+    texts = scanned(docs, id_col, text_col)
+    known = random_runs(texts, ratios)
+    places = texts.select("row_a", "row_b", F.posexplode(F.regexp_extract_all("rest", F.lit(RUN), F.lit(0))).alias("k", "run")).withColumn("h", F.xxhash64("run"))
+    places = places.join(if_small(known.select("h").distinct(), known.count(), 24), "h", "left_semi").select("row_a", "row_b", "k", "run").distinct()
+    found = stage(places.join(known.select("run", "hits"), "run").groupBy("row_a", "row_b").agg(F.collect_list(F.struct("k", "hits")).alias("runs")), "random-places")
+    size = found.agg(F.count("*").alias("n"), F.sum(F.size("runs")).alias("m")).first()
+    own = texts.join(if_small(found, size.n + (size.m or 0), 96), ["row_a", "row_b"], "left")
+    random = F.when(F.col("runs").isNotNull(), random_spans(F.col("rest"), F.col("runs"))).otherwise(F.array().cast(_NONE))
     own = own.select("id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
 

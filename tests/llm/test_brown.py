@@ -36,21 +36,77 @@ def test_base_and_held_out_gain(spark):
     assert sum(r.score > r.base_score for r in held) > 0.95 * len(held)
 
 
-def test_probabilities_add_up(spark):
-    """Scores of all words after each word, the unknown one and the end included, add up to 1."""
-    from tessera.llm.brown import score_documents
+def test_score_is_that_of_the_classes(spark):
+    """Every word seen twice has an exchange class; probabilities of all words after each class add up to 1; scores multiply them."""
+    import numpy as np
+
+    from tessera.llm import brown
+    from tessera.llm.common import Words
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes, counts = {}, {}
+    blocks = brown.numbered(docs, "doc_id", "text")
+    model = brown.fit(blocks)
+    known = brown.Classes(model.c, model.core, model.counts, model.moved)
+    for row in blocks.collect():
+        t = brown.Tokens(row)
+        for key, of, n in zip(t.keys.tolist(), *(x.tolist() for x in known.of(t))):
+            assert classes.setdefault(key, of) == of and counts.setdefault(key, n) == n
+    count = Counter(w for i, t in rows if not brown.is_held_out(i) for w in [*WORD.findall(lowered(t)), None])
+    hashes = {w: int(brown.END) if w is None else int(Words([w], lower=True).hash[0]) for w in {*count, *(w for _, t in rows for w in WORD.findall(lowered(t)))}}
+    assert all(counts[h] == count[w] for w, h in hashes.items())
+    assert all((classes[h] < brown.CLASSES) == (count[w] > 1) for w, h in hashes.items())
+    assert len({classes[h] for w, h in hashes.items() if count[w] > 1}) > 30
+
+    m = np.zeros((brown.WAITING, brown.WAITING))
+    chains = {i: [hashes[w] for w in [None, *WORD.findall(lowered(t)), None]] for i, t in rows}
+    for i, chain in chains.items():
+        if not brown.is_held_out(i):
+            for x, y in zip(chain, chain[1:]):
+                m[classes[x], classes[y]] += 1
+    assert (m == model.m[: brown.WAITING, : brown.WAITING]).all()
+    prior = np.where((m.sum(0) > 0) | (np.arange(brown.WAITING) == brown.ONCE), m.sum(0) + 1, 0)
+    prior = prior / prior.sum()
+    moves = (m + 20 * prior) / (m.sum(1, keepdims=True) + 20)
+    once = sum(n == 1 for n in count.values())
+    emits = {h: count[w] / m.sum(0)[classes[h]] if count[w] > 1 else 0.5 / once if count[w] else 0.5 for w, h in hashes.items()}
+    for x in range(brown.WAITING):
+        total = sum(moves[x, classes[h]] * emits[h] for w, h in hashes.items() if count[w]) + moves[x, brown.ONCE] * 0.5
+        assert total == pytest.approx(1)
+    for r in brown.score_documents(docs).collect():
+        chain = chains[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(moves[classes[x], classes[y]] * emits[y]) for x, y in zip(chain, chain[1:])))
+
+
+def test_a_move_is_weighed_as_by_counting_anew():
+    """The likelihood after each possible move, with the bigrams counted anew, is largest for the class that is chosen."""
+    import numpy as np
+
+    from tessera.llm import brown
 
-    words = ["a", "b", "c", "d"]
-    train = [(1, "a b a b a c"), (2, "a b d a b"), (3, "b a b a a b")]
-    first = [(i, w) for i, w in zip((100, 101, 102, 103, 104), [*words, "unknown"])]
-    end = [(200, "")]
-    ids = [i for i in range(5000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    rows = [(i, t) for i, t in train if zlib.crc32(str(i).encode()) % 7 != 2]
-    probe = list(zip(ids, [w for _, w in first] + [""] + [f"{x} {y}" for x in words for y in [*words, "unknown"]] + words))
-    got = {t: r for (i, t), r in zip(sorted(rows + probe), sorted(score_documents(spark.createDataFrame(rows + probe, "doc_id long, text string")).collect(), key=lambda r: r.doc_id))}
-    # P(end) and P(w then end) only: check that each score is a probability
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got.values())
-    assert 10 ** got[""].score + sum(10 ** got[w].score for w in [*words, "unknown"]) < 1
+    rng = np.random.default_rng(3)
+    n_words = 30
+    text = rng.integers(0, n_words, 4000)
+    text = text[np.concatenate([[True], text[1:] != text[:-1]])]  # no word stands beside itself
+    classes = rng.integers(0, 5, n_words)
+
+    def bigrams(of):
+        m = np.zeros((brown.ALL_CLASSES, brown.ALL_CLASSES))
+        np.add.at(m, (of[text[:-1]], of[text[1:]]), 1)
+        return m
+
+    m = bigrams(classes)
+    for w in range(n_words):
+        cells = Counter(classes[b] for a, b in zip(text, text[1:]) if a == w) + Counter({brown.ALL_CLASSES + c: n for c, n in Counter(classes[a] for a, b in zip(text, text[1:]) if b == w).items()})
+        cell, n = np.array(sorted(cells.items())).T
+        got = brown.weighed(np.zeros(len(cell), np.int64), cell, n.astype(float), classes[[w]], m)[0]
+        best = []
+        for c in range(brown.CLASSES):
+            moved = classes.copy()
+            moved[w] = c
+            best.append(brown.likelihood(bigrams(moved)))
+        assert best[got] > max(best) - 1e-6
 
 
 def test_exchange_raises_the_likelihood():
@@ -61,9 +117,9 @@ def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(1)
     kinds = np.arange(60) % 3
     n = np.array([[rng.poisson(40 if (kinds[a] + 1) % 3 == kinds[b] else 1) for b in range(60)] for a in range(60)], float)
-    size = brown.CLASSES + brown.TAILS
+    size = brown.ALL_CLASSES
     classes = np.arange(60) % 2
-    full = np.concatenate([classes, brown.CLASSES + np.arange(brown.TAILS)])
+    full = np.concatenate([classes, [brown.ONCE, brown.WAITING]])
     before = None
     for turn in range(6):
         right, left = np.zeros((len(full), size)), np.zeros((len(full), size))
