@@ -337,7 +337,8 @@ def beside(blocks: DataFrame, known: tuple, moved: str | None, turn: int, bucket
                 own, counts = classes.of(t)
                 places, x, last = t.pairs(own)
                 m = np.bincount(last * ALL_CLASSES + x, minlength=ALL_CLASSES**2)
-                out = [{"part": -1, "block": t.block, "m": m}]
+                none = dict.fromkeys(("m", "keys", "classes", "cells", "n"))
+                out = [none | {"part": -1, "block": t.block, "m": m}]
                 if turn < TURNS and (counts > 1).any():
                     number = np.cumsum(counts > 1) - 1
                     keys, of = t.keys[counts > 1], own[counts > 1]
@@ -351,7 +352,7 @@ def beside(blocks: DataFrame, known: tuple, moved: str | None, turn: int, bucket
                     cuts = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(keys)]
                     for a, b in zip(cuts, cuts[1:]):
                         lo, hi = np.searchsorted(cells, [a * BESIDE, b * BESIDE])
-                        out.append({"part": int(top[a]), "block": t.block, "keys": press_sorted(keys[a:b]), "classes": press(of[a:b].astype("u1")), "cells": press_sorted((cells[lo:hi] - a * BESIDE).astype(np.uint64)), "n": press(n[lo:hi].astype("<u4"))})
+                        out.append(none | {"part": int(top[a]), "block": t.block, "keys": press_sorted(keys[a:b]), "classes": press(of[a:b].astype("u1")), "cells": press_sorted((cells[lo:hi] - a * BESIDE).astype(np.uint64)), "n": press(n[lo:hi].astype("<u4"))})
                 yield pd.DataFrame(out, columns=["part", "block", "m", "keys", "classes", "cells", "n"])
 
     return stage(blocks.select(*TEXT).mapInPandas(run, "part long, block long, m array<long>, keys binary, classes binary, cells binary, n binary"), "beside", blobs=True)

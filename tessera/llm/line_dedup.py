@@ -68,7 +68,7 @@ def similar(x: str, y: str, percent: int) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row_a, row_b (stand for a row's id and text), place (order of document and line), pos, line and its class (a, b: 128 bits)."""
     own = docs.select(F.col(id_col).cast("decimal(20)").alias("doc"), F.xxhash64(id_col, text_col).alias("row_a"), F.xxhash64(text_col, id_col, F.lit(7)).alias("row_b"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    place = F.coalesce(F.col("doc") * F.lit(1 << 32).cast("decimal(12)"), F.lit(10**30).cast("decimal(32)")) + F.col("pos")
+    place = F.coalesce(F.col("doc") * F.lit(1 << 32).cast("decimal(12)"), F.lit("1" + 30 * "0").cast("decimal(32)")) + F.col("pos")
     own = own.select("row_a", "row_b", place.cast("decimal(38)").alias("place"), "pos", F.trim("raw").alias("line")).where("line != ''")
     return own.select("*", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(11)).alias("b"))
 
