@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, ready, stage, steps, string, table
+from .common import Words, mix, press, ready, stage, steps, string, table, unpress
 from .decontaminate import _SEPARATORS as SEPARATORS
 
 SAMPLE, LEAST_DOCS, STEM = 8_000, 2, 5
@@ -72,23 +73,36 @@ class Vectors:
 
 
 class Space:
-    """The vocabulary: sorted feature hashes and their weights."""
+    """The vocabulary: sorted feature hashes and their weights, from the numbers of texts (with label 1) that hold them."""
 
     def __init__(self, keys: np.ndarray, n_texts: np.ndarray, n_label: np.ndarray, n: int, n1: int) -> None:
+        self.given = keys, n_texts, n_label, n, n1
         self.keys, self.base = keys, n1 / n if n else 0.0
         likelier = np.log((n_label + PRIOR * self.base) / (n_texts + PRIOR) / self.base) if n1 else np.zeros(len(keys))
         self.weight = (np.log((1 + n) / (1 + n_texts)) + 1) * (FLOOR + np.maximum(0, likelier) ** 2)
 
-    def vectors(self, texts: list[str | None]) -> Vectors:
+    def __reduce__(self) -> tuple:
+        keys, n_texts, n_label, n, n1 = self.given
+        return _space, (keys.tobytes(), press(n_texts.astype("<u4")), press(n_label.astype("<u4")), n, n1)
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, feature, n: each text's features and how often they stand in it."""
         doc, h = features(texts)
         size = len(self.keys)
         at = np.minimum(np.searchsorted(self.keys, h), size - 1) if size else np.zeros(0, np.int64)
         hit = self.keys[at] == h if size else np.zeros(0, bool)
         pair, n = np.unique(doc[: len(hit)][hit] * size + at[hit], return_counts=True)
         owner, feature = pair // max(1, size), pair % max(1, size)
+        return np.searchsorted(owner, np.arange(len(texts) + 1)), feature.astype(np.int32), n
+
+    def vectors(self, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> Vectors:
         weight = (1 + np.log(n)) * self.weight[feature]
-        length = np.sqrt(np.bincount(owner, weight * weight, len(texts)))
-        return Vectors(np.searchsorted(owner, np.arange(len(texts) + 1)), feature.astype(np.int32), weight / length[owner])
+        owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        return Vectors(start, feature, weight / np.sqrt(np.bincount(owner, weight * weight, len(start) - 1))[owner])
+
+
+def _space(keys: bytes, n_texts: bytes, n_label: bytes, n: int, n1: int) -> Space:
+    return Space(np.frombuffer(keys, np.uint64), unpress(n_texts, "<u4").astype(float), unpress(n_label, "<u4").astype(float), n, n1)
 
 
 class Index:
@@ -101,21 +115,19 @@ class Index:
         self.head = np.full(size, -1, np.int32)
         self.head[head] = np.arange(len(head))
         self.n_blocks = -(-len(ids) // BLOCK)
+        self.ids, self.labels = ids, labels.astype(float)
         owner, place = own.owner(), self.head[own.feature]
-        dense = np.zeros((len(ids), len(head)))
-        dense[owner[place >= 0], place[place >= 0]] = own.weight[place >= 0]
-        order = np.lexsort((ids, alike(dense, -(-self.n_blocks // 4))))
-        self.ids, self.labels = ids[order], labels[order].astype(float)
         self.dense = np.zeros((self.n_blocks * BLOCK, len(head)))
-        self.dense[: len(ids)] = dense[order]
+        self.dense[owner[place >= 0], place[place >= 0]] = own.weight[place >= 0]
         self.most = self.dense.reshape(self.n_blocks, BLOCK, len(head)).max(1) if len(ids) else np.zeros((0, len(head)))
-        turn = np.empty(len(ids), np.int64)
-        turn[order] = np.arange(len(ids))
         tail = np.flatnonzero(place < 0)
         tail = tail[np.argsort(own.feature[tail], kind="stable")]
         self.start = np.searchsorted(own.feature[tail], np.arange(size + 1))
-        self.owner, self.weight = turn[owner[tail]].astype(np.int32), own.weight[tail]
-        self.own_place = turn
+        self.owner, self.weight = owner[tail].astype(np.int32), own.weight[tail]
+
+    def order(self) -> np.ndarray:
+        """The examples in an order that puts those that resemble each other into one block."""
+        return np.lexsort((self.ids, alike(self.dense[: len(self.ids)], -(-self.n_blocks // 4))))
 
     def cosines(self, v: Vectors, k: int, without: np.ndarray | None = None) -> np.ndarray:
         """Cosines of each row with the examples: exact where they may be among the k largest, -1 where they can't be."""
@@ -189,24 +201,51 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(HELD_OUT_OF)) == HELD_OUT, F.lit(False))
 
 
+class Examples:
+    """The labelled examples in the index's order. What is sent to a task are the counts of their features; it makes the index anew."""
+
+    def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> None:
+        self.space, self.given = space, (ids, labels, start, feature, n)
+        self.own = space.vectors(start, feature, n)
+        self.index = Index(ids, labels, self.own, len(space.keys))
+
+    def __reduce__(self) -> tuple:
+        ids, labels, start, feature, n = self.given
+        return _examples, (self.space, ids, labels, start, press(feature), press(n.astype("<u4")))
+
+    def ordered(self) -> Examples:
+        ids, labels, start, feature, n = self.given
+        order = self.index.order()
+        size = np.diff(start)[order]
+        at = np.repeat(start[:-1][order] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return Examples(self.space, ids[order], labels[order], np.concatenate([[0], np.cumsum(size)]), feature[at], n[at])
+
+
+def _examples(space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: bytes, n: bytes) -> Examples:
+    out = Examples(space, ids, labels, start, unpress(feature, np.int32), unpress(n, "<u4"))
+    out.given = ()  # only to be sent
+    return out
+
+
 @dataclass
 class Model:
-    space: Space
-    index: Index | None
+    #: A broadcast Examples; None without labels of both kinds.
+    sent: Broadcast | None
     empty_rate: float
     at: np.ndarray
     rates: np.ndarray
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        if self.index is None:
+        if self.sent is None:
             return [(self.empty_rate, [])] * len(texts)
-        v = self.space.vectors(texts)
+        examples = self.sent.value
+        v = examples.space.vectors(*examples.space.counts(texts))
         some = (np.diff(v.start) > 0).tolist()
-        return [(float(np.interp(vote, self.at, self.rates)), evidence) if known else (self.empty_rate, []) for known, (vote, evidence) in zip(some, self.index.votes(v, self.space.base))]
+        return [(float(np.interp(vote, self.at, self.rates)), evidence) if known else (self.empty_rate, []) for known, (vote, evidence) in zip(some, examples.index.votes(v, examples.space.base))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
-    """Only the sample's features, vectors and votes reach the driver."""
+    """Only the sample's features, their counts and votes reach the driver."""
     spark = docs.sparkSession
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~held_out("id"))
     chosen = own.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
@@ -221,60 +260,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 keys, inverse = np.unique(h[once], return_inverse=True)
                 yield pd.DataFrame({"key": keys.view(np.int64), "n1": np.bincount(inverse, label, len(keys)).astype(np.int64), "n": np.bincount(inverse, minlength=len(keys))})
 
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in parts:
+            yield pd.DataFrame({c: [some[c].to_numpy(np.int64).tobytes()] for c in ("key", "n1", "n")})
+
     sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     n, n1 = sizes.n, sizes.n1
-    nothing = np.zeros(0)
     if not n1 or n1 == n:
-        return Model(Space(np.zeros(0, np.uint64), nothing, nothing, n, n1), None, n1 / n if n else 0.0, nothing, nothing)
-    found = rows.mapInPandas(count, "key long, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).toPandas()
-    keys = found.key.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    space = Space(keys[order], found.n.to_numpy(float)[order], found.n1.to_numpy(float)[order], n, n1)
-    sent = spark.sparkContext.broadcast(space)
-
-    def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return Model(None, n1 / n if n else 0.0, np.zeros(0), np.zeros(0))
+    found = rows.mapInPandas(count, "key long, n1 long, n long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    found = found.mapInPandas(packed, "key binary, n1 binary, n binary").collect()
+    keys, in_label, in_all = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[c], np.int64) for r in found)]) for c in ("key", "n1", "n"))
+    order = np.argsort(keys.view(np.uint64))
+    space = Space(keys.view(np.uint64)[order], in_all[order].astype(float), in_label[order].astype(float), n, n1)
+    known = spark.sparkContext.broadcast(space)
+
+    def counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in parts:
             for s in steps(some, "text", STEP):
-                v = sent.value.vectors([string(t) for t in s.text])
-                each = [(v.feature[a:b].tobytes(), v.weight[a:b].tobytes()) for a, b in zip(v.start, v.start[1:])]
-                yield pd.DataFrame({"id": s["id"].to_numpy(), "label": s.label.to_numpy(), "feature": [f for f, _ in each], "weight": [w for _, w in each]})
+                start, feature, n = known.value.counts([string(t) for t in s.text])
+                each = [(feature[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(start, start[1:])]
+                yield pd.DataFrame({"id": s["id"].to_numpy(), "label": s.label.to_numpy(), "feature": [f for f, _ in each], "n": [c for _, c in each]})
 
-    all_ = rows.mapInPandas(vectors, "id long, label int, feature binary, weight binary").orderBy("id", "label", F.xxhash64("feature", "weight")).toPandas()
-    sent.unpersist()
-    full = all_.feature.map(len) > 0
-    none, all_ = all_[~full], all_[full]
-    vectors_ = Vectors(np.cumsum([0, *(len(f) // 4 for f in all_.feature)]), np.frombuffer(b"".join(all_.feature), np.int32), np.frombuffer(b"".join(all_.weight), np.float64))
-    index = Index(all_["id"].to_numpy(np.int64), all_.label.to_numpy(), vectors_, len(space.keys))
-    at, rates = isotonic(leave_one_out(spark, index, vectors_, space.base), all_.label.to_numpy(), space.base)
-    return Model(space, index, float((none.label.sum() + space.base) / (len(none) + 1)), at, rates)
+    all_ = sorted(rows.mapInPandas(counts, "id long, label int, feature binary, n binary").collect(), key=lambda r: (r.id, r.label, r.feature, r.n))
+    known.destroy()
+    none, full = [r.label for r in all_ if not r.feature], [r for r in all_ if r.feature]
+    start = np.cumsum([0, *(len(r.feature) // 4 for r in full)])
+    examples = Examples(space, np.array([r.id for r in full], np.int64), np.array([r.label for r in full], np.int64), start, np.frombuffer(b"".join(r.feature for r in full), np.int32), np.frombuffer(b"".join(r.n for r in full), "<u4")).ordered()
+    sent = spark.sparkContext.broadcast(examples)
+    at, rates = isotonic(leave_one_out(spark, sent, len(full)), examples.index.labels, space.base)
+    return Model(sent, float((sum(none) + space.base) / (len(none) + 1)), at, rates)
 
 
-def leave_one_out(spark: SparkSession, index: Index, own: Vectors, base: float) -> np.ndarray:
+def leave_one_out(spark: SparkSession, sent: Broadcast, n: int) -> np.ndarray:
     """Each example's vote by the others, in tasks of a few hundred."""
-    sent, step = spark.sparkContext.broadcast((index, own)), 4 * TEXTS
+    step = 4 * TEXTS
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, own = sent.value
+        e = sent.value
         for rows in parts:
             for a in rows["id"].tolist():
-                b = min(a + step, len(own))
-                yield pd.DataFrame({"id": np.arange(a, b), "vote": [x for x, _ in index.votes(own.rows(a, b), base, index.own_place[a:b])]})
+                at = np.arange(a, min(a + step, n))
+                yield pd.DataFrame({"id": at, "vote": [x for x, _ in e.index.votes(e.own.rows(a, a + len(at)), e.space.base, at)]})
 
-    out = np.zeros(len(own))
-    tasks = max(1, -(-len(own) // step))
-    for r in spark.range(0, len(own), step, tasks).mapInPandas(run, "id long, vote double").collect():
+    out = np.zeros(n)
+    for r in spark.range(0, n, step, max(1, -(-n // step))).mapInPandas(run, "id long, vote double").collect():
         out[r.id] = r.vote
-    sent.unpersist()
     return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
     """id, held_out, score (probability of label 1), predicted (score >= CUT), evidence (ids of the nearest examples)."""
-    spark = ready(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, sample))
+    ready(docs.sparkSession)
+    model = fit(docs, labels, id_col, text_col, label_col, sample)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
         for rows in parts:
             for some in steps(rows, "text", STEP):
                 said = model.score([string(t) for t in some.text])

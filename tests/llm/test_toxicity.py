@@ -45,8 +45,9 @@ def test_index_gives_what_comparing_all_gives():
     for s, (at, near) in zip(all_, index.nearest(asked, 25)):
         want = [i for i in np.lexsort((ids, -s))[:25] if s[i] > 0]
         assert np.allclose(near, s[want]) and index.ids[at].tolist() == ids[want].tolist()
-    for k, (at, _) in enumerate(index.nearest(own, 25, index.own_place)):
-        assert ids[k] not in index.ids[at]
+    for k, (at, _) in enumerate(index.nearest(own, 25, np.arange(900))):
+        assert k not in at
+    assert sorted(index.order()) == list(range(900))
 
 
 def plain_scores(docs, labels):
