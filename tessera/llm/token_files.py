@@ -2,7 +2,8 @@
 
 A file holds a run of documents in ascending id order: a JSON head (sizes), code lengths by token id, document ids and token counts,
 one bit offset for each block of `block` tokens, and the code bits (most significant first). A block needs only its offset, so many
-blocks are decoded at a time, one table lookup of `limit` bits a token. All integers are little-endian.
+blocks are decoded at a time, one table lookup of `limit` bits (16, or more for a vocabulary of over
+32,768 ids that occur) a token. All integers are little-endian.
 
 Defined results: a null text counts as empty (its only id is the end id); rows with a null id come first; rows with the same id are
 ordered by their token count and ids; an empty table gives no file and no rows; other columns play no part, whatever their names.
@@ -32,8 +33,9 @@ END_ID = 2
 LIMIT = 16
 BLOCK = 1024
 TOKENS_PER_FILE = 8_000_000
-#: Stretches whose ids a worker remembers; beyond it the memory starts anew (results don't depend on it).
-REMEMBERED = 400_000
+#: Stretches whose ids a worker remembers, and those among them that only one step has met so far: beyond it these are forgotten, or all
+#: (results don't depend on it).
+REMEMBERED, ONCE = 400_000, 200_000
 
 
 # --- encoding by the tokenizers library -----------------------------------------------------------------------------
@@ -64,6 +66,7 @@ class LibraryEncoder:
         self.kind = "H" if size <= 1 << 16 else "I"
         self.bytes_in = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # byte-level: a character a byte
         self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
 
     def stretches(self, text: str) -> list[str] | None:
         """None: encode the text whole."""
@@ -84,16 +87,26 @@ class LibraryEncoder:
             if len(group) == 1:
                 self.known[group[0]] = data
                 continue
-            lengths = np.fromiter(map(len, group) if text.isascii() else (len(p.encode("utf-8", "replace")) for p in group), np.int64, len(group))
-            cuts = [0, *((np.searchsorted(np.cumsum(self.bytes_in[ids]), np.cumsum(lengths)) + 1) * size).tolist()]
+            raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 0x20)[1:], len(raw))  # a stretch's only space is its first character
+            cuts = [0, *((np.searchsorted(np.cumsum(self.bytes_in[ids]), ends) + 1) * size).tolist()]
             self.known.update(zip(group, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 16-bit (a vocabulary of up to 65,536) or 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         known, parts = self.known, [self.stretches(t) for t in texts]
-        self.learn(list(set().union(*(x for x in parts if x is not None)) - known.keys()))
+        if len(known) > REMEMBERED:
+            known.clear()
+            self.once.clear()
+        elif len(self.once) > ONCE:
+            for p in self.once:
+                del known[p]
+            self.once.clear()
+        met = set().union(*(x for x in parts if x is not None))
+        self.once -= met
+        new = met - known.keys()
+        self.learn(list(new))
+        self.once |= new
         whole = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, parts) if x is None], add_special_tokens=False))
         return [b"".join(map(known.__getitem__, x)) if x is not None else array(self.kind, next(whole).ids).tobytes() for x in parts]
 
@@ -153,9 +166,15 @@ def token_counts(ids: DataFrame) -> np.ndarray:
 # --- the code -----------------------------------------------------------------------------------------------------------
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def limit_for(n_ids: int) -> int:
+    """Bits of the longest code: LIMIT, or one more than codes of equal length need."""
+    return max(LIMIT, (max(1, n_ids) - 1).bit_length() + 1)
+
+
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Lengths of an optimal prefix code with no code over `limit` bits (package-merge); 0 for ids that never occur."""
     used = np.flatnonzero(counts)
+    limit = limit or limit_for(len(used))
     out = np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         out[used] = 1
@@ -239,7 +258,7 @@ class BitWriter:
 def write_file(fs: pafs.FileSystem, path: str, doc_ids: list, sizes: list[int], w: BitWriter, lengths: np.ndarray) -> int:
     offsets, bits = w.parts()
     known = np.array([d is not None and d == d for d in doc_ids], bool)
-    head = json.dumps({"documents": len(sizes), "tokens": w.tokens, "block": w.block, "limit": LIMIT, "ids": len(lengths), "bits": len(bits)}).encode()
+    head = json.dumps({"documents": len(sizes), "tokens": w.tokens, "block": w.block, "limit": max(LIMIT, int(lengths.max(initial=0))), "ids": len(lengths), "bits": len(bits)}).encode()
     body = [MAGIC, len(head).to_bytes(4, "little"), head, lengths.astype(np.uint8).tobytes(), known.tobytes(), np.array([d if k else 0 for d, k in zip(doc_ids, known)], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), offsets.tobytes(), bits]
     with fs.open_output_stream(path + ".part") as f:
         for x in body:
@@ -280,11 +299,11 @@ class TokenFile:
         base = int(at[0]) >> 3
         end = (int(self.offsets[last]) >> 3) + 4 if last < len(self.offsets) else len(self.bits)
         b = np.concatenate([self.bits[base:end], np.zeros(limit * step // 8 // 8 + 8, np.uint8)]).astype(np.uint32)
-        view = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+        view = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
         at -= base * 8
         most = len(view) - 1
         for k in range(min(step, total)):
-            code = (view[np.minimum(at >> 3, most)] >> (24 - limit - (at & 7)).astype(np.uint32)) & ((1 << limit) - 1)
+            code = (view[np.minimum(at >> 3, most)] >> (32 - limit - (at & 7)).astype(np.uint32)) & ((1 << limit) - 1)
             out[:, k] = self.symbol[code]
             at += self.size[code]
         return out.reshape(-1)[:total]

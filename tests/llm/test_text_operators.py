@@ -256,3 +256,48 @@ def test_code_lengths_are_optimal_and_limited():
     codes = canonical(lengths)
     words = [format(int(c), f"0{n}b") for c, n in zip(codes, lengths)]
     assert not any(a != b and b.startswith(a) for a in words for b in words)
+
+
+def test_vocabularies_over_two_bytes_of_code():
+    from tessera.llm.token_files import BitWriter, TokenFile, code_lengths, limit_for, write_file
+
+    import pyarrow.fs as pafs
+
+    assert limit_for(1) == limit_for(30_000) == 16 and limit_for(70_000) == 18
+    rng = np.random.default_rng(3)
+    counts = np.concatenate([np.ones(70_000, np.int64), 2 ** np.arange(30)])
+    lengths = code_lengths(counts)
+    assert 16 < lengths.max() <= 18 and (2.0 ** -lengths.astype(float)).sum() <= 1
+    ids = np.concatenate([rng.permutation(len(counts)), rng.integers(70_000, len(counts), 5000)]).astype(np.uint32)
+    w = BitWriter(lengths)
+    w.add(ids)
+    fs = pafs._MockFileSystem()
+    write_file(fs, "x.tok", [1, None], [len(ids) - 7, 7], w, lengths)
+    with fs.open_input_stream("x.tok") as f:
+        read = list(TokenFile(f.read()).documents(3))
+    assert [d for d, _ in read] == [1, None] and (np.concatenate([x for _, x in read]) == ids).all()
+
+
+def test_token_files_of_null_and_repeated_ids(spark, path, tokenizer):
+    from tessera.llm.common import new_folder
+    from tessera.llm.token_files import read_token_files, write_token_files
+
+    rows = [(5, "later words here"), (None, "no id"), (3, "b b b b"), (3, "a"), (3, "a"), (3, None), (None, ""), (7, "x " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as start", "'q' as ids").repartition(3)
+    folder = new_folder(spark, "test")
+    got = [tuple(r) for r in read_token_files(spark, folder, write_token_files(df, path, folder)).collect()]
+    want, start = [], 0
+    coded = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    for i, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), zlib.crc32(np.array(x[1], "<u4").tobytes()))):
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(got, key=lambda r: r[1]) == want
+
+
+def test_bpe_of_null_ids_and_repeated_rows(spark, path, tokenizer):
+    from tessera.llm.bpe import encode_documents
+
+    rows = [(1, "two words"), (1, "two words"), (None, "no id"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in encode_documents(df.drop("n_tokens"), path).collect()))
+    assert got == sorted((i is None, i or 0, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
