@@ -4,13 +4,14 @@ Words are lower-cased runs of letters, digits and non-ASCII characters. A docume
 item stand in the document, aligned, with at most SUBSTITUTIONS = 2 of them replaced. Each fixed mask hashes only some of 13 positions;
 whichever two words are replaced, one of the masks fits between them at some offset (a test tries all pairs), so every such passage
 has a hit. Around each hit the aligned words are compared, so chance hits don't count. Items of 4 to 12 words have to occur whole, with
-one word in SHORT_PER replaced at most; shorter ones are no evidence and match nothing.
+one word in SHORT_PER replaced at most. Shorter ones are no evidence inside of a text; they match a text that has their words and no others.
 
 The benchmark is cut into slices of bounded size, written to the shared folder and read by each task one after the other: training
 documents are read once and nothing is shuffled, whatever the sizes.
 
-Defined results: a null or empty text is clean; null items, and items without enough words, match nothing; rows with a null id are
-judged like others; repeated rows each give a row; empty tables give no rows, or clean ones; other columns play no part.
+Defined results: a null or empty text is clean; null items, and items without words, match nothing; an item without an id counts and is
+listed as null, before the others; rows with a null id are judged like others; repeated rows each give a row, repeated items count once;
+empty tables give no rows, or clean ones; other columns play no part.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ def masked(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Slice:
     """Items of one slice: words, and for each mask the sorted hashes of all places with a bitmap before them."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str]) -> None:
         w = normalized(texts)
-        self.ids, self.hash, self.start = np.array(ids, np.int64), w.hash, w.start
+        self.ids, self.hash, self.start = ids, w.hash, w.start
         size = np.diff(w.start)
         owner = np.repeat(np.arange(len(ids)), size)
         self.index = []
@@ -68,10 +69,16 @@ class Slice:
             bits[h[at] & np.uint64((1 << 20) - 1)] = True
             self.index.append((mask, h[at], at, bits))
         self.owner = owner
+        self.whole: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero((size > 0) & (size < SHORT_LEAST)).tolist():
+            self.whole.setdefault(tuple(w.hash[w.start[k] : w.start[k + 1]].tolist()), []).append(k)
 
     def hits(self, words: Words) -> Iterator[tuple[int, int]]:
         """(document, item) pairs that are confirmed."""
         seen: set[tuple[int, int]] = set()
+        if self.whole:
+            for d in np.flatnonzero(np.diff(words.start) < SHORT_LEAST).tolist():
+                yield from ((d, i) for i in self.whole.get(tuple(words.hash[words.start[d] : words.start[d + 1]].tolist()), ()))
         for mask, keys, at, bits in self.index:
             if not len(keys):
                 continue
@@ -104,7 +111,7 @@ def write_slices(items: DataFrame, id_col: str, text_col: str, slice_chars: int)
     """One file for each slice; the driver holds one slice at a time."""
     spark = items.sparkSession
     folder = new_folder(spark, "benchmark")
-    own = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    own = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     n = 1 + int(own.agg(F.sum(F.length("text"))).first()[0] or 0) // slice_chars
     fs, where = pafs.FileSystem.from_uri(folder)
     fs.create_dir(where, recursive=True)
@@ -129,7 +136,7 @@ def read_slice(folder: str, file: str) -> Slice:
         fs, _ = pafs.FileSystem.from_uri(folder)
         with fs.open_input_file(file) as f:
             rows = pd.read_parquet(io.BytesIO(f.read()))
-        _slices[file] = Slice(rows.id.tolist(), rows.text.tolist())
+        _slices[file] = Slice([None if i is None or i != i else int(i) for i in rows.id.astype(object)], rows.text.tolist())
         while len(_slices) > 2:
             _slices.popitem(last=False)
     return _slices[file]
@@ -144,12 +151,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         for rows in parts:
             for some in steps(rows, "text", 1 << 20):
                 words = normalized([string(t) for t in some.text])
-                found: list[set[int]] = [set() for _ in range(len(some))]
+                found: list[set[int | None]] = [set() for _ in range(len(some))]
                 for file in files:
                     s = read_slice(folder, file)
                     for d, i in s.hits(words):
-                        found[d].add(int(s.ids[i]))
-                out = pd.DataFrame({"id": some["id"].to_numpy(), "text": some.text.to_numpy() if keep_text else None, "n_words": np.diff(words.start), "n_items": list(map(len, found)), "items": list(map(sorted, found))})
+                        found[d].add(s.ids[i])
+                out = pd.DataFrame({"id": some["id"].to_numpy(), "text": some.text.to_numpy() if keep_text else None, "n_words": np.diff(words.start), "n_items": list(map(len, found)), "items": [sorted(x, key=lambda i: (i is not None, i)) for x in found]})
                 out["contaminated"] = out.n_items > 0
                 yield out
 

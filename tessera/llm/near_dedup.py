@@ -34,8 +34,8 @@ SYMBOLS, CHUNKS, MARGIN = 65, 13, 4.8
 WIDTH = SYMBOLS // CHUNKS
 #: Members of a pivot that one task compares with it.
 MEMBERS = 256
-#: Members of a family in one block; two blocks are compared in one task.
-BLOCK = 1024
+#: Members of a family, and their shingles, in one block (about); two blocks are compared in one task.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 _LANES = -(-SYMBOLS // 4)
 _SEEDS = np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 63, (2, SYMBOLS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -161,10 +161,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def linked_in_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links that connect what is linked within each family (family, rep): all sets of two blocks of members are compared at once by a
+    """Links that connect what is linked within each family (family, rep, n_shingles): all sets of two blocks of members are compared at once by a
     matrix product, and only a spanning forest is returned."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.drop("n_shingles").join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep")
 
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, id_col:
     members = stage(members.join(several, "key").join(family, "rep", "left").select("key", "rep", "component", F.coalesce("family", "rep").alias("family")), "open-keys")
     each = members.select("family", "rep", "component").distinct()
     split = each.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
-    within = stage(linked_in_blocks(stage(each.join(split, "family").select("family", "rep"), "members"), texts, words, percent), "links")
+    within = stage(linked_in_blocks(stage(each.join(split, "family").join(near.select("rep", "n_shingles"), "rep").select("family", "rep", "n_shingles"), "members"), texts, words, percent), "links")
     info = members.join(near, "rep")
     other = info.select("key", F.col("rep").alias("pivot"), F.col("component").alias("component_pivot"), F.col("family").alias("family_pivot"), F.col("n_shingles").alias("n_pivot"), F.col("sig").alias("sig_pivot"))
     apart = (info["key"] == other["key"]) & (F.col("pivot") < F.col("rep")) & (F.col("component") != F.col("component_pivot")) & (F.col("family") != F.col("family_pivot"))

@@ -1,14 +1,15 @@
 """Approximate nearest neighbours (op5): multiprobe p-stable hashing with exact reranking.
 
-The measure is the inner product. Candidates get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and queries are scaled to
-norm M with a 0 there: Euclidean distance in that space orders candidates as the inner product does. Each of TABLES tables hashes a
+The measure is the inner product. Candidates are in BANDS by their norms, so that a few long ones don't put all others into one bucket; in
+each, they get one more component, sqrt(M^2 - |x|^2) with M the band's largest norm, and queries are scaled to norm M with a 0 there: Euclidean distance in that space orders candidates as the inner product does. Each of TABLES tables hashes a
 vector by floor((a.x + b) / w) for a few normal directions a. A query visits its own bucket and then perturbed ones, in order of
 estimated success: the sum of squared distances to the walls that the perturbation crosses. Candidates from all tables are
 ranked by their exact inner product in double precision.
 
 The number of directions, the width and the number of probes are fitted on at most SAMPLE vectors and TRIAL queries: the fewest
 probes that find AIM of the sample's own nearest neighbours (which are farther than the table's, so harder). Every vector is
-indexed. A query that finds fewer than `k` candidates is compared with all vectors, in blocks.
+indexed. A query that finds fewer than `k` candidates is compared with all vectors, in blocks of queries; so are all queries where
+MOST_PROBES don't find AIM.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that a query can need of them. Buckets are spread over groups of
 tasks, and a bucket of more than HOT entries over several tasks.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import ready, stage, table
 
 TABLES, DIRECTIONS, WIDTH, FAR = 6, 4, 0.9, 5
-SAMPLE, TRIAL, AIM = 8000, 120, 0.97
+SAMPLE, TRIAL, AIM, MOST_PROBES = 8000, 120, 0.97, 1500
+#: Bands of norms, each up to twice that of the next one; the last one holds all that are shorter.
+BANDS = 8
 PER_GROUP, HOT, QUERY_BLOCK = 40_000, 20_000, 2048
 
 
@@ -72,8 +75,8 @@ class Hashing:
         return cell + np.stack(np.unravel_index(best, (len(moves),) * DIRECTIONS), 1) - FAR
 
 
-def fit_probes(h: Hashing, sample: np.ndarray, k: int) -> int:
-    """Probes a table so that AIM of the sample's own neighbours are met in some table."""
+def fit_probes(h: Hashing, sample: np.ndarray, k: int) -> int | None:
+    """Probes a table so that AIM of the sample's own neighbours are met in some table; None if MOST_PROBES don't get there."""
     if len(sample) < 2:
         return 1
     trial = sample[: TRIAL]
@@ -83,7 +86,7 @@ def fit_probes(h: Hashing, sample: np.ndarray, k: int) -> int:
     best = np.argpartition(-near, k - 1, axis=1)[:, :k]
     keys, spots = h.keys(np.floor(h.spots(sample, False)).astype(np.int64)), h.spots(trial, True)
     first = np.full(best.shape, 1 << 30)
-    limit = 1500
+    limit = MOST_PROBES
     for q in range(len(trial)):
         for t in range(TABLES):
             visited = h.keys(h.probes(spots[t, q], limit))
@@ -93,7 +96,8 @@ def fit_probes(h: Hashing, sample: np.ndarray, k: int) -> int:
             met = visited[order][at] == want
             first[q] = np.where(met, np.minimum(first[q], order[at]), first[q])
     ranks = np.sort(first.reshape(-1))
-    return int(min(limit, ranks[min(len(ranks) - 1, int(AIM * len(ranks)))] + 1))
+    wanted = int(ranks[min(len(ranks) - 1, int(AIM * len(ranks)))]) + 1
+    return wanted if wanted <= limit else None
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -163,34 +167,45 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, every: int, k: int) ->
     least = vectors.withColumn("turn", turn).where(F.col("turn") <= k + 1)
     entries = stage(least.groupBy("dim", "x", "norm").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("id")), "entries")
     queries = stage(vectors.where(F.col("id") % every == 0).select("id", "dim", "x"), "queries")
-    shapes = entries.groupBy("dim").agg(F.max("norm").alias("norm"), F.count("*").alias("n")).collect()
+    top = entries.groupBy("dim").agg(F.max("norm").alias("most"))
+    band = F.least(F.floor(F.log2(F.col("most") / F.col("norm"))), F.lit(BANDS - 1)).cast("int")
+    entries = stage(entries.join(F.broadcast(top), "dim").select("dim", "x", "norm", "ids", "id", band.alias("band")), "banded")
+    shapes = entries.groupBy("dim", "band").agg(F.max("norm").alias("norm"), F.count("*").alias("n")).collect()
     if not shapes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    plan: dict[int, tuple[Hashing, int, int]] = {}
+    plan: dict[int, dict[int, tuple[Hashing, int, int]]] = {}
+    exact = set()
     for r in shapes:
         h = Hashing(r.dim, r.norm)
-        own = entries.where(F.col("dim") == r.dim).select("id", "x").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
-        plan[r.dim] = (h, fit_probes(h, matrix(own.x), k), 1 + r.n // PER_GROUP)
+        own = entries.where((F.col("dim") == r.dim) & (F.col("band") == r.band)).select("id", "x").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
+        probes = fit_probes(h, matrix(own.x), k)
+        if probes is None:  # all queries of this length go the exact way
+            exact.add(r.dim)
+        plan.setdefault(r.dim, {})[r.band] = (h, probes, 1 + r.n // PER_GROUP)
+    plan = {d: bands for d, bands in plan.items() if d not in exact}
     sent = spark.sparkContext.broadcast(plan)
 
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
-            for dim, own in rows.groupby("dim"):
-                h, _, groups = sent.value[dim]
+            for (dim, band), own in rows.groupby(["dim", "band"]):
+                if dim not in sent.value:
+                    continue
+                h, _, groups = sent.value[dim][band]
                 keys = h.keys(np.floor(h.spots(matrix(own.x), False)).astype(np.int64))
                 for t in range(TABLES):
-                    yield pd.DataFrame({"dim": dim, "t": t, "g": (keys[t] >> 7) % groups, "key": keys[t], "ids": own.ids, "x": own.x})
+                    yield pd.DataFrame({"dim": dim, "t": band * TABLES + t, "g": (keys[t] >> 7) % groups, "key": keys[t], "ids": own.ids, "x": own.x})
 
     def probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for dim, own in rows.groupby("dim"):
-                h, probes, groups = sent.value[dim]
-                spots, out = h.spots(matrix(own.x), True), []
-                for q, (i, x) in enumerate(zip(own["id"].tolist(), own.x)):
-                    for t in range(TABLES):
-                        keys = np.unique(h.keys(h.probes(spots[t, q], probes)))
-                        g = (keys >> 7) % groups
-                        out += [(dim, t, int(s), i, x, keys[g == s].tobytes()) for s in np.unique(g)]
+                out = []
+                for band, (h, probes, groups) in sent.value.get(dim, {}).items():
+                    spots = h.spots(matrix(own.x), True)
+                    for q, (i, x) in enumerate(zip(own["id"].tolist(), own.x)):
+                        for t in range(TABLES):
+                            keys = np.unique(h.keys(h.probes(spots[t, q], probes)))
+                            g = (keys >> 7) % groups
+                            out += [(dim, band * TABLES + t, int(s), i, x, keys[g == s].tobytes()) for s in np.unique(g)]
                 yield pd.DataFrame(out, columns=["dim", "t", "g", "id", "x", "keys"])
 
     indexed = stage(entries.mapInPandas(index, "dim int, t int, g int, key long, ids array<long>, x binary"), "index")

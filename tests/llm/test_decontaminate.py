@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -14,7 +15,7 @@ def norm(t):
 def brute(text, item):
     w, x = norm(text), norm(item)
     if len(x) < 4:
-        return False
+        return len(x) > 0 and w == x
     span = min(13, len(x))
     most = 2 if span == 13 else span // 8
     for a in range(len(x) - span + 1):
@@ -49,11 +50,18 @@ def test_against_brute_force(spark, slice_chars):
             k = rng.randrange(len(w) + 1)
             w[k:k] = x[a:] if rng.random() < 0.5 else [y.upper() + "," for y in x[a:]]
         docs.append(" ".join(w))
-    docs += ["", None, "x" * 4000, "the " * 500]
+    docs += ["", None, "x" * 4000, "the " * 500, *(x + "." for x in items if len(norm(x)) == 2)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").selectExpr("*", "'q' as items", "1 as id", "2 as contaminated")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {r.doc_id: r["items"] for r in contaminated(df, bench, slice_chars=slice_chars).collect()}
     assert got == {i: [j for j, x in enumerate(items) if brute(d, x)] for i, d in enumerate(docs)}
+    again = bench.union(bench).unionByName(spark.createDataFrame([(None, items[3])], bench.schema))  # repeated items, and one without an id
+    rows = df.union(df.limit(3)).unionByName(df.where("doc_id = 199").withColumn("doc_id", F.lit(None).cast("long")))
+    more = contaminated(rows, again, slice_chars=slice_chars).collect()
+    assert len(more) == len(docs) + 4
+    for r in more:
+        i = 199 if r.doc_id is None else r.doc_id
+        assert r["items"] == ([None] if brute(docs[i], items[3]) else []) + got[i] and r.n_items == len(r["items"])
     assert not any(r.contaminated for r in contaminated(df, bench.limit(0)).collect())
     assert contaminated(df.limit(0), bench).collect() == []
 

@@ -63,3 +63,39 @@ def test_probes_come_in_order():
     assert (cells[0] == np.floor(spot)).all() and len({tuple(c) for c in cells}) == 50
     gap = np.maximum(0, np.maximum(cells - spot, spot - cells - 1))
     assert (np.diff((gap**2).sum(1)) > -1e-9).all()
+
+
+def test_one_long_vector_among_more_rows_than_the_sample(spark):
+    from tessera.llm import nearest as m
+
+    rng = np.random.default_rng(4)
+    n = m.SAMPLE + 2000
+    x = rng.standard_normal((n, 16)) + 2 * rng.standard_normal((40, 16))[np.arange(n) % 40]
+    x[7] *= 50
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in m.nearest(df, "vec_id", "embedding", 100, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(range(0, n, 100))
+    short = np.delete(x, 7, 0)
+    keys = m.Hashing(16, float(np.sqrt((short * short).sum(1)).max())).spots(short, False)
+    cells = np.unique(np.floor(keys[0]), axis=0, return_counts=True)[1]
+    assert cells.max() < n / 4
+
+
+def test_the_exact_way_where_probes_are_too_few(spark, monkeypatch):
+    from tessera.llm import nearest as m
+
+    x = np.random.default_rng(6).standard_normal((400, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(m, "MOST_PROBES", 2)
+    want = brute(list(range(400)), x, range(0, 400, 20), 20)
+    got = {}
+    for r in m.nearest(df, "vec_id", "embedding", 20, 20).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert {q: [g[k] for k in range(1, 21)] for q, g in got.items()} == {q: [v for v, _ in w] for q, w in want.items()}

@@ -78,3 +78,23 @@ def test_sql_says_the_same(spark):
         columns = [d[0] for d in said.description]
         assert sorted(columns) == sorted(df.columns)
         assert sorted(map(tuple, df.select(*columns).collect())) == sorted(said.fetchall())
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null texts, extra columns with names that the operators use, and an empty table."""
+    import corpus_pipeline as p
+
+    line = "a line of several words that is long enough for many shingles, and it ends here"
+    rows = [(1, line), (1, line), (None, line), (2, None), (3, ""), (None, None), (4, "other words " * 40), (5, "other words " * 40)]
+    extra = ["1 as kept", "'q' as items", "2 as score", "3 as component", "4 as id", "5 as row_a", "6 as label", "7 as drop", "length(text) as n_chars"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *extra)
+    for k, (name, stage) in enumerate(p.STAGES):
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.collect() == []
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(p.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            assert sum(r.doc_id is None for r in out.collect()) == 2 and {r.doc_id for r in out.collect()} >= {1, 2, 3, 4}, name
+            docs = out
+    assert out.where("doc_id = 3").first().n_tokens == 0 and out.where("doc_id = 2").first().n_tokens == 0

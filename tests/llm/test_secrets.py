@@ -87,3 +87,35 @@ def test_secrets_behind_names_short_ones_and_beside_fixed_spans(spark):
     found = [sum(got[10_000 + 100 * j + k].n_random > 0 for k in range(40)) for j in range(len(before))]
     assert min(found) >= 38, found
     check(rows, got)
+
+
+def test_repeated_rows_and_the_shuffled_way(spark, monkeypatch):
+    from tessera.llm import line_dedup, secrets as m
+
+    text = "é see Zk3vQ9xT2mB7cR1wY8nL5pD0sF6hJ4gA there, password=12345678 and again Zk3vQ9xT2mB7cR1wY8nL5pD0sF6hJ4gA"
+    plain = [(10 + i, r.text) for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect())]
+    rows = [(1, text), (1, text), (None, text), (2, "x" + text), (3, None), (3, None), *plain]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row_a", "'h' as runs", "2 as k")
+    said = []
+    for most in (line_dedup.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+        got = m.secrets(df).collect()
+        assert len(got) == len(rows)
+        spans = sorted((r.doc_id or 0, r.spans) for r in got if r.doc_id is None or r.doc_id < 4)
+        at = [text.index("Zk3"), text.rindex("Zk3")]
+        for shift, (_, x) in zip((0, 0, 0, 1), spans):
+            found = [tuple(map(int, y.split(":")[1:])) for y in x.split(",") if y.startswith("random")]
+            assert len(found) == 2 and all(a + shift <= s < e <= a + shift + 36 and e - s > 25 for a, (s, e) in zip(at, found)), x
+        said.append(sorted(map(str, got)))
+    assert said[0] == said[1]
+
+
+def test_a_text_of_many_runs_is_scanned_in_time(spark):
+    import time
+
+    from tessera.llm.secrets import secrets
+
+    df = spark.createDataFrame([(1, " ".join(f"somewhere{k}there" for k in range(20_000)))], "doc_id long, text string")
+    began = time.time()
+    assert secrets(df).first().n_assign == 0
+    assert time.time() - began < 60
