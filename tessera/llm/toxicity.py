@@ -125,10 +125,6 @@ class Index:
         self.start = np.searchsorted(own.feature[tail], np.arange(size + 1))
         self.owner, self.weight = owner[tail].astype(np.int32), own.weight[tail]
 
-    def order(self) -> np.ndarray:
-        """The examples in an order that puts those that resemble each other into one block."""
-        return np.lexsort((self.ids, alike(self.dense[: len(self.ids)], -(-self.n_blocks // 4))))
-
     def cosines(self, v: Vectors, k: int, without: np.ndarray | None = None) -> np.ndarray:
         """Cosines of each row with the examples: exact where they may be among the k largest, -1 where they can't be."""
         n, width = len(v), self.n_blocks * BLOCK
@@ -202,34 +198,47 @@ def held_out(id_col: str) -> Column:
 
 
 class Examples:
-    """The labelled examples in the index's order. What is sent to a task are the counts of their features; it makes the index anew."""
+    """The labelled examples as vectors and in an index."""
 
     def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> None:
-        self.space, self.given = space, (ids, labels, start, feature, n)
-        self.own = space.vectors(start, feature, n)
+        self.space, self.own = space, space.vectors(start, feature, n)
         self.index = Index(ids, labels, self.own, len(space.keys))
 
-    def __reduce__(self) -> tuple:
-        ids, labels, start, feature, n = self.given
-        return _examples, (self.space, ids, labels, start, press(feature), press(n.astype("<u4")))
 
-    def ordered(self) -> Examples:
-        ids, labels, start, feature, n = self.given
-        order = self.index.order()
+class Recipe:
+    """What the driver has of the examples, and sends: the counts of their features. It becomes Examples where it arrives.
+
+    The examples come in an order that puts those that resemble each other into one block.
+    """
+
+    def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> None:
+        seen = np.bincount(feature, minlength=len(space.keys))
+        head = np.argsort(-seen, kind="stable")[:MOST_HEAD]
+        place = np.full(len(seen), -1, np.int32)
+        place[head] = np.arange(len(head))
+        dense = np.zeros((len(ids), len(head)), np.float32)
+        for a in range(0, len(ids), TEXTS):
+            own = start[a : a + TEXTS + 1]
+            v = space.vectors(own - own[0], feature[own[0] : own[-1]], n[own[0] : own[-1]])
+            at, row = place[v.feature], v.owner()
+            dense[a + row[at >= 0], at[at >= 0]] = v.weight[at >= 0]
+        order = np.lexsort((ids, alike(dense, -(-len(ids) // (4 * BLOCK)))))
         size = np.diff(start)[order]
         at = np.repeat(start[:-1][order] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return Examples(self.space, ids[order], labels[order], np.concatenate([[0], np.cumsum(size)]), feature[at], n[at])
+        self.labels = labels[order]
+        self.given = space, ids[order], self.labels, np.concatenate([[0], np.cumsum(size)]), press(feature[at]), press(n[at])
+
+    def __reduce__(self) -> tuple:
+        return _examples, self.given
 
 
 def _examples(space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: bytes, n: bytes) -> Examples:
-    out = Examples(space, ids, labels, start, unpress(feature, np.int32), unpress(n, "<u4"))
-    out.given = ()  # only to be sent
-    return out
+    return Examples(space, ids, labels, start, unpress(feature, np.int32), unpress(n, "<u4"))
 
 
 @dataclass
 class Model:
-    #: A broadcast Examples; None without labels of both kinds.
+    #: A broadcast Recipe; None without labels of both kinds.
     sent: Broadcast | None
     empty_rate: float
     at: np.ndarray
@@ -279,16 +288,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         for some in parts:
             for s in steps(some, "text", STEP):
                 start, feature, n = known.value.counts([string(t) for t in s.text])
-                each = [(feature[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(start, start[1:])]
+                each = [(press(feature[a:b]), press(n[a:b].astype("<u4"))) for a, b in zip(start, start[1:])]
                 yield pd.DataFrame({"id": s["id"].to_numpy(), "label": s.label.to_numpy(), "feature": [f for f, _ in each], "n": [c for _, c in each]})
 
     all_ = sorted(rows.mapInPandas(counts, "id long, label int, feature binary, n binary").collect(), key=lambda r: (r.id, r.label, r.feature, r.n))
     known.destroy()
     none, full = [r.label for r in all_ if not r.feature], [r for r in all_ if r.feature]
-    start = np.cumsum([0, *(len(r.feature) // 4 for r in full)])
-    examples = Examples(space, np.array([r.id for r in full], np.int64), np.array([r.label for r in full], np.int64), start, np.frombuffer(b"".join(r.feature for r in full), np.int32), np.frombuffer(b"".join(r.n for r in full), "<u4")).ordered()
-    sent = spark.sparkContext.broadcast(examples)
-    at, rates = isotonic(leave_one_out(spark, sent, len(full)), examples.index.labels, space.base)
+    feature = np.concatenate([np.zeros(0, np.int32), *(unpress(r.feature, np.int32) for r in full)])
+    recipe = Recipe(
+        space, np.array([r.id for r in full], np.int64), np.array([r.label for r in full], np.int64), np.cumsum([0, *(len(unpress(r.n, "<u4")) for r in full)]),
+        feature, np.concatenate([np.zeros(0, "<u4"), *(unpress(r.n, "<u4") for r in full)]),
+    )
+    sent = spark.sparkContext.broadcast(recipe)
+    at, rates = isotonic(leave_one_out(spark, sent, len(full)), recipe.labels, space.base)
     return Model(sent, float((sum(none) + space.base) / (len(none) + 1)), at, rates)
 
 
