@@ -132,11 +132,26 @@ def _of_number(kind: Kind, t: T.ElementType) -> Reduction:
         bounds = (float("-inf"), float("inf")) if t.is_float else t.limits()
         return Reduction(kind, t, F.max if kind is Kind.MAX else F.min, F.greatest if kind is Kind.MAX else F.least, bounds[kind is Kind.MIN])
     if t.name == "uint64":
-        raise Unsupported(f"no bitwise reduction of {t}: it is held as a decimal")
+        return _of_halves(kind, t)
     bits = {Kind.OR: (F.bit_or, "bitwiseOR", 0), Kind.AND: (F.bit_and, "bitwiseAND", t.limits()[1] if t.name[0] == "u" else -1), Kind.XOR: (F.bit_xor, "bitwiseXOR", 0)}[kind]
     return Reduction(kind, t, bits[0], lambda a, b: getattr(a, bits[1])(b), bits[2])
 
 
+def _of_halves(kind: Kind, t: T.ElementType) -> Reduction:
+    """Bitwise reductions of uint64, which is held as a decimal: its two halves are reduced as integers."""
+    total, name, identity = {Kind.OR: (F.bit_or, "bitwiseOR", 0), Kind.AND: (F.bit_and, "bitwiseAND", (1 << 64) - 1), Kind.XOR: (F.bit_xor, "bitwiseXOR", 0)}[kind]
+    base = F.lit(1 << 32).cast("decimal(20,0)")
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = F.floor(v / base).cast("bigint")
+        return high, (v - high.cast("decimal(20,0)") * base).cast("bigint")
+
+    def joined(high: Column, low: Column) -> Column:
+        return (high.cast("decimal(20,0)") * base + low.cast("decimal(20,0)")).cast(t.spark)
+
+    return Reduction(kind, t, lambda v: joined(*(total(x) for x in halves(v))), lambda a, b: joined(*(getattr(x, name)(y) for x, y in zip(halves(a), halves(b)))), identity)
+
+
 def _few_factors(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows with the same product and at most 67 of them a group: 64 factors of 2 or more overflow any integer type, so more can't matter;
     of the others, a zero, or a sign, says it all. Spark limits each group before the shuffle too."""

@@ -5,7 +5,7 @@ Functions are given as functions of Columns, so they stay inside Spark's generat
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -127,22 +127,32 @@ def transform_reduce2(a: Store, b: Store, init: Store, op: Kind | str, f: Callab
 
 
 def tree_reduce(source: Store, task: Callable[[pd.Series], pd.Series], radix: int = 4) -> Store:
-    """A store of unknown length from a task that makes a few values of many: first of each part, then of `radix` results at a time."""
+    """A store of unknown length from a task that makes a few values of many: first of each batch of rows, then of the results of
+    `radix` parts at a time."""
     if source.ndim != 1:
         raise ValueError("tree_reduce works on stores of rank 1")
     if radix < 2:
         raise ValueError("radix has to be 2 or more")
     kind = source.type.spark
-    parts = source.df.select("v", F.spark_partition_id().alias("part"))
+    rows = source.df.select("v")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for rows in batches:
+            yield pd.DataFrame({"part": part, "v": task(rows.v).to_numpy()})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": int(rows.part.iloc[0]) // radix, "v": task(rows.v).to_numpy()})
 
-    n = max(1, parts.rdd.getNumPartitions())
-    out = parts.withColumn("part", F.col("part") * radix).groupBy("part").applyInPandas(run, f"part int, v {kind}")
-    while n > 1:
+    n = max(1, rows.rdd.getNumPartitions())
+    out = rows.mapInPandas(first, f"part int, v {kind}")
+    while True:
         out = out.groupBy((F.floor(F.col("part") / radix) * radix).cast("int").alias("part")).applyInPandas(run, f"part int, v {kind}")
         n = -(-n // radix)
+        if n <= 1:
+            break
     made = create_store(source.spark, source.type, ndim=1)
     return made.write(_numbered(out.select("v")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import enum
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,10 @@ from .algorithms import bounding_boxes
 from .store import Store, TiledStore, coords
 
 
+#: Cells of a target that share a key when boxes look for the cells inside.
+SLAB = 1 << 14
+
+
 class Hint(enum.Enum):
     NO_HINT = "exact"
     MIN_MAX = "bounds of all points"
@@ -86,9 +91,9 @@ def image(func: TiledStore, target: Store, hint: Hint = Hint.NO_HINT) -> DataFra
         boxes = ends.select(*colors(n), *[x for k in range(t.n) for x in (F.least(f"a.p{k}", f"b.p{k}").alias(f"lo{k}"), F.greatest(f"a.p{k}", f"b.p{k}").alias(f"hi{k}"))])
     else:
         boxes = bounding_boxes(func.df, colors(n), "v", t.n, t.name == "rect")
-    # A box has a row for each slab of cells along dimension 0 that it meets, so boxes meet cells by an equi-join.
-    slab = max(1, target.shape[0] // 256)
-    boxes = boxes.withColumn("slab", F.explode(F.sequence(F.expr(f"greatest(lo0, 0) div {slab}"), F.expr(f"greatest(hi0, 0) div {slab}"))))
+    # A box has a row for each slab (of about SLAB cells) along dimension 0 that it meets, so boxes meet cells by an equi-join.
+    slab = max(1, SLAB // max(1, math.prod(target.shape[1:])))
+    boxes = boxes.where(f"hi0 >= 0 and lo0 < {target.shape[0]}").withColumn("slab", F.explode(F.sequence(F.expr(f"greatest(lo0, 0) div {slab}"), F.expr(f"least(greatest(hi0, 0), {max(0, target.shape[0] - 1)}) div {slab}"))))
     cells = target.df.withColumn("slab", F.expr(f"d0 div {slab}"))
     inside = " and ".join(f"d{k} between lo{k} and hi{k}" for k in range(t.n))
     return boxes.join(cells, "slab").where(inside).select(*colors(n), *coords(t.n), "v")

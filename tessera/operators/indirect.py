@@ -1,6 +1,7 @@
 """Copies, gathers and scatters: every lookup is an equi-join on coordinates.
 
-Points that lie outside are left out: a gather keeps what was there, a scatter ignores the row.
+Points that lie outside are left out: a gather keeps what was there, a scatter ignores the row. With outside="raise" they raise instead,
+which takes an action that looks at the points.
 """
 
 from __future__ import annotations
@@ -78,10 +79,20 @@ def _gathered(source: Store, ind: Store) -> DataFrame:
     return _points(ind, "s").join(data, [f"s{k}" for k in range(source.ndim)]).select(*coords(ind.ndim), "v")
 
 
-def gather(target: Store, source: Store, ind: Store, redop: Kind | str | None = None) -> Store:
+def _judge(ind: Store, into: Store, outside: str) -> None:
+    if outside not in ("skip", "raise"):
+        raise ValueError(f"outside is skip or raise, not {outside!r}")
+    if outside == "raise":
+        beyond = " or ".join(f"v.p{k} < 0 or v.p{k} >= {n}" for k, n in enumerate(into.shape))
+        if not ind.df.where(beyond).isEmpty():
+            raise IndexError(f"points lie outside of shape {into.shape}")
+
+
+def gather(target: Store, source: Store, ind: Store, redop: Kind | str | None = None, outside: str = "skip") -> Store:
     """target[i] = source[ind[i]]; points may repeat."""
     _same_type(target, source)
     _indirect(ind, source, target)
+    _judge(ind, source, outside)
     return _put(target, _gathered(source, ind), redop)
 
 
@@ -89,10 +100,11 @@ def _within(rows: DataFrame, target: Store) -> DataFrame:
     return rows.where(" and ".join(f"t{k} >= 0 and t{k} < {n}" for k, n in enumerate(target.shape)))
 
 
-def scatter(target: Store, ind: Store, source: Store, redop: Kind | str | None = None, check: bool = False) -> Store:
+def scatter(target: Store, ind: Store, source: Store, redop: Kind | str | None = None, check: bool = False, outside: str = "skip") -> Store:
     """target[ind[i]] = source[i]. Without redop, the source's last cell (in C order) counts where points repeat; check raises then."""
     _same_type(target, source)
     _indirect(ind, target, source)
+    _judge(ind, target, outside)
     return _scattered(target, _points(ind, "t").join(source.df, coords(ind.ndim)), ind.shape, redop, check)
 
 
@@ -114,13 +126,15 @@ def _scattered(target: Store, rows: DataFrame, shape: tuple[int, ...], redop: Ki
     return _put(target, rows.select(*[F.col(a).alias(f"d{k}") for k, a in enumerate(at)], "v"), redop)
 
 
-def scatter_gather(target: Store, target_ind: Store, source: Store, source_ind: Store, redop: Kind | str | None = None, check: bool = False) -> Store:
+def scatter_gather(target: Store, target_ind: Store, source: Store, source_ind: Store, redop: Kind | str | None = None, check: bool = False, outside: str = "skip") -> Store:
     """target[target_ind[k]] = source[source_ind[k]]."""
     _same_type(target, source)
     if target_ind.shape != source_ind.shape:
         raise ValueError("the indirections differ in shape")
     _indirect(source_ind, source, target_ind)
     _indirect(target_ind, target, source_ind)
+    _judge(source_ind, source, outside)
+    _judge(target_ind, target, outside)
     rows = _points(target_ind, "t").join(_gathered(source, source_ind), coords(target_ind.ndim))
     return _scattered(target, rows, target_ind.shape, redop, check)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,9 +42,10 @@ class Root:
     version: int = 0
     id: int = field(default_factory=lambda: next(_ids))
     partial: bool = False  # some cells may have no value
+    read: Callable[[list[tuple[int, int]]], DataFrame] | None = None  # for arrays in files: the rows of the chunks that a box meets
 
     def put(self, df: DataFrame) -> None:
-        self.df, self.version = df, self.version + 1
+        self.df, self.version, self.read = df, self.version + 1, None
 
 
 @dataclass(frozen=True)
@@ -150,7 +151,7 @@ class Store:
         if self._view is None and self.root.shape is None:
             return self.root.df
         v = self.view
-        out = self.root.df
+        out = self.root.read(self._bounds()) if self.root.read and v.where and self.volume else self.root.df
         for w in v.where:
             out = out.where(w)
         out = out.selectExpr(*[f"{a} as d{k}" if a is not None else f"cast(null as bigint) as d{k}" for k, a in enumerate(v.axes)], "v")

@@ -203,6 +203,18 @@ def task(f: Callable | None = None, **options: object) -> Task | Callable[[Calla
     return Task(f, **options) if f is not None else lambda g: Task(g, **options)
 
 
+#: Failed calls of one launch that are named; the others are counted.
+MOST_FAILURES = 100
+
+
+class TaskFailures(RuntimeError):
+    """What the calls of one launch raised, joined: (task index, error) of each, in order."""
+
+    def __init__(self, name: str, failures: list[tuple[tuple[int, ...], str]], total: int) -> None:
+        self.failures, self.total = failures, total
+        super().__init__(f"{total} calls of {name} failed: " + "; ".join(f"{index}: {error}" for index, error in failures))
+
+
 # --- execution ---------------------------------------------------------------------------------------------------------------
 
 
@@ -304,7 +316,8 @@ def _launch(call: AutoTask | ManualTask, tiled: TiledStore, parts: dict[str, Dat
     ndims = {p: call.stores[p].ndim for p in call.stores}
     f, wants, scalars, tile, launch = call.task.f, call.task.wants_context, dict(call.scalars), tiled.tile, tiled.colors
     lead_shape, provenance = tiled.store.shape, None if current() is None else current().provenance
-    order = [p.name for p in call.task.parameters]
+    order, throws = [p.name for p in call.task.parameters], call.task.throws
+    names_out = [*colors, "slot", *[f"d{j}" for j in range(rank)], *[f"o{j}" for j in range(len(outs))], "error"]
 
     def block_of(t: pa.Table, p: str, k: int) -> Block:
         own = t.filter(pa.compute.equal(t["slot"], k))
@@ -331,12 +344,23 @@ def _launch(call: AutoTask | ManualTask, tiled: TiledStore, parts: dict[str, Dat
         start = identity.get(p)
         return Block(np.full([b - a for a, b in zip(lo, hi)], 0 if start is None else start, types[p].numpy), tuple(lo))
 
+    def empty_of(p: str) -> pa.Array:
+        t = types[p]
+        return pa.array([], pa.list_(_to_arrow(np.zeros(0, t.of[0].numpy), t.of[0]).type)) if t.name == "array" else _to_arrow(np.zeros(0, t.numpy), t)
+
     def run(t: pa.Table) -> pa.Table:
         color = tuple(int(t[c][0].as_py()) for c in colors)
         given = {p: block_of(t, p, k) for k, p in enumerate(names)} | {p: new_block(p, color) for p in outs}
         values = [given[p] if p in given else scalars[p] for p in order]
         context = [TaskContext(color, launch, provenance, tuple(scalars.values()))] if wants else []
-        f(*context, *values)
+        try:
+            f(*context, *values)
+        except Exception as e:  # noqa: BLE001  of a task that says it throws: told with its index, and joined with the others'
+            if not throws:
+                raise
+            columns = [pa.array([c], pa.int64()) for c in color] + [pa.array([-2], pa.int32())] + [pa.array([0], pa.int64())] * rank
+            columns += [pa.nulls(1, empty_of(q).type) for q in outs] + [pa.array([f"{type(e).__name__}: {e}"])]
+            return pa.Table.from_arrays(columns, names=names_out)
         tables = []
         for k, p in enumerate(outs):
             b = given[p]
@@ -347,12 +371,17 @@ def _launch(call: AutoTask | ManualTask, tiled: TiledStore, parts: dict[str, Dat
             columns = [pa.array(np.full(m, color[j]), pa.int64()) for j in range(n)] + [pa.array(np.full(m, k), pa.int32())]
             columns += [pa.array((at[j] + b.origin[j]) if j < ndims[p] else np.zeros(m, np.int64), pa.int64()) for j in range(rank)]
             for j, q in enumerate(outs):
-                columns.append(_to_arrow(a, types[p]) if j == k else pa.nulls(m, _to_arrow(np.zeros(0, types[q].numpy), types[q]).type if types[q].name != "array" else pa.list_(_to_arrow(np.zeros(0, types[q].of[0].numpy), types[q].of[0]).type)))
-            tables.append(pa.Table.from_arrays(columns, names=[*colors, "slot", *[f"d{j}" for j in range(rank)], *[f"o{j}" for j in range(len(outs))]]))
+                columns.append(_to_arrow(a, types[p]) if j == k else pa.nulls(m, empty_of(q).type))
+            tables.append(pa.Table.from_arrays([*columns, pa.nulls(m, pa.string())], names=names_out))
         return pa.concat_tables(tables)
 
-    schema = ", ".join([*(f"{c} bigint" for c in colors), "slot int", *(f"d{k} bigint" for k in range(rank)), *(f"o{k} {types[p].spark}" for k, p in enumerate(outs))])
+    schema = ", ".join([*(f"{c} bigint" for c in colors), "slot int", *(f"d{k} bigint" for k in range(rank)), *(f"o{k} {types[p].spark}" for k, p in enumerate(outs)), "error string"])
     made = rows.groupBy(*colors).applyInArrow(run, schema)
+    def judge() -> None:
+        failed = made.where("slot = -2")
+        if total := failed.count():
+            raise TaskFailures(call.task.__name__, [(tuple(r[c] for c in colors), r.error) for r in failed.orderBy(*colors).limit(MOST_FAILURES).collect()], total)
+
     scope = current()
     immediate = bool(call.task.throws and scope is None)
     if len(outs) > 1 or immediate or scope is not None:
@@ -362,9 +391,9 @@ def _launch(call: AutoTask | ManualTask, tiled: TiledStore, parts: dict[str, Dat
         by_role = lambda r: frozenset(ids[p] for p in call.stores if roles[p].role == r)
         scope.submit(Operation(call.task.__name__, None, launch, by_role("input"), by_role("output"), by_role("reduction"), all(r == "tile" or roles[p].role == "reduction" for p, r in regions.items())))
         if call.task.throws:
-            scope.guarded(lambda: made.count())
+            scope.guarded(judge)
     elif immediate:
-        made.count()
+        judge()
     for k, p in enumerate(outs):
         s = call.stores[p]
         own = made.where(f"slot = {k}").select(*coords(s.ndim), F.col(f"o{k}").alias("v"), *colors)

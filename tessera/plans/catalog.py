@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable
 
@@ -10,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import types as T
-from ..functions.reductions import Kind
+from ..functions.reductions import Kind, lookup, register
 from ..operators import algorithms as A
+from ..operators import collectives
 from ..operators import constraints as C
 from ..operators import indirect as I
 from ..operators import tasks as K
-from ..operators.store import Store, create_store, from_scalar, from_table
+from ..operators.store import Store, create_store, from_numpy, from_scalar, from_table, from_tiles
 from ..sources import raw, zarr
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
-DIM = 64
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
@@ -59,7 +60,8 @@ def vector(spark: SparkSession, sf_dir: str, name: str, key: str, value: str, t:
 def embeddings(spark: SparkSession, sf_dir: str) -> Store:
     df = _table(spark, sf_dir, "embeddings")
     cells = df.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
-    return from_table(cells, ["vec_id", "pos"], "x", (_extent(df, "vec_id"), DIM), T.float64)
+    longest = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return from_table(cells, ["vec_id", "pos"], "x", (_extent(df, "vec_id"), longest), T.float64)
 
 
 def _points(spark: SparkSession, sf_dir: str, name: str, key: str, *values: str) -> Store:
@@ -73,7 +75,7 @@ def _zeros(spark: SparkSession, shape: tuple[int, ...], t: T.ElementType, value:
 
 
 def _lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """lineitem with a dense place: the rows numbered within each order, orders at 16 places each."""
+    """lineitem with a dense place: the rows numbered within each order."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
@@ -84,7 +86,7 @@ def _r(column: str, name: str | None = None, digits: int = 6) -> F.Column:
     return F.round(F.col(column), digits).alias(name or column)
 
 
-_EMB = "(select vec_id as d0, i - 1 as d1, cast(embedding[i] as double) as v from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings))"
+_EMB = "(select vec_id as d0, i - 1 as d1, cast(embedding[i] as double) as v from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))"
 
 # --- views ----------------------------------------------------------------------------------------------------------------------
 
@@ -142,11 +144,11 @@ def index_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fills and copies -------------------------------------------------------------------------------------------------------------
 
 
-@query(f"select d0, d1, case when d0 >= 5 and d0 < 9 and d1 >= 3 then -1.0 else round(v, 6) end as v from {_EMB} where d0 < 20")
+@query(f"select d0, d1, case when d0 >= 5 and d0 < 9 and d1 >= 3 then -1.0 else round(v, 6) end as v from {_EMB}")
 def fill_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
     e[5:9, 3:].fill(-1.0)
-    return e[:20].df.select("d0", "d1", _r("v"))
+    return e.df.select("d0", "d1", _r("v"))
 
 
 @query("select s_suppkey as d0, (select max(p_size) from part) as v from supplier")
@@ -171,21 +173,22 @@ def copy_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- indirection --------------------------------------------------------------------------------------------------------------------
 
 
-def _line_points(spark: SparkSession, sf_dir: str, key: str) -> tuple[Store, int]:
-    rows = _lines(spark, sf_dir, key)
-    n = _extent(_table(spark, sf_dir, "orders"), "o_orderkey")
-    cells = rows.where("k < 16").withColumn("p", F.struct(F.col(key).cast("long").alias("p0")))
-    return from_table(cells, ["l_orderkey", "k"], "p", (n, 16), T.point(1)), n
+def _line_stores(spark: SparkSession, sf_dir: str, key: str, value: str, t: T.ElementType) -> tuple[Store, Store]:
+    """lineitem as two stores over orders and places: where a key points, and a value."""
+    rows = _lines(spark, sf_dir, key, value).withColumn("p", F.struct(F.col(key).cast("long").alias("p0")))
+    shape = (_extent(rows, "l_orderkey"), _extent(rows, "k"))
+    place = ["l_orderkey", "k"]
+    return from_table(rows, place, "p", shape, T.point(1)), from_table(rows, place, value, shape, t)
 
 
 _NUMBERED = "(select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as k from lineitem)"
 
 
-@query(f"select l_orderkey as d0, k as d1, round(p_retailprice, 4) as v from {_NUMBERED} join part on l_partkey = p_partkey where k < 16")
+@query(f"select l_orderkey as d0, k as d1, round(p_retailprice, 4) as v from {_NUMBERED} join part on l_partkey = p_partkey")
 def gather_part_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ind, n = _line_points(spark, sf_dir, "l_partkey")
+    ind, _ = _line_stores(spark, sf_dir, "l_partkey", "l_quantity", T.float64)
     prices = vector(spark, sf_dir, "part", "p_partkey", "p_retailprice", T.float64)
-    target = create_store(spark, T.float64, (n, 16))
+    target = create_store(spark, T.float64, ind.shape)
     return I.gather(target, prices, ind).df.select("d0", "d1", _r("v", digits=4))
 
 
@@ -208,18 +211,13 @@ def scatter_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scatter_add_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a list of points and quantities, added into a store over the parts."""
     parts = _extent(_table(spark, sf_dir, "part"), "p_partkey")
-    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("d0"), F.col("l_quantity").alias("v"))
-    from ..functions.reductions import lookup
-
-    return I.fold_into(_zeros(spark, (parts,), T.float64), rows, lookup(Kind.ADD, T.float64)).df
+    ind, qty = _line_stores(spark, sf_dir, "l_partkey", "l_quantity", T.float64)
+    return I.scatter(_zeros(spark, (parts,), T.float64), ind, qty, Kind.ADD).df
 
 
-@query(f"select s_suppkey as d0, coalesce(m, -1.0) as v from supplier left join (select l_suppkey, max(l_quantity) as m from {_NUMBERED} where k < 16 group by 1) on l_suppkey = s_suppkey")
+@query("select s_suppkey as d0, coalesce(m, -1.0) as v from supplier left join (select l_suppkey, max(l_quantity) as m from lineitem group by 1) on l_suppkey = s_suppkey")
 def scatter_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir, "l_suppkey", "l_quantity").where("k < 16")
-    n = _extent(_table(spark, sf_dir, "orders"), "o_orderkey")
-    ind = from_table(rows.withColumn("p", F.struct(F.col("l_suppkey").alias("p0"))), ["l_orderkey", "k"], "p", (n, 16), T.point(1))
-    qty = from_table(rows, ["l_orderkey", "k"], "l_quantity", (n, 16), T.float64)
+    ind, qty = _line_stores(spark, sf_dir, "l_suppkey", "l_quantity", T.float64)
     target = _zeros(spark, (_extent(_table(spark, sf_dir, "supplier"), "s_suppkey"),), T.float64, -1.0)
     return I.scatter(target, ind, qty, Kind.MAX).df
 
@@ -274,12 +272,9 @@ def product_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _supplier_bits(kind: Kind, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from ..functions.reductions import lookup
-
         n = _extent(_table(spark, sf_dir, "supplier"), "s_suppkey")
-        rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("d0"), F.col("l_partkey").alias("v"))
-        reduction = lookup(kind, T.int64)
-        return I.fold_into(_zeros(spark, (n,), T.int64, reduction.identity), rows, reduction).df
+        ind, parts = _line_stores(spark, sf_dir, "l_suppkey", "l_partkey", T.int64)
+        return I.scatter(_zeros(spark, (n,), T.int64, lookup(kind, T.int64).identity), ind, parts, kind).df
 
     run.__name__ = f"{kind.value}_reduce"
     query(f"select s_suppkey as d0, coalesce(x, {0 if kind is not Kind.AND else -1}) as v from supplier left join (select l_suppkey, {sql}(l_partkey) as x from lineitem group by 1) on l_suppkey = s_suppkey")(run)
@@ -291,14 +286,12 @@ for _kind, _sql in ((Kind.XOR, "bit_xor"), (Kind.OR, "bit_or"), (Kind.AND, "bit_
 
 @query("select n_nationkey as d0, coalesce(a, false) as any_rich, coalesce(b, true) as all_rich, coalesce(c, false) as odd_rich from nation left join (select c_nationkey, bool_or(c_acctbal > 5000) as a, bool_and(c_acctbal > 5000) as b, count_if(c_acctbal > 5000) % 2 = 1 as c from customer group by 1) on c_nationkey = n_nationkey")
 def bool_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.reductions import lookup
-
     n = _extent(_table(spark, sf_dir, "nation"), "n_nationkey")
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("d0"), (F.col("c_acctbal") > 5000).alias("v"))
+    ind = _points(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    rich = from_table(_table(spark, sf_dir, "customer").withColumn("rich", F.col("c_acctbal") > 5000), ["c_custkey"], "rich", ind.shape, T.bool_)
     out = None
     for kind, name in ((Kind.ADD, "any_rich"), (Kind.MUL, "all_rich"), (Kind.XOR, "odd_rich")):
-        r = lookup(kind, T.bool_)
-        own = I.fold_into(_zeros(spark, (n,), T.bool_, r.identity), rows, r).df.withColumnRenamed("v", name)
+        own = I.scatter(_zeros(spark, (n,), T.bool_, lookup(kind, T.bool_).identity), ind, rich, kind).df.withColumnRenamed("v", name)
         out = own if out is None else out.join(own, "d0")
     return out
 
@@ -348,13 +341,12 @@ def ranges_to_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c_nationkey as d0, round(sum(c_acctbal), 2) as re, round(-2 * sum(c_acctbal), 2) as im from customer group by 1")
 def complex_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.reductions import lookup
-
     n = _extent(_table(spark, sf_dir, "nation"), "n_nationkey")
+    ind = _points(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     z = F.struct(F.col("c_acctbal").alias("re"), (-2 * F.col("c_acctbal")).alias("im"))
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("d0"), z.alias("v"))
-    out = I.fold_into(_zeros(spark, (n,), T.complex128, 0j), rows, lookup(Kind.ADD, T.complex128)).df
-    used = rows.select("d0").distinct()
+    both = from_table(_table(spark, sf_dir, "customer").withColumn("z", z), ["c_custkey"], "z", ind.shape, T.complex128)
+    out = I.scatter(_zeros(spark, (n,), T.complex128, 0j), ind, both, Kind.ADD).df
+    used = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("d0")).distinct()
     return out.join(used, "d0", "left_semi").select("d0", _r("v.re", "re", 2), _r("v.im", "im", 2))
 
 
@@ -389,9 +381,9 @@ def for_each_zip_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.df.withColumnRenamed("v", "a").join(b.df.withColumnRenamed("v", "b"), "d0")
 
 
-@query(f"select d0 * 64 + d1 as i, round(v, 6) as v from {_EMB} where d0 < 30")
+@query(f"select d0 * (select max(len(embedding)) from embeddings) + d1 as i, round(v, 6) as v from {_EMB}")
 def elements_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.elements_of(embeddings(spark, sf_dir)[:30]).select("i", _r("v"))
+    return A.elements_of(embeddings(spark, sf_dir)).select("i", _r("v"))
 
 
 # --- partitions -----------------------------------------------------------------------------------------------------------------------------
@@ -546,8 +538,13 @@ def _folder(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base.removeprefix('file://').removeprefix('file:')}/arrays-{uuid.uuid4().hex}"
+    base = "/" + base.removeprefix("file:").lstrip("/") if base.startswith("file:") else base
+    if "://" in base:
+        raise ValueError(f"raw files are written in place, which needs a shared POSIX folder, not {base}")
+    path = f"{base}/arrays-{uuid.uuid4().hex}"
     os.makedirs(path)
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
@@ -560,11 +557,15 @@ def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.from_file(spark, f"{path}/prices", T.float64).df
 
 
-@query(f"select d0, d1, round(v, 6) as v from {_EMB} where d0 < 200")
+@query(f"select d0, d1, round(v, 6) as v from {_EMB}")
 def tiles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, path = embeddings(spark, sf_dir)[:200], _folder(spark)
-    raw.to_tiles(path, s, (50, 32))
-    return raw.from_tiles(spark, path, s.shape, T.float64, (50, 32)).df.select("d0", "d1", _r("v"))
+    """In a store filled up to whole tiles, of which a view holds the table."""
+    s, path, tile = embeddings(spark, sf_dir), _folder(spark), (500, 32)
+    whole = _zeros(spark, tuple(-(-n // t) * t for n, t in zip(s.shape, tile)), T.float64)
+    whole[: s.shape[0], : s.shape[1]].write(s.df)
+    raw.to_tiles(path, whole, tile)
+    back = raw.from_tiles(spark, path, whole.shape, T.float64, tile)
+    return back[: s.shape[0], : s.shape[1]].df.select("d0", "d1", _r("v"))
 
 
 @query(f"select d0, d1, round(v, 6) as v from {_EMB}")
@@ -584,8 +585,206 @@ def reinterpret_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select n_nationkey as d0, n_regionkey as v from nation")
 def attach_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store to the driver and back, through NumPy."""
-    from ..operators.store import from_numpy
-
     return from_numpy(spark, vector(spark, sf_dir, "nation", "n_nationkey", "n_regionkey", T.int32).to_numpy()).df
 
 
+@query("select n_nationkey as d0, n_regionkey as v from nation")
+def attach_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers of seven cells each as the tiles of one store."""
+    a = vector(spark, sf_dir, "nation", "n_nationkey", "n_regionkey", T.int32).to_numpy()
+    return from_tiles(spark, a.shape, (7,), T.int32, [(a[k : k + 7], (k // 7,)) for k in range(0, len(a), 7)]).df
+
+
+@query("select (g - 1 - p_partkey // t) * t + p_partkey % t as d0, p_retailprice as v from part, (select gcd(n, 8) as g, n // gcd(n, 8) as t from (select max(p_partkey) + 1 as n from part))")
+def read_at_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's tiles, the last one first."""
+    s, path = vector(spark, sf_dir, "part", "p_partkey", "p_retailprice", T.float64), _folder(spark)
+    raw.to_file(f"{path}/prices", s)
+    g = math.gcd(s.shape[0], 8)
+    tile = s.shape[0] // g
+    return raw.from_offsets(spark, f"{path}/prices", s.shape, T.float64, [k * tile * 8 for k in reversed(range(g))], (tile,)).df
+
+
+@query(f"select d0, d1, round(v, 6) as v from {_EMB}")
+def zarr_default_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, path = embeddings(spark, sf_dir), _folder(spark)
+    zarr.write_array(s, path + "/z")
+    return zarr.read_array(spark, path + "/z").df.select("d0", "d1", _r("v"))
+
+
+@query(f"select d0 - 100 as d0, d1 - 8 as d1, round(v, 6) as v from {_EMB} where d0 between 100 and 149 and d1 between 8 and 23")
+def zarr_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of an array in files reads the chunks that it meets."""
+    s, path = embeddings(spark, sf_dir), _folder(spark)
+    zarr.write_array(s, path + "/z", (50, 8))
+    return zarr.read_array(spark, path + "/z")[100:150, 8:24].df.select("d0", "d1", _r("v"))
+
+
+# --- rarer operators ----------------------------------------------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey as d0, round(case when o_custkey % 2 = 0 then c_acctbal else o_totalprice end, 4) as v from orders join customer on o_custkey = c_custkey")
+def gather_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points outside of the source leave the target's cell as it is."""
+    df = _table(spark, sf_dir, "orders").withColumn("p", F.struct(F.when(F.expr("o_custkey % 2 = 0"), F.col("o_custkey")).otherwise(-1).cast("long").alias("p0")))
+    totals = vector(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", T.float64)
+    ind = from_table(df, ["o_orderkey"], "p", totals.shape, T.point(1))
+    return I.gather(totals, vector(spark, sf_dir, "customer", "c_custkey", "c_acctbal", T.float64), ind).df.select("d0", _r("v", digits=4))
+
+
+@query(f"select d0 as vec_id, d1 as pos, round(v * 2 + 1, 6) as v from {_EMB}")
+def elementwise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of elements, lifted to whole rows in array form."""
+    twice = A.elementwise(lambda v: v.cast("double") * 2 + 1)
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(twice(F.col("embedding"))).alias("pos", "v")).select("vec_id", "pos", _r("v"))
+
+
+@query(f"select d1 // 16 as d0, round(sum(v), 6) as v from {_EMB} group by 1")
+def sum_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reduction over two axes of three."""
+    e = embeddings(spark, sf_dir)
+    planes = e.delinearize(1, (e.shape[1] // 16, 16))
+    return A.reduce(A.projections_of(planes, 0, 2), _zeros(spark, (planes.shape[1],), T.float64), Kind.ADD).df.select("d0", _r("v"))
+
+
+def _norm(v: np.ndarray) -> float:
+    return float(np.sqrt((v * v).sum()))
+
+
+@query(f"select d0, round(sqrt(sum(v * v)), 6) as v from {_EMB} group by 1")
+def custom_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    try:
+        name = register("norm", T.float64, _norm, 0.0)
+    except ValueError:  # by an earlier call
+        name = "norm"
+    return A.reduce(A.columns_of(e), _zeros(spark, (e.shape[0],), T.float64), name).df.select("d0", _r("v"))
+
+
+@query("select r as rank, l_linenumber, s as qty from (select l_linenumber, sum(l_quantity) as s from lineitem group by 1), (select unnest(range(4)) as r)")
+def all_reduce_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of four tasks gets the sums over all tasks, by the place in their buffers."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.expr("cast(l_suppkey % 4 as int)").alias("rank"), "l_linenumber", F.col("l_quantity").alias("qty"))
+    return collectives.all_reduce(rows, 4, ["qty"], Kind.ADD, T.float64, "l_linenumber")
+
+
+@query(f"select d0 // 100 as c0, c as c1, round(sum(v), 6) as v, count(*) as n from {_EMB}, (select unnest(range((select (max(len(embedding)) + 15) // 16 from embeddings))) as c) group by 1, 2")
+def broadcast_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that see one axis whole and the other one cut."""
+    e = embeddings(spark, sf_dir)
+    seen = C.broadcast(e, e.partition_by_tiling((100, 16)), (1,))
+    return seen.groupBy("c0", "c1").agg(F.sum("v").alias("s"), F.count("*").alias("n")).select("c0", "c1", _r("s", "v"), "n")
+
+
+@query("select event_id // t as c0, round(sum(value), 4) as v, count(*) as n from events, (select greatest((n + 7) // 8, least(1000, n)) as t from (select max(event_id) + 1 as n from events)) group by 1")
+def least_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight tiles, unless they would be shorter than a thousand cells."""
+    tiled = C.auto_tiles(vector(spark, sf_dir, "events", "event_id", "value", T.float64), 8, (1000,), threshold=1)
+    return tiled.df.groupBy("c0").agg(F.sum("v").alias("s"), F.count("*").alias("n")).select("c0", _r("s", "v", 4), "n")
+
+
+@query("select c0, c_custkey as d0, c_nationkey as v from customer join (select o_orderkey // 500 as c0, arg_min(o_custkey, o_orderkey) as a, arg_max(o_custkey, o_orderkey) as b from orders group by 1) on c_custkey between least(a, b) and greatest(a, b)")
+def image_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    func = _points(spark, sf_dir, "orders", "o_orderkey", "o_custkey").partition_by_tiling((500,))
+    return C.image(func, vector(spark, sf_dir, "customer", "c_custkey", "c_nationkey", T.int32), C.Hint.FIRST_LAST)
+
+
+@query("select p_partkey // 10 as d0, cast(product(p_size % 3 + 1) as bigint) as v from part group by 1")
+def product_of_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact products of integers, scattered into tens of parts."""
+    df = _table(spark, sf_dir, "part").select("p_partkey", F.struct(F.expr("p_partkey div 10").alias("p0")).alias("p"), F.expr("cast(p_size % 3 + 1 as bigint)").alias("v"))
+    n = _extent(df, "p_partkey")
+    target = _zeros(spark, (-(-n // 10),), T.int64, 1)
+    return I.scatter(target, from_table(df, ["p_partkey"], "p", (n,), T.point(1)), from_table(df, ["p_partkey"], "v", (n,), T.int64), Kind.MUL).df
+
+
+@query("select round(1e18 / product(n_regionkey + 1), 3) as v from nation")
+def divides_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = vector(spark, sf_dir, "nation", "n_nationkey", "n_regionkey", T.float64)
+    A.for_each(lambda v: v + 1, s)
+    return A.reduce(s, from_scalar(spark, 1e18), "divides").df.select(_r("v", digits=3))
+
+
+@K.task
+def _twice(x: K.InputStore, out: K.OutputStore):
+    out.array[:] = 2 * x.array
+
+
+@query("select (g - 1 - p_partkey // t) * t + p_partkey % t as d0, 2.0 * p_retailprice as v from part, (select gcd(n, 4) as g, n // gcd(n, 4) as t from (select max(p_partkey) + 1 as n from part))")
+def manual_launch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Launch points that see the tiles from the last one on, through a symbolic projection."""
+    x = vector(spark, sf_dir, "part", "p_partkey", "p_retailprice", T.float64)
+    out, g = create_store(spark, T.float64, x.shape), math.gcd(x.shape[0], 4)
+    call = K.ManualTask(_twice, (g,))
+    call.add_input("x", x.partition_by_tiling((x.shape[0] // g,)), [K.dimension(0) * -1 + (g - 1)])
+    call.add_output("out", out.partition_by_tiling((x.shape[0] // g,)))
+    call.execute()
+    return out.df
+
+
+@K.task
+def _with_index(ctx: K.TaskContext, x: K.InputStore, out: K.OutputStore):
+    out.array[:] = x.array + 1000 * ctx.task_index[0] + 100_000 * ctx.launch_domain[0]
+
+
+@query("select p_partkey as d0, p_size + 1000 * (p_partkey // t) + 100000 * g as v from part, (select gcd(n, 4) as g, n // gcd(n, 4) as t from (select max(p_partkey) + 1 as n from part))")
+def task_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that know their place in the launch."""
+    x = vector(spark, sf_dir, "part", "p_partkey", "p_size", T.int64)
+    out, g = create_store(spark, T.int64, x.shape), math.gcd(x.shape[0], 4)
+    call = K.ManualTask(_with_index, (g,))
+    call.add_input("x", x.partition_by_tiling((x.shape[0] // g,)))
+    call.add_output("out", out.partition_by_tiling((x.shape[0] // g,)))
+    call.execute()
+    return out.df
+
+
+@query("select p_partkey as d0, round(0.5 * p_retailprice + p_size, 4) as v from part")
+def prepared_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call that is prepared, constrained and executed in steps."""
+    x = vector(spark, sf_dir, "part", "p_partkey", "p_retailprice", T.float64)
+    y = vector(spark, sf_dir, "part", "p_partkey", "p_size", T.float64)
+    out = create_store(spark, T.float64, x.shape)
+    call = _saxpy.prepare_call(x, y, out=out, a=0.5)
+    call.add_constraint(K.min_extents("x", (64,)))
+    call.execute()
+    return out.df.select("d0", _r("v", digits=4))
+
+
+@query("select s_suppkey as d0, round(s_acctbal, 2) as v from supplier")
+def file_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/balances"
+    with raw.FileHandle(spark, path, "w") as f:
+        f.write(vector(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal", T.float64))
+    with raw.FileHandle(spark, path) as f:
+        return f.read(T.float64).df.select("d0", _r("v", digits=2))
+
+
+@query("select n_nationkey as d0, n_regionkey * 2 as v from nation")
+def dlpack_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store out and in through the DLPack protocol."""
+    a = np.from_dlpack(vector(spark, sf_dir, "nation", "n_nationkey", "n_regionkey", T.int32))
+    return from_numpy(spark, a * np.int32(2)).df
+
+
+@query("select a.k as a, b.k as b, abs(a.k - b.k) < 3 as meet, a.k = b.k as same from (select unnest(range(5)) as k) a, (select unnest(range(5)) as k) b")
+def overlapping_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which views of three rows share cells, and which lie in the same place."""
+    e = embeddings(spark, sf_dir)
+    views = [e[k : k + 3] for k in range(5)]
+    said = [(a, b, x.overlaps(y), x.equal_storage(y) and x.view == y.view) for a, x in enumerate(views) for b, y in enumerate(views)]
+    return spark.createDataFrame(said, "a long, b long, meet boolean, same boolean")
+
+
+@query("select r as rank, l_suppkey % 4 as sender, count(*) as n, sum(l_quantity) as qty from lineitem, (select unnest(range(4)) as r) group by 1, 2")
+def all_gather_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every one of four tasks gets the others' rows."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.expr("cast(l_suppkey % 4 as int)").alias("rank"), F.col("l_quantity").alias("qty"))
+    return collectives.all_gather(rows, 4).groupBy("rank", "sender").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+
+
+@query("select l_partkey % 3 as rank, l_suppkey % 4 as sender, count(*) as n, sum(l_quantity) as qty from lineitem group by 1, 2")
+def all_to_all_qty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that name the task which they go to."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.expr("cast(l_suppkey % 4 as int)").alias("rank"), F.expr("cast(l_partkey % 3 as int)").alias("to"), F.col("l_quantity").alias("qty"))
+    return collectives.all_to_all(rows).groupBy("rank", "sender").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))

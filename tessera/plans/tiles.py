@@ -7,39 +7,26 @@ from collections.abc import Sequence
 
 #: Stores of fewer cells than this stay whole.
 THRESHOLD = 1 << 14
-MOST_TILES, MOST_PER_PIECE, LAST_LEAST = 1024, 16, 32
+#: Cells of one tile, which one task holds: a larger store has more tiles, however few tasks run at a time.
+CELLS = 1 << 20
 
 
 def launch_shape(shape: Sequence[int], pieces: int, threshold: int = THRESHOLD) -> tuple[int, ...]:
-    """A grid of at most `pieces` tasks: each prime factor, the largest first, goes to the axis whose tiles are longest; the last axis keeps
-    tiles of LAST_LEAST cells, so that rows stay whole enough."""
+    """A grid of at least `pieces` tiles (where there are cells enough), none of more than CELLS cells: tiles are halved along their
+    longest side, of equal ones the first."""
     out = [1] * len(shape)
-    if not shape or math.prod(shape) < threshold or pieces <= 1:
+    if not shape or math.prod(shape) < threshold:
         return tuple(out)
-    for p in sorted(_primes(pieces), reverse=True):
-        room = [(n / o, k) for k, (n, o) in enumerate(zip(shape, out)) if n // (o * p) >= (LAST_LEAST if k == len(shape) - 1 and len(shape) > 1 else 1)]
-        if room:
-            out[max(room)[1]] *= p
-    return tuple(out)
+    while True:
+        tile = [-(-n // c) for n, c in zip(shape, out)]
+        if max(tile) <= 1 or math.prod(out) >= pieces and math.prod(tile) <= CELLS:
+            return tuple(out)
+        k = tile.index(max(tile))
+        out[k] = min(2 * out[k], shape[k])
 
 
 def tile_shape(shape: Sequence[int], launch: Sequence[int], least: Sequence[int] | None = None) -> tuple[int, ...]:
     """ceil(extent / launch), not below `least`; what `least` leaves no room for is one tile."""
     if least is not None and len(least) != len(shape):
         raise ValueError("min_extents needs an extent for each dimension")
-    out = [max(1, -(-n // c), 0 if least is None else min(m, max(1, n))) for n, c, m in zip(shape, launch, least or [0] * len(shape))]
-    return tuple(out)
-
-
-def most_tiles(pieces: int) -> int:
-    return max(MOST_TILES, MOST_PER_PIECE * pieces)
-
-
-def _primes(n: int) -> list[int]:
-    out, p = [], 2
-    while n > 1:
-        while n % p == 0:
-            out.append(p)
-            n //= p
-        p += 1 if p * p <= n else n - p if n > p else 1
-    return out
+    return tuple(max(1, -(-n // c), 0 if least is None else min(m, max(1, n))) for n, c, m in zip(shape, launch, least or [0] * len(shape)))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import types as T
@@ -45,14 +45,13 @@ def file_size(path: str) -> int:
 
 
 def read_chunks(spark: SparkSession, t: T.ElementType, shape: Sequence[int], chunks: list[tuple], load: Callable[..., np.ndarray]) -> Store:
-    """A store from chunks (origin, extents, what load needs): each is loaded by the task that needs it. Cells beyond the shape are cut off."""
+    """A store from chunks (origin, extents, what load needs): each is loaded by the task that needs it, and a view that cuts or projects loads
+    only the chunks that it meets. Cells beyond the shape are cut off."""
     n, out = len(shape), create_store(spark, t, shape)
     names = coords(n)
     schema = ", ".join([*(f"{c} bigint" for c in names), f"v {t.spark}"])
     if not chunks or not math.prod(shape):
         return out.replace(spark.createDataFrame([], schema))
-    wanted = spark.createDataFrame(pa.table({"origin": pa.array([list(map(int, c[0])) for c in chunks], pa.list_(pa.int64())), "size": pa.array([list(map(int, c[1])) for c in chunks], pa.list_(pa.int64())), "what": pa.array([repr(c[2:]) for c in chunks])}))
-    wanted = wanted.repartition(min(len(chunks), max(spark.sparkContext.defaultParallelism, len(chunks) // 4)))
     limits = tuple(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +68,16 @@ def read_chunks(spark: SparkSession, t: T.ElementType, shape: Sequence[int], chu
                     at = np.unravel_index(np.arange(k, k + len(part)), a.shape)
                     yield pa.RecordBatch.from_arrays([*(pa.array(x + o, pa.int64()) for x, o in zip(at, row["origin"])), _to_arrow(part, t)], names=[*names, "v"])
 
-    return out.replace(wanted.mapInArrow(run, schema))
+    def rows(some: list[tuple]) -> DataFrame:
+        wanted = spark.createDataFrame(pa.table({"origin": pa.array([list(map(int, c[0])) for c in some], pa.list_(pa.int64())), "size": pa.array([list(map(int, c[1])) for c in some], pa.list_(pa.int64())), "what": pa.array([repr(c[2:]) for c in some])}))
+        return wanted.repartition(min(len(some), max(spark.sparkContext.defaultParallelism, len(some) // 4))).mapInArrow(run, schema)
+
+    def met(box: list[tuple[int, int]]) -> DataFrame:
+        return rows([c for c in chunks if all(o <= hi and lo < o + n for o, n, (lo, hi) in zip(c[0], c[1], box))])
+
+    out.replace(rows(chunks))
+    out.root.read = met
+    return out
 
 
 def write_chunks(store: Store, tile: Sequence[int], save: Callable[[np.ndarray, tuple[int, ...]], None], pad: bool = False) -> int:

@@ -7,6 +7,7 @@ import os
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 from ..functions import types as T
@@ -29,6 +30,8 @@ def to_file(path: str, store: Store) -> None:
     if store.ndim != 1:
         raise ValueError("only 1-D stores go to one file")
     fs, where = filesystem(path)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        raise ValueError(f"{path}: tasks write into one file, which needs a shared POSIX folder")
     fs.create_dir(where.rpartition("/")[0] or ".", recursive=True)
     size = store.type.size
     with open(where, "wb") as f:

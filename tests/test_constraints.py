@@ -105,8 +105,10 @@ def test_tile_planner():
     assert tiles.launch_shape((10,), 8) == (1,)
     assert tiles.launch_shape((1 << 20,), 8) == (8,) and tiles.tile_shape((1 << 20,), (8,)) == (1 << 17,)
     assert tiles.launch_shape((1 << 10, 1 << 10), 16) == (4, 4)
-    assert np.prod(tiles.launch_shape((1 << 20, 8), 12)) == 12 and tiles.launch_shape((1 << 20, 8), 12)[1] == 1
+    assert tiles.launch_shape((1 << 20, 8), 12) == (16, 1)
+    for shape in ((1 << 33,), (3_000_001, 700), (5, 1 << 30)):  # a tile is bounded by its cells, whatever the number of tasks
+        tile = tiles.tile_shape(shape, tiles.launch_shape(shape, 8))
+        assert tiles.CELLS // 4 < np.prod(tile) <= tiles.CELLS
     assert tiles.tile_shape((100, 10), (10, 1), (30, 5)) == (30, 10)
     with pytest.raises(ValueError):
         tiles.tile_shape((100, 10), (10, 1), (30,))
-    assert tiles.most_tiles(8) == 1024

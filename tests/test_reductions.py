@@ -11,7 +11,7 @@ NUMPY = {Kind.ADD: np.add, Kind.MUL: np.multiply, Kind.MAX: np.maximum, Kind.MIN
 
 
 @pytest.mark.parametrize("kind", list(Kind))
-@pytest.mark.parametrize("t", ["bool", "int8", "int32", "int64", "uint8", "uint32", "float32", "float64", "complex64", "complex128"])
+@pytest.mark.parametrize("t", ["bool", "int8", "int32", "int64", "uint8", "uint32", "uint64", "float32", "float64", "complex64", "complex128"])
 def test_kinds_and_types(spark, kind, t):
     t = T.primitive(t)
     if not supported(kind, t):
@@ -31,6 +31,14 @@ def test_kinds_and_types(spark, kind, t):
     assert np.allclose(out.astype(want.dtype), want, rtol=1e-5)
 
 
+def test_bits_of_large_unsigned_numbers(spark):
+    a = np.array([[2**64 - 1, 2**63 + 5, 0], [2**40 + 1, 2**63 + 9, 2**64 - 2]], np.uint64)
+    for kind in (Kind.OR, Kind.AND, Kind.XOR):
+        r = lookup(kind, T.uint64)
+        out = A.reduce(A.rows_of(from_numpy(spark, a)), create_store(spark, T.uint64, (3,)).fill(r.identity), kind).to_numpy()
+        assert (out == NUMPY[kind].reduce(a)).all()
+
+
 def test_fixtures(spark):
     five = from_numpy(spark, np.arange(1, 6))
     assert A.reduce(five, from_scalar(spark, 1), "plus").scalar() == 16

@@ -80,3 +80,24 @@ def test_collectives(spark):
     assert sorted(r["rank"] for r in collectives.barrier(df, 4).collect()) == [0, 1, 2, 3]
     with pytest.raises(Unsupported):
         collectives.all_reduce(df, 3, ["v"], Kind.XOR, T.float64)
+
+
+def test_collectives_inside_tasks(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators.collectives import launched_together
+
+    def talk(c, rows):
+        own = rows["x"].to_numpy()
+        c.barrier()
+        all_ = c.all_gather(own)
+        mine = c.all_to_all([np.array([c.rank * 10 + k]) for k in range(c.size)])
+        total = c.all_reduce(np.array([own.sum(), c.rank]), Kind.ADD)
+        return pa.table({"rank": [c.rank], "sizes": [[len(a) for a in all_]], "mine": [[int(x[0]) for x in mine]], "total": [int(total[0])], "ranks": [int(total[1])]})
+
+    df = spark.range(10).selectExpr("cast(case when id < 7 then id % 2 else 3 end as int) as rank", "id as x")
+    got = sorted(launched_together(df, 4, talk, "rank long, sizes array<long>, mine array<long>, total long, ranks long").collect())
+    assert [r["rank"] for r in got] == [0, 1, 2, 3]
+    for k, r in enumerate(got):
+        assert r.sizes == [4, 3, 0, 3] and r.mine == [10 * j + k for j in range(4)] and (r.total, r.ranks) == (45, 6)

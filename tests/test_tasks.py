@@ -230,3 +230,19 @@ def test_scopes_fences_and_clocks(spark):
     first = timestamp(spark, spark.range(3))
     fence(spark, spark.range(3), block=True)
     assert timestamp(spark, unit="us") >= first
+
+
+def test_failures_of_one_launch_are_joined(spark):
+    @K.task(throws=True)
+    def picky(x: K.InputStore, out: K.OutputStore):
+        if x.array[0] in (2, 6):
+            raise ValueError(f"no {x.array[0]}")
+        out.array[:] = x.array
+
+    call = K.ManualTask(picky, (4,))
+    x, out = from_numpy(spark, np.arange(8)), create_store(spark, T.int64, (8,))
+    call.add_input("x", x.partition_by_tiling((2,)))
+    call.add_output("out", out.partition_by_tiling((2,)))
+    with pytest.raises(K.TaskFailures) as e:
+        call.execute()
+    assert e.value.failures == [((1,), "ValueError: no 2"), ((3,), "ValueError: no 6")] and e.value.total == 2
