@@ -39,7 +39,7 @@ NEIGHBOURS, SHRINK = 25, 0.5
 BLOCK, HEAD_PART, MOST_HEAD, FIRST_BLOCKS = 64, 20, 512, 4
 HELD_OUT_OF, HELD_OUT, CUT = 4, 2, 0.3
 #: Characters of text whose features are in memory at a time, and texts that are compared with the examples at a time.
-STEP, TEXTS = 1 << 20, 128
+STEP, TEXTS = 1 << 20, 64
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def held_out(id_col: str) -> Column:
 
 
 class Examples:
-    """The labelled examples as vectors and in an index."""
+    """The labelled examples as vectors and in an index. A task makes them for itself, so that an idle worker holds only the recipe."""
 
     def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> None:
         self.space, self.own = space, space.vectors(start, feature, n)
@@ -206,7 +206,7 @@ class Examples:
 
 
 class Recipe:
-    """What the driver has of the examples, and sends: the counts of their features. It becomes Examples where it arrives.
+    """What the driver has of the examples, and sends: the counts of their features.
 
     The examples come in an order that puts those that resemble each other into one block.
     """
@@ -228,12 +228,9 @@ class Recipe:
         self.labels = labels[order]
         self.given = space, ids[order], self.labels, np.concatenate([[0], np.cumsum(size)]), press(feature[at]), press(n[at])
 
-    def __reduce__(self) -> tuple:
-        return _examples, self.given
-
-
-def _examples(space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: bytes, n: bytes) -> Examples:
-    return Examples(space, ids, labels, start, unpress(feature, np.int32), unpress(n, "<u4"))
+    def examples(self) -> Examples:
+        space, ids, labels, start, feature, n = self.given
+        return Examples(space, ids, labels, start, unpress(feature, np.int32), unpress(n, "<u4"))
 
 
 @dataclass
@@ -244,10 +241,12 @@ class Model:
     at: np.ndarray
     rates: np.ndarray
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        if self.sent is None:
+    def examples(self) -> Examples | None:
+        return self.sent and self.sent.value.examples()
+
+    def score(self, examples: Examples | None, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        if examples is None:
             return [(self.empty_rate, [])] * len(texts)
-        examples = self.sent.value
         v = examples.space.vectors(*examples.space.counts(texts))
         some = (np.diff(v.start) > 0).tolist()
         return [(float(np.interp(vote, self.at, self.rates)), evidence) if known else (self.empty_rate, []) for known, (vote, evidence) in zip(some, examples.index.votes(v, examples.space.base))]
@@ -306,10 +305,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def leave_one_out(spark: SparkSession, sent: Broadcast, n: int) -> np.ndarray:
     """Each example's vote by the others, in tasks of a few hundred."""
-    step = 4 * TEXTS
+    step = 16 * TEXTS
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = sent.value
+        e = sent.value.examples()
         for rows in parts:
             for a in rows["id"].tolist():
                 at = np.arange(a, min(a + step, n))
@@ -327,9 +326,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col, label_col, sample)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        examples = model.examples()
         for rows in parts:
             for some in steps(rows, "text", STEP):
-                said = model.score([string(t) for t in some.text])
+                said = model.score(examples, [string(t) for t in some.text])
                 yield pd.DataFrame({"id": some["id"].to_numpy(), "held_out": some.held_out.to_numpy(), "text": some.text.to_numpy() if keep_text else None, "score": [s for s, _ in said], "evidence": [e for _, e in said]})
 
     kind = docs.schema[id_col].dataType.simpleString()
