@@ -34,7 +34,7 @@ DIFFERING = 13
 #: Rounds that link classes to pivots before pairs are made; their number changes the cost, not the result.
 ROUNDS = 2
 #: Classes of a group that are compared with each other in one key of the last join.
-BLOCK = 256
+BLOCK = 1024
 #: A table of at most this size (counted rows times bytes a row) is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: After the band's number in the top three bits; any constants do.
@@ -109,7 +109,7 @@ def occurrences(lines: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (p, id), those whose full sets are similar enough."""
-    both = pairs.join(texts.select(F.col("id").alias("p"), F.col("units").alias("units_p")), "p").join(texts, "id")
+    both = pairs.join(as_other(texts), "p").join(texts, "id").select("p", "id", code_units(F.col("line_p")).alias("units_p"), code_units(F.col("line")).alias("units"))
     both = both.withColumn("x", shingle_set(F.col("units_p"))).withColumn("y", shingle_set(F.col("units")))
     return both.where(similar("x", "y", PERCENT)).select(F.col("p").alias("a"), F.col("id").alias("b"))
 
@@ -119,18 +119,31 @@ def as_other(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else "p" if c == "id" else f"{c}_p") for c in df.columns])
 
 
-def close_within(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members (key, id, component, s0, s1, keys) that stand in the same group, in different components, and whose sets (of 32-bit hashes)
-    are similar: each pair at the first key that it shares. Blocks of a group meet two by two."""
+def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members twice, with x and y, so that in a join by key, x and y all blocks of a group meet two by two."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     left = own.withColumn("y", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1))).drop("blocks")
     right = own.withColumnRenamed("x", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y")))).drop("blocks")
-    apart = (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING) & ((F.col("x") < F.col("y")) | (F.col("p") < F.col("id")))
-    near = left.join(as_other(right, "key", "x", "y"), ["key", "x", "y"]).where(apart)
-    near = near.where(F.array_min(F.array_intersect("keys", "keys_p")) == F.col("key")).select("p", "id")
-    both = near.join(as_other(sets), "p").join(sets, "id")
-    return both.where(similar("set", "set_p", PERCENT - 1)).select("p", "id")
+    return left, as_other(right, "key", "x", "y")
+
+
+def close_within(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of members (key, id, component) that stand in the same group, in different components, and whose sets (of 32-bit hashes) are
+    similar: each pair at the first key that it shares. The join gives only those."""
+    apart = (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING)
+    marked = members.join(near.select("id", "s0", "s1"), "id").select("key", "id", "component", "s0", "s1")
+    left, right = in_blocks(marked)
+    place = ["key", "x", "y"]
+    at = [left[c] == right[c] for c in place]
+    met = [left.join(right, [*at, apart, F.col("p") != F.col("id")], "left_semi").select("id")]
+    met.append(right.join(left, [*at, apart, F.col("p") != F.col("id")], "left_semi").select(F.col("p").alias("id")))
+    open_ = stage(met[0].union(met[1]).distinct(), "line-open")  # those with a candidate at all
+    sets = stage(texts.join(open_, "id", "left_semi").select("id", code_units(F.col("line")).alias("units")).select("id", shingle_set(F.col("units"), F.hash).alias("set")), "line-sets")
+    left, right = in_blocks(marked.join(near.select("id", "keys"), "id").join(sets, "id"))
+    once = ((left["x"] < left["y"]) | (F.col("p") < F.col("id"))) & (F.array_min(F.array_intersect("keys", "keys_p")) == left["key"])
+    alike = (F.lit(100) * F.least(F.size("set"), F.size("set_p")) >= F.lit(PERCENT - 1) * F.greatest(F.size("set"), F.size("set_p"))) & similar("set", "set_p", PERCENT - 1)
+    return left.join(right, [*[left[c] == right[c] for c in place], apart, once, alike]).select("p", "id")
 
 
 def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -144,7 +157,7 @@ def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
     n_wanted = wanted.count()
     near = stage(sigs.withColumnRenamed("a", "id").join(if_small(wanted, n_wanted, 24), "id", "left_semi"), "line-near")
     texts = lines.select(F.col("a").alias("id"), "line").join(if_small(wanted, n_wanted, 24), "id", "left_semi")
-    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")).select("id", code_units(F.col("line")).alias("units")), "line-texts")
+    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
     marks = near.select("id", "s0", "s1")
     two = two.join(as_other(marks), "p").join(marks, "id").where(differing("_p") <= DIFFERING).select("p", "id")
     members = held.join(near.select("id", "often", "s0", "s1"), "id")
@@ -158,9 +171,7 @@ def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
             pairs = members.join(other, "key").where((F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING)).select("p", "id")
             pairs = pairs.union(two) if turn == 0 else pairs
         else:
-            open_ = members.select("id").distinct()
-            sets = stage(texts.join(open_, "id", "left_semi").select("id", shingle_set(F.col("units"), F.hash).alias("set")), "line-sets")
-            pairs = close_within(members.select("key", "id", "component", "s0", "s1").join(near.select("id", "keys"), "id"), sets)
+            pairs = close_within(members.select("key", "id", "component"), near, texts)
         pairs = pairs.select(F.least("p", "id").alias("p"), F.greatest("p", "id").alias("id")).distinct()
         found = stage(confirmed(pairs, texts), "line-links")
         links = found if links is None else links.union(found)
