@@ -109,7 +109,7 @@ def occurrences(lines: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (p, id), those whose full sets are similar enough."""
-    both = pairs.join(as_other(texts), "p").join(texts, "id").select("p", "id", code_units(F.col("line_p")).alias("units_p"), code_units(F.col("line")).alias("units"))
+    both = pairs.join(as_other(texts), "p").join(texts, "id")
     both = both.withColumn("x", shingle_set(F.col("units_p"))).withColumn("y", shingle_set(F.col("units")))
     return both.where(similar("x", "y", PERCENT)).select(F.col("p").alias("a"), F.col("id").alias("b"))
 
@@ -132,18 +132,14 @@ def close_within(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataF
     """Pairs of members (key, id, component) that stand in the same group, in different components, and whose sets (of 32-bit hashes) are
     similar: each pair at the first key that it shares. The join gives only those."""
     apart = (F.col("component") != F.col("component_p")) & (differing("_p") <= DIFFERING)
-    marked = members.join(near.select("id", "s0", "s1"), "id").select("key", "id", "component", "s0", "s1")
-    left, right = in_blocks(marked)
+    sets = stage(texts.join(members.select("id").distinct(), "id", "left_semi").select("id", shingle_set(F.col("units"), F.hash).alias("set")), "line-sets")
+    marked = members.join(near.select("id", "s0", "s1", "keys"), "id").select("key", "id", "component", "s0", "s1", "keys")
+    left, right = in_blocks(marked.join(sets, "id"))
     place = ["key", "x", "y"]
     at = [left[c] == right[c] for c in place]
-    met = [left.join(right, [*at, apart, F.col("p") != F.col("id")], "left_semi").select("id")]
-    met.append(right.join(left, [*at, apart, F.col("p") != F.col("id")], "left_semi").select(F.col("p").alias("id")))
-    open_ = stage(met[0].union(met[1]).distinct(), "line-open")  # those with a candidate at all
-    sets = stage(texts.join(open_, "id", "left_semi").select("id", code_units(F.col("line")).alias("units")).select("id", shingle_set(F.col("units"), F.hash).alias("set")), "line-sets")
-    left, right = in_blocks(marked.join(near.select("id", "keys"), "id").join(sets, "id"))
     once = ((left["x"] < left["y"]) | (F.col("p") < F.col("id"))) & (F.array_min(F.array_intersect("keys", "keys_p")) == left["key"])
     alike = (F.lit(100) * F.least(F.size("set"), F.size("set_p")) >= F.lit(PERCENT - 1) * F.greatest(F.size("set"), F.size("set_p"))) & similar("set", "set_p", PERCENT - 1)
-    return left.join(right, [*[left[c] == right[c] for c in place], apart, once, alike]).select("p", "id")
+    return left.join(right, [*at, apart, once, alike]).select("p", "id")
 
 
 def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -157,7 +153,7 @@ def linked(lines: DataFrame, sigs: DataFrame) -> DataFrame:
     n_wanted = wanted.count()
     near = stage(sigs.withColumnRenamed("a", "id").join(if_small(wanted, n_wanted, 24), "id", "left_semi"), "line-near")
     texts = lines.select(F.col("a").alias("id"), "line").join(if_small(wanted, n_wanted, 24), "id", "left_semi")
-    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")).select("id", code_units(F.col("line")).alias("units")), "line-texts")
     marks = near.select("id", "s0", "s1")
     two = two.join(as_other(marks), "p").join(marks, "id").where(differing("_p") <= DIFFERING).select("p", "id")
     members = held.join(near.select("id", "often", "s0", "s1"), "id")
