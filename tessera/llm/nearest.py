@@ -7,7 +7,7 @@ estimated success: the sum of squared distances to the walls that the perturbati
 ranked by their exact inner product in double precision.
 
 The number of directions, the width and the number of probes are fitted on at most SAMPLE vectors and TRIAL queries: the fewest
-probes that find AIM of the sample's own nearest neighbours (which are farther than the table's, so harder). Every vector is
+probes that find AIM of the trial queries' nearest neighbours in the band's sample (which are farther than the table's, so harder). Every vector is
 indexed. A query that finds fewer than `k` candidates is compared with all vectors, in blocks of queries; so are all queries where
 MOST_PROBES don't find AIM.
 
@@ -75,13 +75,12 @@ class Hashing:
         return cell + np.stack(np.unravel_index(best, (len(moves),) * DIRECTIONS), 1) - FAR
 
 
-def fit_probes(h: Hashing, sample: np.ndarray, k: int) -> int | None:
-    """Probes a table so that AIM of the sample's own neighbours are met in some table; None if MOST_PROBES don't get there."""
+def fit_probes(h: Hashing, sample: np.ndarray, ids: np.ndarray, trial: np.ndarray, trial_ids: np.ndarray, k: int) -> int | None:
+    """Probes a table so that AIM of the trial queries' neighbours in the sample are met in some table; None if MOST_PROBES don't get there."""
     if len(sample) < 2:
         return 1
-    trial = sample[: TRIAL]
     near = trial @ sample.T
-    near[np.arange(len(trial)), np.arange(len(trial))] = -np.inf
+    near[trial_ids[:, None] == ids[None, :]] = -np.inf
     k = min(k, len(sample) - 1)
     best = np.argpartition(-near, k - 1, axis=1)[:, :k]
     keys, spots = h.keys(np.floor(h.spots(sample, False)).astype(np.int64)), h.spots(trial, True)
@@ -175,10 +174,12 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, every: int, k: int) ->
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     plan: dict[int, dict[int, tuple[Hashing, int, int]]] = {}
     exact = set()
+    trials = {d: entries.where(F.col("dim") == d).select("id", "x").orderBy(F.xxhash64("id", F.lit(3))).limit(TRIAL).toPandas() for d in {r.dim for r in shapes}}
     for r in shapes:
         h = Hashing(r.dim, r.norm)
         own = entries.where((F.col("dim") == r.dim) & (F.col("band") == r.band)).select("id", "x").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
-        probes = fit_probes(h, matrix(own.x), k)
+        trial = trials[r.dim]
+        probes = fit_probes(h, matrix(own.x), own["id"].to_numpy(), matrix(trial.x), trial["id"].to_numpy(), k)
         if probes is None:  # all queries of this length go the exact way
             exact.add(r.dim)
         plan.setdefault(r.dim, {})[r.band] = (h, probes, 1 + r.n // PER_GROUP)
