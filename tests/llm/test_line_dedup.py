@@ -99,3 +99,38 @@ def test_short_pairs_just_at_the_bound_are_found(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = sum(r.n_removed for r in line_dedup(df).collect())
     assert found >= 996, found
+
+
+def test_shuffle_files_go_while_it_runs(spark):
+    import time
+
+    from tessera.llm import common
+    from tessera.llm import line_dedup as m
+
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    common.sweep(spark)
+    time.sleep(2)
+    before, seen, kept = held(), [], m.stage
+
+    def watched(df, name, blobs=False):
+        seen.append(held())
+        return kept(df, name, blobs)
+
+    m.stage = watched
+    try:
+        m.dropped(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
+    finally:
+        m.stage = kept
+    time.sleep(2)
+    assert held() <= before + 8 and max(seen) <= before + 60, (before, seen, held())
+
+
+def test_the_last_round_shuffles_two_bytes_a_shingle(spark):
+    from tessera.llm import line_dedup as m
+
+    line = "".join(chr(97 + k * k % 23) for k in range(3000))
+    units = spark.createDataFrame([(line,)], "line string").select(m.code_units(F.col("line")).alias("units"))
+    got = units.select(m.shingle_set(F.col("units")).alias("full"), m.shingle_set(F.col("units"), m.short_hash).alias("set"))
+    assert dict(got.dtypes)["set"] == "array<smallint>"
+    row = got.first()
+    assert len(row.full) == len({line[k : k + 8] for k in range(len(line) - 7)}) >= len(row["set"])
