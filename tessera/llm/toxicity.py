@@ -21,6 +21,7 @@ of equally near examples the smaller id is nearer; other columns play no part, w
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +41,8 @@ BLOCK, HEAD_PART, MOST_HEAD, FIRST_BLOCKS = 64, 20, 512, 4
 HELD_OUT_OF, HELD_OUT, CUT = 4, 2, 0.3
 #: Characters of text whose features are in memory at a time, and texts that are compared with the examples at a time.
 STEP, TEXTS = 1 << 20, 64
+#: Entries of posting lists that are in memory at a time (some 50 bytes each), unless a single text asks for more.
+POSTINGS = 1 << 19
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,14 +155,26 @@ class Index:
                 open_ = (bound >= least[:, None] - 1e-9) & ~done
         return out
 
+    def cuts(self, v: Vectors) -> list[int]:
+        """Bounds of runs of rows that are compared at a time: TEXTS rows or POSTINGS entries at most, one row at least."""
+        many = np.where(self.head[v.feature] < 0, self.start[v.feature + 1] - self.start[v.feature], 0)
+        total = np.concatenate([[0], np.cumsum(many)])[v.start]
+        out = [0]
+        while out[-1] < len(v):
+            a = out[-1]
+            b = int(np.searchsorted(total, total[a] + POSTINGS, "right")) - 1
+            out.append(max(a + 1, min(a + TEXTS, b, len(v))))
+        return out
+
     def nearest(self, v: Vectors, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each row, examples with the k largest cosines above 0 (ties to the smaller id) and the cosines."""
         out = []
         if not self.n_blocks:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(v)
-        for a in range(0, len(v), TEXTS):
-            some = v.rows(a, min(a + TEXTS, len(v)))
-            cosine = self.cosines(some, k, None if without is None else without[a : a + TEXTS]).round(12)
+        cuts = self.cuts(v)
+        for a, b in zip(cuts, cuts[1:]):
+            some = v.rows(a, b)
+            cosine = self.cosines(some, k, None if without is None else without[a:b]).round(12)
             least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1] if k <= cosine.shape[1] else np.full(len(some), -1.0)
             for row, x in zip(cosine, least.tolist()):
                 at = np.flatnonzero(row >= max(x, 1e-12))
@@ -193,6 +208,13 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, base: float) -> tuple[np.nda
     return np.array([p[0] for p in pools]), np.array([(p[1] + base) / (p[2] + 1) for p in pools])
 
 
+def forget_encoders() -> None:
+    """Workers serve one stage after the other: what an encoder has remembered in this one goes before the index comes."""
+    for name in ("bpe", "token_files"):
+        if found := sys.modules.get(f"{__package__}.{name}"):
+            found._made.clear()
+
+
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(HELD_OUT_OF)) == HELD_OUT, F.lit(False))
 
@@ -204,6 +226,11 @@ class Examples:
         self.space, self.own = space, space.vectors(start, feature, n)
         self.index = Index(ids, labels, self.own, len(space.keys))
 
+    def scoring(self) -> Examples:
+        """Without the vectors themselves, which only leave-one-out votes ask for."""
+        del self.own
+        return self
+
 
 class Recipe:
     """What the driver has of the examples, and sends: the counts of their features.
@@ -242,7 +269,7 @@ class Model:
     rates: np.ndarray
 
     def examples(self) -> Examples | None:
-        return self.sent and self.sent.value.examples()
+        return self.sent and self.sent.value.examples().scoring()
 
     def score(self, examples: Examples | None, texts: list[str | None]) -> list[tuple[float, list[int]]]:
         if examples is None:
@@ -308,6 +335,7 @@ def leave_one_out(spark: SparkSession, sent: Broadcast, n: int) -> np.ndarray:
     step = 16 * TEXTS
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_encoders()
         e = sent.value.examples()
         for rows in parts:
             for a in rows["id"].tolist():
@@ -326,6 +354,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col, label_col, sample)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_encoders()
         examples = model.examples()
         for rows in parts:
             for some in steps(rows, "text", STEP):

@@ -138,3 +138,32 @@ def test_odd_rows(spark):
     assert by[500].score == by[501].score and abs(by[500].score - np.mean(taught)) < 1e-9 and not by[500].evidence  # no such example: the base rate
     assert {r.score for r in toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_texts_are_compared_in_runs_of_few_postings(monkeypatch):
+    import numpy as np
+
+    from tessera.llm import bpe
+    from tessera.llm import toxicity as m
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 400)) for _ in range(90)]
+    space = m.Space(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 90, 9)
+    keys, n = np.unique(np.concatenate([np.unique(m.features([t])[1]) for t in texts]), return_counts=True)
+    space = m.Space(keys, n.astype(float), np.minimum(n, 2).astype(float), 90, 9)
+    examples = m.Examples(space, np.arange(90), np.arange(90) % 10 == 0, *space.counts(texts))
+    v = examples.own
+    many = np.where(examples.index.head[v.feature] < 0, np.diff(examples.index.start)[v.feature], 0)
+    whole = examples.index.votes(v, space.base)
+    monkeypatch.setattr(m, "POSTINGS", 20_000)
+    cuts, asked, kept = examples.index.cuts(v), [], m.Index.cosines
+    monkeypatch.setattr(m.Index, "cosines", lambda self, some, *a: asked.append(len(some)) or kept(self, some, *a))
+    assert examples.index.votes(v, space.base) == whole
+    assert sum(asked) == 90 and len(asked) > 2 and cuts == [0, *np.cumsum(asked).tolist()]
+    assert all(b - a == 1 or many[v.start[a] : v.start[b]].sum() <= 20_000 for a, b in zip(cuts, cuts[1:]))
+    monkeypatch.setattr(m, "POSTINGS", 1)
+    assert examples.index.votes(v, space.base) == whole
+    assert examples.index.votes(v.rows(0, 0), space.base) == []
+    bpe._made["path", True] = "an encoder's memory"
+    m.forget_encoders()
+    assert not bpe._made and not hasattr(examples.scoring(), "own")
