@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from .common import ready, steps, string, table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; beyond it the memory starts anew (results don't depend on it).
 REMEMBERED = 250_000
+NO_RANK = 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -92,6 +94,8 @@ class Encoder:
 
     def __init__(self, path: str, special: bool = True) -> None:
         self.vocabulary = v = Vocabulary(path)
+        self.rank_of = {pair: rank for pair, (rank, _) in v.merges.items()}
+        self.made_by = dict(v.merges.values())
         self.lookahead = v.lookahead()
         self.window = 4 * self.lookahead
         self.find = regex.compile(PIECES).findall
@@ -101,23 +105,20 @@ class Encoder:
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one piece, all of it at hand."""
-        of_byte, merges = self.vocabulary.of_byte, self.vocabulary.merges
+        of_byte = self.vocabulary.of_byte
         ids = [of_byte[b] for b in data]
         if len(ids) > 64:
             return self.merge_long(ids)
-        get = merges.get
-        while len(ids) > 1:
-            best, where, to = 1 << 60, -1, 0
-            left = ids[0]
-            for k in range(1, len(ids)):
-                right = ids[k]
-                if (found := get((left, right))) and found[0] < best:
-                    best, to = found
-                    where = k
-                left = right
-            if where < 0:
-                break
-            ids[where - 1 : where + 1] = [to]
+        get, made = self.rank_of.get, self.made_by
+        ranks = [get(x, NO_RANK) for x in zip(ids, ids[1:])]  # of each symbol with the next; a merge changes two of them
+        while ranks and (best := min(ranks)) < NO_RANK:
+            k = ranks.index(best)
+            ids[k : k + 2] = [made[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), NO_RANK)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), NO_RANK)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
@@ -163,7 +164,16 @@ class Encoder:
     def piece(self, text: str) -> bytes:
         data = text.encode("utf-8", "replace")
         ids = self.merge(data) if len(data) <= self.window else list(self.stream(iter([data])))
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def remembered(self, piece: str) -> bytes:
+        """A piece's ids; pieces recur in many stretches (a word before a comma, a number, the comma itself)."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.piece(piece)
+            if len(piece) < 64:
+                self.known[piece] = ids
+        return ids
 
     def segment(self, text: str) -> bytes:
         """Ids (little-endian, 32 bits each) of a text without added tokens."""
@@ -180,8 +190,9 @@ class Encoder:
         for p in parts:
             ids = known.get(p)
             if ids is None:
-                ids = b"".join(map(self.piece, self.find(p)))
-                if len(p) < 64:
+                pieces = self.find(p)
+                ids = b"".join(map(self.remembered, pieces))
+                if len(p) < 64 and len(pieces) > 1:
                     known[p] = ids
             out.append(ids)
         return b"".join(out)

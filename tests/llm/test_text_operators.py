@@ -301,3 +301,42 @@ def test_bpe_of_null_ids_and_repeated_rows(spark, path, tokenizer):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens")
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in encode_documents(df.drop("n_tokens"), path).collect()))
     assert got == sorted((i is None, i or 0, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+
+def test_merges_against_the_plain_loop_and_pieces_remembered(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    from tessera.llm.bpe import Encoder
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def plain(data):
+        ids = [e.vocabulary.of_byte[b] for b in data]
+        while len(ids) > 1:
+            found = [(e.vocabulary.merges[x], k) for k, x in enumerate(zip(ids, ids[1:])) if x in e.vocabulary.merges]
+            if not found:
+                break
+            (_, to), k = min((f[0], k, f[1]) and ((f[0], f[1]), k) for f, k in found)
+            ids[k : k + 2] = [to]
+        return ids
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        data = "".join(rng.choice("aaabbeinorst thé's,.0011日") for _ in range(rng.randrange(1, 22))).encode()
+        assert e.merge(data) == plain(data)
+    assert e.merge(b"") == [] and e.merge(b"aaaaaaaaa") == plain(b"aaaaaaaaa")
+
+    merged, kept = [], Encoder.merge
+    monkeypatch.setattr(Encoder, "merge", lambda self, data: merged.append(data) or kept(self, data))
+    e.known.clear()
+    texts = ["word", " word", "a word, a word; a word: word's (word) word  word\n\nword ''s 's", "x word, word'sx\n x"]
+    got = [e.encode(t) for t in texts]
+    assert len(merged) == len(set(merged))
+    monkeypatch.undo()
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert got == want and [e.encode(t) for t in texts] == want
