@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, press, ready, stage, steps, string, table, unpress
+from .common import Words, give_back, mix, press, ready, stage, steps, string, table, unpress
 from .decontaminate import _SEPARATORS as SEPARATORS
 
 SAMPLE, LEAST_DOCS, STEM = 8_000, 2, 5
@@ -41,8 +41,9 @@ BLOCK, HEAD_PART, MOST_HEAD, FIRST_BLOCKS = 64, 20, 512, 4
 HELD_OUT_OF, HELD_OUT, CUT = 4, 2, 0.3
 #: Characters of text whose features are in memory at a time, and texts that are compared with the examples at a time.
 STEP, TEXTS = 1 << 20, 64
-#: Entries of posting lists that are in memory at a time (some 50 bytes each), unless a single text asks for more.
-POSTINGS = 1 << 19
+#: Entries of posting lists that the texts compared at a time ask for, unless a single text asks for more, and those in memory at a time
+#: (some 40 bytes each), unless a single list has more.
+POSTINGS, SUMMED = 1 << 23, 1 << 16
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +76,13 @@ class Vectors:
         return np.repeat(np.arange(len(self)), np.diff(self.start))
 
 
+def transposed(v: Vectors, size: int) -> Vectors:
+    """A row for each of `size` features, which holds v's rows in order, and their weights."""
+    order = np.argsort(v.feature, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(v.feature, minlength=size))])
+    return Vectors(start, v.owner().astype(np.uint16 if len(v) <= 1 << 16 else np.int32)[order], v.weight[order])
+
+
 class Space:
     """The vocabulary: sorted feature hashes and their weights, from the numbers of texts (with label 1) that hold them."""
 
@@ -103,30 +111,63 @@ class Space:
         owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
         return Vectors(start, feature, weight / np.sqrt(np.bincount(owner, weight * weight, len(start) - 1))[owner])
 
+    def lists(self, start: np.ndarray, owner: np.ndarray, n: np.ndarray, rows: int) -> Vectors:
+        """vectors() transposed, from each feature's rows and how often it stands in them."""
+        weight = np.log(n)
+        weight += 1
+        weight *= np.repeat(self.weight, np.diff(start))
+        weight /= np.sqrt(np.bincount(owner, weight * weight, rows))[owner]
+        return Vectors(start, owner, weight)
+
 
 def _space(keys: bytes, n_texts: bytes, n_label: bytes, n: int, n1: int) -> Space:
     return Space(np.frombuffer(keys, np.uint64), unpress(n_texts, "<u4").astype(float), unpress(n_label, "<u4").astype(float), n, n1)
 
 
 class Index:
-    """The examples' posting lists; frequent features (the head) by block, with their largest weight in each."""
+    """The examples' posting lists; frequent features (the head) by block, with their largest weight in each.
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, own: Vectors, size: int) -> None:
-        seen = np.bincount(own.feature, minlength=size)
+    lists: `own` transposed, for those who have it.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, own: Vectors | None, size: int, lists: Vectors | None = None) -> None:
+        lists = lists or transposed(own, size)
+        seen = np.diff(lists.start)
         head = np.argsort(-seen, kind="stable")[:MOST_HEAD]
         head = head[seen[head] * HEAD_PART > len(ids)]
         self.head = np.full(size, -1, np.int32)
         self.head[head] = np.arange(len(head))
         self.n_blocks = -(-len(ids) // BLOCK)
         self.ids, self.labels = ids, labels.astype(float)
-        owner, place = own.owner(), self.head[own.feature]
         self.dense = np.zeros((self.n_blocks * BLOCK, len(head)))
-        self.dense[owner[place >= 0], place[place >= 0]] = own.weight[place >= 0]
+        for k, f in enumerate(head.tolist()):
+            at = slice(lists.start[f], lists.start[f + 1])
+            self.dense[lists.feature[at], k] = lists.weight[at]
         self.most = self.dense.reshape(self.n_blocks, BLOCK, len(head)).max(1) if len(ids) else np.zeros((0, len(head)))
-        tail = np.flatnonzero(place < 0)
-        tail = tail[np.argsort(own.feature[tail], kind="stable")]
-        self.start = np.searchsorted(own.feature[tail], np.arange(size + 1))
-        self.owner, self.weight = owner[tail].astype(np.int32), own.weight[tail]
+        tail = np.repeat(self.head < 0, seen)
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.head < 0, seen, 0))])
+        self.owner, self.weight = lists.feature[tail].astype(np.int32), lists.weight[tail]
+
+    def sums(self, v: Vectors) -> np.ndarray:
+        """What rare features add to the cosines of each row with the examples. Entries are walked SUMMED at a time, in steps that begin
+        anew with each row, so that sums don't depend on what rows stand beside it."""
+        out = np.zeros((len(v), self.n_blocks * BLOCK))
+        for k, (a, b) in enumerate(zip(v.start.tolist(), v.start[1:].tolist())):
+            f, w = v.feature[a:b], v.weight[a:b]
+            lo = self.start[f]
+            many = self.start[f + 1] - lo
+            end = np.cumsum(many)
+            x = done = 0
+            while x < len(f):
+                y = max(x + 1, int(np.searchsorted(end, done + SUMMED, "right")))
+                m, total = many[x:y], int(end[y - 1]) - done
+                at = np.repeat(lo[x:y] - end[x:y] + m + done, m)
+                at += np.arange(total)
+                part = self.weight.take(at)
+                part *= np.repeat(w[x:y], m)
+                out[k] += np.bincount(self.owner.take(at), part, out.shape[1])
+                x, done = y, done + total
+        return out
 
     def cosines(self, v: Vectors, k: int, without: np.ndarray | None = None) -> np.ndarray:
         """Cosines of each row with the examples: exact where they may be among the k largest, -1 where they can't be."""
@@ -134,11 +175,7 @@ class Index:
         owner, place = v.owner(), self.head[v.feature]
         ask = np.zeros((n, self.dense.shape[1]))
         ask[owner[place >= 0], place[place >= 0]] = v.weight[place >= 0]
-        rare = place < 0
-        f, w, o = v.feature[rare], v.weight[rare], owner[rare]
-        many = self.start[f + 1] - self.start[f]
-        at = np.repeat(self.start[f] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        sums = np.bincount(np.repeat(o * width, many) + self.owner[at], np.repeat(w, many) * self.weight[at], n * width).reshape(n, width)
+        sums = self.sums(v)
         bound = sums.reshape(n, self.n_blocks, BLOCK).max(2) + ask @ self.most.T
         out, open_ = np.full((n, width), -1.0), np.zeros((n, self.n_blocks), bool)
         first = min(FIRST_BLOCKS, self.n_blocks)
@@ -209,10 +246,11 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, base: float) -> tuple[np.nda
 
 
 def forget_encoders() -> None:
-    """Workers serve one stage after the other: what an encoder has remembered in this one goes before the index comes."""
+    """Workers serve one stage after the other: what an encoder has remembered in this one goes, back to the system, before the index comes."""
     for name in ("bpe", "token_files"):
         if found := sys.modules.get(f"{__package__}.{name}"):
             found._made.clear()
+    give_back()
 
 
 def held_out(id_col: str) -> Column:
@@ -220,15 +258,31 @@ def held_out(id_col: str) -> Column:
 
 
 class Examples:
-    """The labelled examples as vectors and in an index. A task makes them for itself, so that an idle worker holds only the recipe."""
+    """The labelled examples by feature and in an index. A task makes them for itself, so that an idle worker holds only the recipe.
 
-    def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> None:
-        self.space, self.own = space, space.vectors(start, feature, n)
-        self.index = Index(ids, labels, self.own, len(space.keys))
+    start, feature, n: each example's features and how often they stand in it; by_feature: each feature's examples instead.
+    """
+
+    def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: np.ndarray, n: np.ndarray, by_feature: bool = False) -> None:
+        self.space, self.size = space, len(ids)
+        self.lists = space.lists(start, feature, n, len(ids)) if by_feature else transposed(space.vectors(start, feature, n), len(space.keys))
+        self.index = Index(ids, labels, None, len(space.keys), self.lists)
+
+    def rows(self, a: int, b: int) -> Vectors:
+        """The vectors of the examples a..b-1."""
+        at = np.flatnonzero((self.lists.feature >= a) & (self.lists.feature < b))
+        row = self.lists.feature[at] - a
+        at = at[np.argsort(row, kind="stable")]
+        feature = (np.searchsorted(self.lists.start, at, "right") - 1).astype(np.int32)
+        return Vectors(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]), feature, self.lists.weight[at])
+
+    @property
+    def own(self) -> Vectors:
+        return self.rows(0, self.size)
 
     def scoring(self) -> Examples:
         """Without the vectors themselves, which only leave-one-out votes ask for."""
-        del self.own
+        del self.lists
         return self
 
 
@@ -253,11 +307,12 @@ class Recipe:
         size = np.diff(start)[order]
         at = np.repeat(start[:-1][order] - np.cumsum(size) + size, size) + np.arange(size.sum())
         self.labels = labels[order]
-        self.given = space, ids[order], self.labels, np.concatenate([[0], np.cumsum(size)]), press(feature[at]), press(n[at])
+        lists = transposed(Vectors(np.concatenate([[0], np.cumsum(size)]), feature[at], n[at]), len(space.keys))
+        self.given = space, ids[order], self.labels, press(np.diff(lists.start).astype("<u4")), lists.feature.dtype, press(lists.feature), press(lists.weight)
 
     def examples(self) -> Examples:
-        space, ids, labels, start, feature, n = self.given
-        return Examples(space, ids, labels, start, unpress(feature, np.int32), unpress(n, "<u4"))
+        space, ids, labels, sizes, kind, owner, n = self.given
+        return Examples(space, ids, labels, np.concatenate([[0], np.cumsum(unpress(sizes, "<u4"), dtype=np.int64)]), unpress(owner, kind), unpress(n, "<u4"), by_feature=True)
 
 
 @dataclass
@@ -340,7 +395,7 @@ def leave_one_out(spark: SparkSession, sent: Broadcast, n: int) -> np.ndarray:
         for rows in parts:
             for a in rows["id"].tolist():
                 at = np.arange(a, min(a + step, n))
-                yield pd.DataFrame({"id": at, "vote": [x for x, _ in e.index.votes(e.own.rows(a, a + len(at)), e.space.base, at)]})
+                yield pd.DataFrame({"id": at, "vote": [x for x, _ in e.index.votes(e.rows(a, a + len(at)), e.space.base, at)]})
 
     out = np.zeros(n)
     for r in spark.range(0, n, step, max(1, -(-n // step))).mapInPandas(run, "id long, vote double").collect():
@@ -360,6 +415,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for some in steps(rows, "text", STEP):
                 said = model.score(examples, [string(t) for t in some.text])
                 yield pd.DataFrame({"id": some["id"].to_numpy(), "held_out": some.held_out.to_numpy(), "text": some.text.to_numpy() if keep_text else None, "score": [s for s, _ in said], "evidence": [e for _, e in said]})
+            del rows, some  # before the next batch comes
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, held_out boolean, text string, score double, evidence array<long>")

@@ -167,3 +167,33 @@ def test_texts_are_compared_in_runs_of_few_postings(monkeypatch):
     bpe._made["path", True] = "an encoder's memory"
     m.forget_encoders()
     assert not bpe._made and not hasattr(examples.scoring(), "own")
+
+
+def test_many_texts_are_compared_at_a_time_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    from tessera.llm import toxicity as m
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{x:05d}" for x in rng.integers(0, 2000, 250)) for _ in range(800)]
+    keys, n = np.unique(np.concatenate([np.unique(m.features([t])[1]) for t in texts]), return_counts=True)
+    space = m.Space(keys, n.astype(float), np.minimum(n, 9).astype(float), 800, 80)
+    recipe = m.Recipe(space, np.arange(800), (np.arange(800) % 10 == 0).astype(int), *(x.astype(kind) for x, kind in zip(space.counts(texts), (np.int64, np.int32, "<u4"))))
+    monkeypatch.setattr(m, "HEAD_PART", 2)  # all features are rare
+    examples = recipe.examples()
+    own, v = examples.own, space.vectors(*space.counts(texts[:128]))
+    assert not (examples.index.head >= 0).any() and len(own) == 800
+    rows = [examples.rows(a, min(800, a + 300)) for a in range(0, 800, 300)]
+    assert np.array_equal(np.concatenate([r.feature for r in rows]), own.feature) and np.array_equal(np.concatenate([r.weight for r in rows]), own.weight)
+    plain = space.vectors(*space.counts([texts[i] for i in examples.index.ids]))
+    assert np.array_equal(plain.start, own.start) and np.array_equal(plain.feature, own.feature) and np.allclose(plain.weight, own.weight, rtol=1e-15)
+    assert np.diff(examples.index.start)[v.feature].sum() > 2 << 20  # at 50 bytes each, over 100 MB
+    asked, kept = [], m.Index.cosines
+    monkeypatch.setattr(m.Index, "cosines", lambda self, some, *a: asked.append(len(some)) or kept(self, some, *a))
+    tracemalloc.start()
+    whole = examples.index.votes(v, space.base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert asked == [m.TEXTS] * 2 and peak < 12e6
+    monkeypatch.setattr(m, "SUMMED", 1)  # a list at a time
+    assert np.allclose([x for x, _ in examples.index.votes(v, space.base)], [x for x, _ in whole], rtol=1e-9)
