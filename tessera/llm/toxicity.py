@@ -44,6 +44,8 @@ STEP, TEXTS = 1 << 20, 64
 #: Entries of posting lists that the texts compared at a time ask for, unless a single text asks for more, and those in memory at a time
 #: (some 40 bytes each), unless a single list has more.
 POSTINGS, SUMMED = 1 << 23, 1 << 16
+#: Entries that are brought into order by feature at a time.
+SORTED = 1 << 19
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +78,28 @@ class Vectors:
         return np.repeat(np.arange(len(self)), np.diff(self.start))
 
 
-def transposed(v: Vectors, size: int) -> Vectors:
-    """A row for each of `size` features, which holds v's rows in order, and their weights."""
-    order = np.argsort(v.feature, kind="stable")
-    start = np.concatenate([[0], np.cumsum(np.bincount(v.feature, minlength=size))])
-    return Vectors(start, v.owner().astype(np.uint16 if len(v) <= 1 << 16 else np.int32)[order], v.weight[order])
+def counted(x: np.ndarray, size: int) -> np.ndarray:
+    """np.bincount, which makes a copy of 64 bits a value, slice by slice."""
+    out = np.zeros(size, np.int64)
+    for a in range(0, len(x), SORTED):
+        out += np.bincount(x[a : a + SORTED], minlength=size)
+    return out
+
+
+def transposed(v: Vectors, size: int, name: np.ndarray | None = None) -> Vectors:
+    """A row for each of `size` features, which holds v's rows (row k as name[k], if given) and their weights; sorted a few features at a time."""
+    kind = np.uint16 if len(v) <= 1 << 16 else np.int32
+    owner = np.repeat((np.arange(len(v)) if name is None else name).astype(kind), np.diff(v.start))
+    start = np.concatenate([[0], np.cumsum(counted(v.feature, size))])
+    out = Vectors(start, np.empty_like(owner), np.empty_like(v.weight))
+    a = 0
+    while a < size:
+        b = max(a + 1, int(np.searchsorted(start, start[a] + SORTED, "right")) - 1)
+        at = np.flatnonzero((v.feature >= a) & (v.feature < b))
+        at = at[np.argsort(v.feature[at], kind="stable")]
+        out.feature[start[a] : start[b]], out.weight[start[a] : start[b]] = owner[at], v.weight[at]
+        a = b
+    return out
 
 
 class Space:
@@ -293,7 +312,7 @@ class Recipe:
     """
 
     def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, feature: np.ndarray, n: np.ndarray) -> None:
-        seen = np.bincount(feature, minlength=len(space.keys))
+        seen = counted(feature, len(space.keys))
         head = np.argsort(-seen, kind="stable")[:MOST_HEAD]
         place = np.full(len(seen), -1, np.int32)
         place[head] = np.arange(len(head))
@@ -304,10 +323,10 @@ class Recipe:
             at, row = place[v.feature], v.owner()
             dense[a + row[at >= 0], at[at >= 0]] = v.weight[at >= 0]
         order = np.lexsort((ids, alike(dense, -(-len(ids) // (4 * BLOCK)))))
-        size = np.diff(start)[order]
-        at = np.repeat(start[:-1][order] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        name = np.empty(len(ids), np.int64)
+        name[order] = np.arange(len(ids))
         self.labels = labels[order]
-        lists = transposed(Vectors(np.concatenate([[0], np.cumsum(size)]), feature[at], n[at]), len(space.keys))
+        lists = transposed(Vectors(start, feature, n), len(space.keys), name)
         self.given = space, ids[order], self.labels, press(np.diff(lists.start).astype("<u4")), lists.feature.dtype, press(lists.feature), press(lists.weight)
 
     def examples(self) -> Examples:
@@ -315,6 +334,15 @@ class Recipe:
         return Examples(space, ids, labels, np.concatenate([[0], np.cumsum(unpress(sizes, "<u4"), dtype=np.int64)]), unpress(owner, kind), unpress(n, "<u4"), by_feature=True)
 
 
+def flat(pressed: list[bytes], kind: np.dtype) -> np.ndarray:
+    """All of their values, one array after the other, without having them twice."""
+    out, at = np.zeros(sum(len(unpress(x, kind)) for x in pressed), kind), 0
+    for x in pressed:
+        own = unpress(x, kind)
+        out[at : at + len(own)], at = own, at + len(own)
+    return out
+
+
 @dataclass
 class Model:
     #: A broadcast Recipe; None without labels of both kinds.
@@ -375,13 +403,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     all_ = sorted(rows.mapInPandas(counts, "id long, label int, feature binary, n binary").collect(), key=lambda r: (r.id, r.label, r.feature, r.n))
     known.destroy()
     none, full = [r.label for r in all_ if not r.feature], [r for r in all_ if r.feature]
-    feature = np.concatenate([np.zeros(0, np.int32), *(unpress(r.feature, np.int32) for r in full)])
-    recipe = Recipe(
-        space, np.array([r.id for r in full], np.int64), np.array([r.label for r in full], np.int64), np.cumsum([0, *(len(unpress(r.n, "<u4")) for r in full)]),
-        feature, np.concatenate([np.zeros(0, "<u4"), *(unpress(r.n, "<u4") for r in full)]),
-    )
+    ids, own = np.array([r.id for r in full], np.int64), np.array([r.label for r in full], np.int64)
+    feature, n_each = (flat([r[c] for r in full], kind) for c, kind in (("feature", np.int32), ("n", np.dtype("<u4"))))
+    start = np.cumsum([0, *(len(unpress(r.n, "<u4")) for r in full)])
+    del all_, full, found, known
+    recipe = Recipe(space, ids, own, start, feature, n_each)
+    del feature, n_each
+    give_back()
     sent = spark.sparkContext.broadcast(recipe)
-    at, rates = isotonic(leave_one_out(spark, sent, len(full)), recipe.labels, space.base)
+    at, rates = isotonic(leave_one_out(spark, sent, len(ids)), recipe.labels, space.base)
     return Model(sent, float((sum(none) + space.base) / (len(none) + 1)), at, rates)
 
 

@@ -197,3 +197,29 @@ def test_many_texts_are_compared_at_a_time_in_little_memory(monkeypatch):
     assert asked == [m.TEXTS] * 2 and peak < 12e6
     monkeypatch.setattr(m, "SUMMED", 1)  # a list at a time
     assert np.allclose([x for x, _ in examples.index.votes(v, space.base)], [x for x, _ in whole], rtol=1e-9)
+
+
+def test_driver_makes_the_recipe_without_64_bits_an_entry(monkeypatch):
+    import tracemalloc
+
+    from tessera.llm import toxicity as m
+
+    rng = np.random.default_rng(7)
+    size, rows = 300, 6000
+    feature = np.concatenate([np.sort(rng.choice(size, 200, replace=False)) for _ in range(rows)]).astype(np.int32)
+    n, start = rng.integers(1, 4, len(feature)).astype("<u4"), np.arange(rows + 1) * 200
+    space = m.Space(np.arange(size, dtype=np.uint64), np.bincount(feature).astype(float), np.full(size, 5.0), rows, 60)
+    monkeypatch.setattr(m, "MOST_HEAD", 8)  # the table that groups examples is small
+    ids, labels = rng.permutation(rows), (np.arange(rows) % 100 == 0).astype(int)
+    tracemalloc.start()
+    recipe = m.Recipe(space, ids, labels, start, feature, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(feature)
+    examples = recipe.examples()
+    place = np.argsort(ids)[np.searchsorted(np.sort(ids), examples.index.ids)]
+    want, own = space.vectors(start, feature, n), examples.own
+    assert np.array_equal(examples.index.labels, labels[place])
+    for k in range(0, rows, 500):
+        a, b = start[place[k]], start[place[k] + 1]
+        assert np.array_equal(own.rows(k, k + 1).feature, want.feature[a:b]) and np.array_equal(own.rows(k, k + 1).weight, want.weight[a:b])
