@@ -34,8 +34,8 @@ LIMIT = 16
 BLOCK = 1024
 TOKENS_PER_FILE = 8_000_000
 #: Stretches whose ids a worker remembers, and those among them that only one step has met so far: beyond it these are forgotten, or all
-#: (results don't depend on it).
-REMEMBERED, ONCE = 400_000, 200_000
+#: (results don't depend on it). A stretch takes some 170 bytes.
+REMEMBERED, ONCE = 1_200_000, 800_000
 
 
 # --- encoding by the tokenizers library -----------------------------------------------------------------------------
@@ -104,7 +104,7 @@ class LibraryEncoder:
             self.once.clear()
         met = set().union(*(x for x in parts if x is not None))
         self.once -= met
-        new = met - known.keys()
+        new = met.difference(known)  # walks met; `-` would walk all that is known
         self.learn(list(new))
         self.once |= new
         whole = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, parts) if x is None], add_special_tokens=False))

@@ -340,3 +340,22 @@ def test_merges_against_the_plain_loop_and_pieces_remembered(monkeypatch):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = [b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
     assert got == want and [e.encode(t) for t in texts] == want
+
+
+def test_encoder_remembers_rare_stretches_and_walks_only_what_a_step_met():
+    import numpy as np
+    import public_tokenizers
+    from tessera.llm.token_files import LibraryEncoder
+
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all that is known is walked")
+
+    e = LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    e.known, asked, learn = Known(), [], e.learn
+    e.learn = lambda stretches: asked.append(len(stretches)) or learn(stretches)
+    texts = [" ".join(f"q{x}" for x in range(k, k + 1000)) for k in range(0, 230_000, 1000)]
+    first = e.encode(texts)
+    e.encode(["a few words"])
+    assert e.encode(texts) == first and asked == [230_000, 3, 0]
+    assert np.frombuffer(first[7], "<u2").tolist() == e.tokenizer.encode(texts[7], add_special_tokens=False).ids
