@@ -134,3 +134,33 @@ def test_the_last_round_shuffles_two_bytes_a_shingle(spark):
     assert dict(got.dtypes)["set"] == "array<smallint>"
     row = got.first()
     assert len(row.full) == len({line[k : k + 8] for k in range(len(line) - 7)}) >= len(row["set"])
+
+
+def test_sets_of_a_pair_are_made_once_and_in_linear_time(spark):
+    import time
+
+    from tessera.llm import line_dedup as m
+
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    texts = spark.createDataFrame([(1, line), (2, line[:-30_000] + "."), (3, line[:-90_000])], "id long, line string").select("id", m.code_units(F.col("line")).alias("units"))
+    texts.write.format("noop").mode("overwrite").save()
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "p long, id long")
+    found = m.confirmed(pairs, texts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(substring") == 2
+    began = time.time()
+    assert {(r.a, r.b) for r in found.collect()} == {(1, 2)}
+    assert time.time() - began < 30
+
+
+def test_signatures_don_t_depend_on_how_many_shingles_a_row_holds(spark, monkeypatch):
+    from tessera.llm import line_dedup as m
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcé\U0001f600") for _ in range(n)) for n in range(1, 60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[20]])), "doc_id long, text string")
+    got = []
+    for n in (m.AT_ONCE, 2, 3):
+        monkeypatch.setattr(m, "AT_ONCE", n)
+        got.append(sorted(tuple(r) for r in m.signed(m.lines_of(docs, "doc_id", "text")).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(set(texts)) and sorted(r[1] for r in got[0])[-1] == 2
