@@ -33,8 +33,8 @@ END_ID = 2
 LIMIT = 16
 BLOCK = 1024
 TOKENS_PER_FILE = 8_000_000
-#: Stretches whose ids a worker remembers, and those among them that only one step has met so far: beyond it these are forgotten, or all
-#: (results don't depend on it). A stretch takes some 170 bytes.
+#: Stretches whose ids a worker remembers, and those among them that only one step has met so far: beyond either these are forgotten, and
+#: all only where the others are too many too (results don't depend on it). A stretch takes some 170 bytes.
 REMEMBERED, ONCE = 1_200_000, 800_000
 
 
@@ -95,13 +95,12 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 16-bit (a vocabulary of up to 65,536) or 32-bit integers."""
         known, parts = self.known, [self.stretches(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-            self.once.clear()
-        elif len(self.once) > ONCE:
+        if len(known) > REMEMBERED or len(self.once) > ONCE:
             for p in self.once:
                 del known[p]
             self.once.clear()
+            if len(known) > REMEMBERED:
+                known.clear()
         met = set().union(*(x for x in parts if x is not None))
         self.once -= met
         new = met.difference(known)  # walks met; `-` would walk all that is known

@@ -359,3 +359,19 @@ def test_encoder_remembers_rare_stretches_and_walks_only_what_a_step_met():
     e.encode(["a few words"])
     assert e.encode(texts) == first and asked == [230_000, 3, 0]
     assert np.frombuffer(first[7], "<u2").tolist() == e.tokenizer.encode(texts[7], add_special_tokens=False).ids
+
+
+def test_encoder_keeps_frequent_stretches_when_it_remembers_too_many(monkeypatch):
+    import public_tokenizers
+    from tessera.llm import token_files as m
+
+    monkeypatch.setattr(m, "REMEMBERED", 300)
+    monkeypatch.setattr(m, "ONCE", 250)
+    e = m.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, learn = [], e.learn
+    e.learn = lambda stretches: asked.append(len(stretches)) or learn(stretches)
+    often, rare, few = (" ".join(f"{c}{k}x" for k in range(n)) for c, n in (("q", 100), ("w", 210), ("z", 5)))
+    e.encode([often])
+    first = e.encode([often, rare])
+    e.encode([often, few])
+    assert asked == [100, 210, 5] and len(e.known) == 105 and e.encode([often, rare]) == first
