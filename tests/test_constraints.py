@@ -112,3 +112,15 @@ def test_tile_planner():
     assert tiles.tile_shape((100, 10), (10, 1), (30, 5)) == (30, 10)
     with pytest.raises(ValueError):
         tiles.tile_shape((100, 10), (10, 1), (30,))
+
+
+@pytest.mark.parametrize("hint", [C.Hint.MIN_MAX, C.Hint.FIRST_LAST])
+def test_boxes_of_one_slab_are_dealt_over_tasks(spark, hint):
+    points = np.zeros(20_000, T.point(1).numpy)
+    points["p0"] = np.random.default_rng(2).integers(0, 1000, len(points))
+    ends = points["p0"].reshape(-1, 10)
+    ends = ends[:, [0, -1]] if hint is C.Hint.FIRST_LAST else ends
+    got = C.image(from_numpy(spark, points, T.point(1)).partition_by_tiling((10,)), from_numpy(spark, np.arange(1000)), hint)
+    rows = [r["count"] for r in got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert sum(rows) == int((ends.max(1) - ends.min(1) + 1).sum())
+    assert len(rows) > 2 and max(rows) < 0.75 * sum(rows), rows
