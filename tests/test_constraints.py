@@ -124,3 +124,14 @@ def test_boxes_of_one_slab_are_dealt_over_tasks(spark, hint):
     rows = [r["count"] for r in got.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
     assert sum(rows) == int((ends.max(1) - ends.min(1) + 1).sum())
     assert len(rows) > 2 and max(rows) < 0.75 * sum(rows), rows
+
+
+def test_first_and_last_points_are_found_without_a_sort(spark):
+    points = np.zeros((6, 5), T.point(1).numpy)
+    points["p0"] = np.random.default_rng(3).integers(0, 20, points.shape)
+    got = C.image(from_numpy(spark, points, T.point(1)).partition_by_tiling((4, 2)), from_numpy(spark, np.arange(20)), C.Hint.FIRST_LAST)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    for color, seen in cells(got, 2, 1).items():
+        tile = points["p0"][color[0] * 4 : color[0] * 4 + 4, color[1] * 2 : color[1] * 2 + 2]
+        a, b = sorted((tile[0, 0], tile[-1, -1]))
+        assert sorted(seen) == [(x,) for x in range(a, b + 1)]
