@@ -164,3 +164,31 @@ def test_signatures_don_t_depend_on_how_many_shingles_a_row_holds(spark, monkeyp
         monkeypatch.setattr(m, "AT_ONCE", n)
         got.append(sorted(tuple(r) for r in m.signed(m.lines_of(docs, "doc_id", "text")).collect()))
     assert got[0] == got[1] == got[2] and len(got[0]) == len(set(texts)) and sorted(r[1] for r in got[0])[-1] == 2
+
+
+def test_the_last_round_holds_one_slice_of_its_shuffle_at_a_time(spark, monkeypatch):
+    from tessera.llm import line_dedup as m
+
+    rng = random.Random(11)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [made(40) + x for stem in [made(30) for _ in range(30)] for x in (stem, stem)]  # all of one group, none alike but in turn
+    lines += [x + "." for x in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "n long, line string").select(F.xxhash64("line").alias("a"), "line")
+    near = m.signed(df).withColumnRenamed("a", "id").withColumn("keys", F.array(*[F.lit(k).cast("long") for k in range(m.BANDS)]))
+    members = df.select(F.lit(0).cast("long").alias("key"), F.col("a").alias("id"), F.col("a").alias("component"))
+    texts = df.select(F.col("a").alias("id"), m.code_units(F.col("line")).alias("units"))
+    monkeypatch.setattr(m, "BLOCK", 8)
+    whole = {frozenset(r) for r in m.close_within(members, near, texts).collect()}
+    assert len(whole) == 60
+    jobs, kept = [], m.stage
+
+    def watched(frame, name, blobs=False):
+        jobs.append(name)
+        return kept(frame, name, blobs)
+
+    monkeypatch.setattr(m, "stage", watched)
+    monkeypatch.setattr(m, "SLICE_BYTES", 100_000)
+    got = [frozenset(r) for r in m.close_within(members, near, texts).collect()]
+    assert set(got) == whole and len(got) == 60
+    # 60 members of 192 + 126 bytes, 60 of 192 + 128; 15 blocks, so each is there 16 times: 612,480 bytes
+    assert jobs.count("line-close") == 7, jobs
